@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from .common import held_out, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents by weak supervision."""
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.with_score(docs, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
 def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents by Bradley-Terry ranking."""
     from . import quality

@@ -146,3 +146,18 @@ def distinct_sets(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.n
     keep = np.ones(len(d), bool)
     keep[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
     return d[keep], h[keep]
+
+
+class SpanHasher:
+    """hash_spans for several sets of spans of the same bytes."""
+
+    def __init__(self, raw: np.ndarray):
+        self.n = len(raw)
+        self.acc = np.zeros(self.n + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(_BYTE[raw] * _power(_R, self.n), out=self.acc[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = (self.acc[ends] - self.acc[starts]) * _power(_R_INV, self.n + 1)[starts]
+            return mix64(h ^ ((ends - starts + (salt << 32)).astype(np.uint64) * _MIX1))
