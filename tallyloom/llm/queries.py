@@ -19,6 +19,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.with_score(docs, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of 2048 words for all documents."""
+    from . import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents by Bradley-Terry ranking."""
     from . import quality
