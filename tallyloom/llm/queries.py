@@ -35,6 +35,15 @@ def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_score(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op5_bpe_codec(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Digests of all documents' ids and of the texts that these decode to. tokenizer: the file's path."""
+    import public_tokenizers
+
+    from . import word_bpe
+
+    return word_bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have a Jaccard similarity of at least 0.85."""
     from . import ngram_join
