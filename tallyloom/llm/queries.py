@@ -26,6 +26,15 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_token_binary(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Writes all documents' ids as patched frame-of-reference segments and reads them back. tokenizer: the file's path."""
+    import public_tokenizers
+
+    from . import token_files
+
+    return token_files.read(token_files.write(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents by Bradley-Terry ranking."""
     from . import quality
