@@ -3,24 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyloom.llm import quality
+from tallyloom.llm import line_dedup, ngram_join, packing, pii, quality
 from tallyloom.llm.common import table, written
 
+#: The session's setting that holds the key of surrogates.
+PII_KEY = "spark.tallyloom.pii.key"
+
+
+def _as_before(changed: DataFrame, docs: DataFrame) -> DataFrame:
+    """changed with the columns of docs, n_chars following the text."""
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return changed.select(*docs.columns)
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality", quality_stage)]
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of line runs of 50 words go; so do documents of which nothing but white space is left by that."""
+    cleaned = line_dedup.dedup(docs)
+    return _as_before(cleaned.where((F.col("lines_deleted") == 0) | F.col("text").rlike(r"\S")), docs)
+
+
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, similarity of 0.8) the document with the smallest id stays. Rows without an id stay, and rows that share an id stay or go together."""
+    found = ngram_join.join(docs, k=5, percent=80)
+    others = found.where("doc_id != component_id").select("doc_id")
+    return docs.join(written(others, "near-copies").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets become surrogates."""
+    return _as_before(pii.with_surrogates(docs, spark.conf.get(PII_KEY, "a key for tests only")), docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of each document, or of its pieces, in bins of 2048 words."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality", quality_stage), ("line dedup", line_stage), ("near copies", near_copy_stage), ("pii", pii_stage), ("packing", packing_stage)]
 
-#: Training a classifier and the later stages can't be written in SQL; tests hold them against brute force.
+#: Training a classifier, surrogates and best-fit bins can't be written in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

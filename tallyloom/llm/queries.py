@@ -53,6 +53,22 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str, tokenizer: str | None = None
     return word_bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer or public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data and secrets."""
+    from . import pii
+
+    key = spark.conf.get("spark.tallyloom.pii.key", "a key for tests only")
+    found = pii.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+    return found.select("doc_id", "text", F.size("entities").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("entities.type")), ",").alias("types"))
+
+
+def op7_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' bytes as lossless WebP, read back with features."""
+    from . import media
+
+    return media.read(media.write(table(spark, sf_dir, "documents")))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have a Jaccard similarity of at least 0.85."""
     from . import ngram_join
