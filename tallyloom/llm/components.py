@@ -8,21 +8,22 @@ from pyspark.sql import functions as F
 from .common import drop_written, written
 
 
-def _minima(both: DataFrame) -> DataFrame:
-    """The smallest of each node and its neighbours; a partial aggregate meets hubs before the shuffle."""
-    return both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+#: Edges in a partition; small graphs stay in few partitions whatever the session's shuffle width.
+EDGES_PER_PARTITION, LEAST_PARTITIONS = 200_000, 8
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_minima(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _large_star(edges: DataFrame, parts: int) -> DataFrame:
+    """Joins each node's larger neighbours to the smallest of the node and its neighbours; a partial aggregate meets hubs before the shuffle."""
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(parts)
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v")))
+def _small_star(edges: DataFrame, parts: int) -> DataFrame:
+    """Joins each node and its smaller neighbours to the smallest of these. u > v in all edges."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
+    moved = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts)
+    return moved.union(least.select("u", F.col("m").alias("v"))).distinct().coalesce(parts)
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -39,7 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _state(now)
     while True:
-        new = written(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        parts = max(LEAST_PARTITIONS, state[0] // EDGES_PER_PARTITION)
+        new = written(_small_star(_large_star(now, parts), parts), "edges")
         drop_written(spark, now)
         now, before, state = new, state, _state(new)
         if state == before:

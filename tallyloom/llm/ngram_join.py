@@ -10,6 +10,13 @@ by the pigeonhole principle, two frequent ones of one class. m grows with the si
 set, which keeps the number of pairs in proportion to the set; a set indexes each band that a
 partner may be in.
 
+Each signature keeps its place in the set's order. The tokens before the first common one are in
+one set only, so a pair whose places leave too few tokens after them isn't a candidate there; for a
+pair of tokens, up to m - 1 common ones may come before.
+
+Candidates whose bitmaps of token parities differ in more bits than the pair may differ in tokens
+are dropped before their sets are fetched; no similar pair is lost by that.
+
 Sets that are equal are one node. Nodes that share a signature are candidates: first only
 neighbours in the order of a signature's nodes, whose verified links already join large groups
 of near copies; then, for signatures whose nodes are still in several components, a few
@@ -27,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 from .components import components
 from .textvec import chunks, distinct_sets, mix64, shingles
 
@@ -77,8 +84,8 @@ def count_table(docs: DataFrame, k: int) -> tuple[np.ndarray, int]:
     return levels, int(8 * np.log2(1 + FREQUENT + 2 * tokens / (1 << WIDTH_BITS)))
 
 
-def signatures(doc: np.ndarray, h: np.ndarray, n: np.ndarray, level: np.ndarray, frequent: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, signature) of the prefixes of sets given as sorted distinct (doc, hash) pairs."""
+def signatures(doc: np.ndarray, h: np.ndarray, n: np.ndarray, level: np.ndarray, frequent: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, signature, place) of the prefixes of sets given as sorted distinct (doc, hash) pairs."""
     order = np.lexsort((h, level, doc))
     doc, h, level = doc[order], h[order], level[order]
     first = np.concatenate([[0], np.cumsum(n)[:-1]])
@@ -86,7 +93,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, n: np.ndarray, level: np.ndarray,
     spare = n - -(-percent * n // 100)
     rare = np.bincount(doc[level < frequent], minlength=len(n))
     plain = rare >= spare + 1
-    docs, sigs = [], []
+    docs, sigs, places = [], [], []
     reach = np.where(plain, spare + 1, 0)
     for i in np.flatnonzero(~plain & (n >= 2)):
         low, high = int(-(-percent * n[i] // 100)).bit_length() - 1, int(n[i] * 100 // percent).bit_length() - 1
@@ -96,8 +103,8 @@ def signatures(doc: np.ndarray, h: np.ndarray, n: np.ndarray, level: np.ndarray,
             reach[i] = max(reach[i], end)
             t = h[first[i] + rare[i] : first[i] + end]
             cls = (t % np.uint64(m)).astype(np.int64)
-            by = np.lexsort((t, cls))
-            t, cls = t[by], cls[by]
+            by = np.lexsort((np.arange(len(t)), cls))
+            t, cls, at = t[by], cls[by], by + rare[i]
             for gap in range(1, len(t)):
                 same = cls[gap:] == cls[:-gap]
                 if not same.any():
@@ -106,12 +113,14 @@ def signatures(doc: np.ndarray, h: np.ndarray, n: np.ndarray, level: np.ndarray,
                     made = mix64(t[:-gap][same] * _C1 + t[gap:][same] * _C2 + np.uint64(band))
                 sigs.append(made)
                 docs.append(np.full(len(made), i))
+                places.append(np.maximum(0, at[:-gap][same] - (m - 1)))
     single = (rank < reach[doc]) & (level < frequent)
     docs.append(doc[single])
     sigs.append(h[single])
-    docs, sigs = np.concatenate(docs), np.concatenate(sigs)
+    places.append(rank[single])
+    docs, sigs, places = np.concatenate(docs), np.concatenate(sigs), np.concatenate(places)
     by = np.argsort(docs, kind="stable")
-    return docs[by], sigs[by]
+    return docs[by], sigs[by], places[by]
 
 
 def _digests(doc: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,8 +134,15 @@ def _digests(doc: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return both[0], both[1]
 
 
+def _parities(doc: np.ndarray, h: np.ndarray, n_docs: int) -> pa.Array:
+    """256 bits per set: the parity of its tokens in each of 256 hash classes. Two sets differ in no more bits than tokens."""
+    counts = np.bincount(doc * 256 + (mix64(h ^ _C1) >> np.uint64(56)).astype(np.int64), minlength=256 * n_docs)
+    bits = np.packbits((counts & 1).astype(np.uint8).reshape(n_docs, 256), axis=1).view(np.int64).reshape(-1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n_docs + 1, dtype=np.int32) * 4), pa.array(bits))
+
+
 def _lists(docs: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(docs, minlength=n))]), pa.int32()), pa.array(values.view(np.int64), pa.int64()))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(docs, minlength=n))]), pa.int32()), pa.array(values))
 
 
 def _nodes(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -139,57 +155,60 @@ def _nodes(docs: DataFrame, k: int, percent: int) -> DataFrame:
         for part, offs, doc, h in _columns("__text", batches, k):
             n = np.bincount(doc, minlength=len(offs) - 1)
             d1, d2 = _digests(doc, h, n)
-            s_doc, s = signatures(doc, h, n, level_of[(h >> np.uint64(64 - WIDTH_BITS)).astype(np.int64)], frequent, percent)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d1), pa.array(d2), _lists(s_doc, s, len(n))], names=["id", "n", "d1", "d2", "sigs"])
+            s_doc, s, place = signatures(doc, h, n, level_of[(h >> np.uint64(64 - WIDTH_BITS)).astype(np.int64)], frequent, percent)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d1), pa.array(d2), _lists(s_doc, s.view(np.int64), len(n)), _lists(s_doc, place.astype(np.int32), len(n)), _parities(doc, h, len(n))], names=["id", "n", "d1", "d2", "sigs", "places", "bits"])
 
-    return docs.select("__id", "__text").mapInArrow(make, "id bigint, n bigint, d1 bigint, d2 bigint, sigs array<bigint>")
+    return docs.select("__id", "__text").mapInArrow(make, "id bigint, n bigint, d1 bigint, d2 bigint, sigs array<bigint>, places array<int>, bits array<bigint>")
 
 
 #: Stands in for the id of a set that only rows without an id have.
 _NAMELESS = "shiftleft(-1L, 62) - shiftrightunsigned(d1, 2)"
 
 
-def _shared(index: DataFrame) -> DataFrame:
-    """The rows of signatures with several nodes, each with the node before it. One range shuffle on (signature, node) splits hot signatures.
+_ROW = ["sig", "node", "d", "n", "place"]
 
-    A run that a partition's edge cuts is kept whole, its first row there with no node before it.
+
+def _shared(index: DataFrame, percent: int) -> DataFrame:
+    """The rows that share their signature with a node of a fitting size, each with the node before it if that one is a candidate.
+
+    One range shuffle on (signature, size, node) splits hot signatures; in that order a node has a
+    partner of a fitting size just when a neighbour fits. The first and the last row of a partition
+    are kept in any case, since their neighbours may be in the next one.
     """
 
     def keep(batches):
-        held = None  # the last row so far, of the open run, and whether it is already out
+        held = None  # the last row of the batch before, while it isn't known whether the next one fits
+        names = [*_ROW, *(f"p_{c}" for c in _ROW[1:])]
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            sig, node, d, n = (np.asarray(batch.column(i)) for i in range(4))
-            prev = np.full(len(sig), -1)
-            prev[1:] = np.where(sig[1:] == sig[:-1], np.arange(len(sig) - 1), -1)
-            multi = prev >= 0
-            multi[:-1] |= sig[1:] == sig[:-1]
-            p_node, p_d, p_n = (np.where(prev >= 0, x[prev], 0) for x in (node, d, n))
-            has = prev >= 0
-            rows = []
-            if held is not None:
-                if held[0] == sig[0]:
-                    has[0], p_node[0], p_d[0], p_n[0] = True, held[1], held[2], held[3]
-                    multi[0] = True
-                    if not held[4]:
-                        rows.append(held[:4])
-                elif held[5] and not held[4]:
-                    rows.append(held[:4])
+            cols = [np.asarray(batch.column(i)).astype(np.int64) for i in range(5)]
+            first = held is None
+            if not first:
+                cols = [np.concatenate([[h], c]).astype(np.int64) for h, c in zip(held[0], cols, strict=True)]
+            sig, _, _, n, _ = cols
+            fits = (sig[1:] == sig[:-1]) & (100 * n[:-1] >= percent * n[1:])  # n rises within a signature
+            before = np.concatenate([[False], fits])
+            wanted = before.copy()
+            wanted[:-1] |= fits
+            if first:
+                wanted[0] = True
             else:
-                multi[sig == sig[0]] = True  # the partition's first run may go on from the one before
-            out = np.flatnonzero(multi)
-            edge = held is None or (held[5] and held[0] == sig[0])
-            at_end = len(sig) - 1
-            held = (int(sig[at_end]), int(node[at_end]), int(d[at_end]), int(n[at_end]), bool(multi[at_end]), bool(edge and sig[at_end] == sig[0]))
-            cols = [np.concatenate([np.array([r[i] for r in rows], np.int64), x[out]]) for i, x in enumerate((sig, node, d, n))]
-            gone = np.zeros(len(rows), np.int64)
-            p = [pa.array(np.concatenate([gone, x[out]]), mask=np.concatenate([gone == 0, ~has[out]])) for x in (p_node, p_d, p_n)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), *p], names=["sig", "node", "d", "n", "p_node", "p_d", "p_n"])
-        if held is not None and not held[4]:  # the last run may go on in the next partition
-            yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in held[:4]), *(pa.array([None], pa.int64()),) * 3], names=["sig", "node", "d", "n", "p_node", "p_d", "p_n"])
-
-    return index.repartitionByRange("sig", "node").sortWithinPartitions("sig", "node").mapInArrow(keep, "sig bigint, node bigint, d bigint, n bigint, p_node bigint, p_d bigint, p_n bigint")
+                wanted[0] |= held[1]
+                before[0] = held[2] is not None
+            p = [np.concatenate([[0], c[:-1]]).astype(np.int64) for c in cols[1:]]
+            if not first and held[2] is not None:
+                for c, x in zip(p, held[2], strict=True):
+                    c[0] = x
+            held = (tuple(int(c[-1]) for c in cols), bool(wanted[-1]), tuple(int(c[-1]) for c in p) if before[-1] else None)
+            out = np.flatnonzero(wanted[:-1])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[out]) for c in cols), *(pa.array(c[out], mask=~before[out]) for c in p)], names=names)
+        if held is not None:
+            last = held[2] or (None,) * 4
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (*held[0], *last)], names=names)
+
+    ordered = index.repartitionByRange("sig", "n", "node").sortWithinPartitions("sig", "n", "node")
+    return ordered.mapInArrow(keep, ", ".join(f"{c} bigint" for c in (*_ROW, *(f"p_{c}" for c in _ROW[1:]))))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -234,20 +253,87 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             if want.any():
                 pick = want[doc]
                 new = np.cumsum(want) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(node[want]), pa.array(d1[want]), _lists(new[doc[pick]], h[pick], int(want.sum()))], names=["node", "d", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[want]), pa.array(d1[want]), _lists(new[doc[pick]], h[pick].view(np.int64), int(want.sum()))], names=["node", "d", "tokens"])
 
     return docs.select("__id", "__text").mapInArrow(make, "node bigint, d bigint, tokens array<bigint>")
 
 
+_PAIR = ["a", "da", "na", "b", "db", "nb"]
+
+
+def _pairs(found: DataFrame, x: str, y: str, percent: int) -> DataFrame:
+    """Candidate pairs of rows x and y of one signature: their sizes fit, and their places leave enough tokens for the overlap that the pair needs."""
+    pick = [F.col(f"{p}{c}").alias(n) for p, names in ((x, ("a", "da", "na", "pa")), (y, ("b", "db", "nb", "pb"))) for c, n in zip(("node", "d", "n", "place"), names, strict=True)]
+    return found.where(_candidates(x, y, percent)).select(*pick).select(_PAIR)
+
+
+def _candidates(x: str, y: str, percent: int):
+    (nx, px), (ny, py) = ((F.col(f"{p}n"), F.col(f"{p}place")) for p in (x, y))
+    overlap = percent * (nx + ny)  # over 100 + percent
+    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & ((100 + percent) * (nx - px) >= overlap) & ((100 + percent) * (ny - py) >= overlap)
+
+
+def _near(bx: str, by: str, n, percent: int):
+    """Whether two bitmaps leave it open that sets of n tokens together are similar."""
+    apart = sum((F.bit_count(F.element_at(bx, i).bitwiseXOR(F.element_at(by, i))) for i in (2, 3, 4)), F.bit_count(F.element_at(bx, 1).bitwiseXOR(F.element_at(by, 1))))
+    return (100 + percent) * apart <= (100 - percent) * n
+
+
+def _open(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their bitmaps leave open."""
+    left, right = (bits.select(F.col("node").alias(c), F.col("bits").alias("b" + c)) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").where(_near("ba", "bb", F.col("na") + F.col("nb"), percent)).select(_PAIR)
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar, by the whole sets."""
-    fits = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "da", "na", "b", "db", "nb").distinct()
+    """The distinct pairs that are similar by the whole sets."""
     left = sets.select(F.col("node").alias("a"), F.col("d").alias("da"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("node").alias("b"), F.col("d").alias("db"), F.col("tokens").alias("tb"))
-    both = fits.join(left, ["a", "da"]).join(right, ["b", "db"]).withColumn("common", F.size(F.array_intersect("ta", "tb")))
+    both = pairs.join(left, ["a", "da"]).join(right, ["b", "db"]).withColumn("common", F.size(F.array_intersect("ta", "tb")))
     return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """The links among some pairs; only their nodes' sets take part in the joins."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    near = written(sets.join(nodes, "node", "left_semi").coalesce(parts), "ngram-sets")
+    links = written(_links(pairs, near, percent).coalesce(parts), "ngram-links")
+    drop_written(pairs.sparkSession, near)
+    return links
+
+
+def _apart(shared: DataFrame, roots: DataFrame, bits: DataFrame) -> DataFrame:
+    """The rows of signatures whose nodes are in several components."""
+    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sig")
+    return rooted.join(mixed, "sig").join(bits, "node").select(*_ROW, "root", "bits")
+
+
+def _hub_pairs(apart: DataFrame, turn: int, percent: int) -> DataFrame:
+    """In each signature, one node of every component with one node of one component.
+
+    Nodes that have the signature early in their order have few tokens of their own, so those stand for
+    their components first; later turns choose anew.
+    """
+    early = F.col("place") if turn == 0 else F.lit(0)
+    ends = apart.groupBy("sig", "root").agg(F.min(F.struct(early.alias("early"), F.xxhash64("node", F.lit(turn)).alias("at"), "node", "d", "n", "place", "bits")).alias("x"))
+    hub = ends.groupBy("sig").agg(F.min(F.struct(F.col("x"), F.col("root"))).alias("hub"))
+    apart_from = ends.join(hub, "sig").where("root != hub.root")
+    return _pairs(apart_from.where(_near("hub.x.bits", "x.bits", F.col("hub.x.n") + F.col("x.n"), percent)), "hub.x.", "x.", percent)
+
+
+def _all_pairs(apart: DataFrame, percent: int) -> DataFrame:
+    """In each signature, all candidate pairs of nodes of different components."""
+    x, y = apart.alias("x"), apart.alias("y")
+    near = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") < F.col("y.root")) & _candidates("x.", "y.", percent) & _near("x.bits", "y.bits", F.col("x.n") + F.col("y.n"), percent))
+    return _pairs(near, "x.", "y.", percent)
+
+
+def _distinct(pairs: DataFrame) -> DataFrame:
+    """The distinct pairs, the smaller node first."""
+    return pairs.where("a != b").select(*[F.expr(f"IF(a < b, {x}, {y})").alias(x) for x, y in zip(_PAIR, [*_PAIR[3:], *_PAIR[:3]], strict=True)]).distinct()
+
+
 def join(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id that links reach, itself included), set_digest.
 
@@ -262,32 +348,30 @@ def join(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id", k
         raise ValueError("percent must be over 50 and at most 100")
     docs = documents.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text"))
     rows = written(_nodes(docs, k, percent), "ngram-nodes")
-    reps = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.first("sigs").alias("sigs")).withColumn("node", F.coalesce("id", F.expr(_NAMELESS)))
-    index = reps.select(F.explode("sigs").alias("sig"), "node", F.col("d1").alias("d"), "n")
-    shared = written(_shared(written(index, "ngram-index")), "ngram-shared")
+    reps = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.first(F.arrays_zip("sigs", "places")).alias("sigs"), F.first("bits").alias("bits")).withColumn("node", F.coalesce("id", F.expr(_NAMELESS)))
+    index = reps.select(F.explode("sigs").alias("s"), "node", F.col("d1").alias("d"), "n").select(F.col("s.sigs").alias("sig"), "node", "d", "n", F.col("s.places").alias("place"))
+    shared = written(_shared(index, percent), "ngram-shared")
+    bits = written(reps.select("node", "bits"), "ngram-bits")
+    parts = max(8, shared.count() // 200_000)  # few rows stay in few partitions, whatever the session's shuffle width
     sets = written(_sets(docs, shared, k), "ngram-sets")
-    pairs = shared.where("p_node IS NOT NULL").select(F.col("p_node").alias("a"), F.col("p_d").alias("da"), F.col("p_n").alias("na"), F.col("node").alias("b"), F.col("d").alias("db"), F.col("n").alias("nb"))
-    links = written(_links(pairs, sets, percent), "ngram-links")
-    apart = shared.select("sig", "node", "d", "n")
+    tried = written(_open(_distinct(_pairs(shared.where("p_node IS NOT NULL"), "", "p_", percent)), bits, percent).coalesce(parts), "ngram-pairs")
+    links = _verified(tried, sets, percent, parts)
+    roots = components(links)
     for turn in range(ROUNDS + 1):
-        roots = components(links)
-        apart = apart.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = apart.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sig")
-        apart = written(apart.join(mixed, "sig"), "ngram-apart")
-        if apart.isEmpty():
+        apart = written(_apart(shared.select(_ROW), roots, bits).coalesce(parts), "ngram-apart")
+        rows_apart, pairs_apart = apart.groupBy("sig").count().agg(F.sum("count"), F.sum(F.expr("double(count) * (count - 1) / 2"))).first()
+        if not rows_apart:
+            break
+        last = turn == ROUNDS or pairs_apart <= 2 * rows_apart  # all pairs at once where they are few
+        found = written(_distinct(_all_pairs(apart, percent) if last else _hub_pairs(apart, turn, percent)).join(tried.select("a", "b"), ["a", "b"], "left_anti").select(_PAIR).coalesce(parts), "ngram-pairs")
+        if not found.isEmpty():
+            more = _verified(found, sets, percent, parts)
+            tried = tried.union(found)
+            links = links.union(more)
+            if not more.isEmpty():
+                roots = components(links)
+        if last:
             break
-        if turn < ROUNDS:
-            # each signature's components, one node of each, in an order that changes with the turn
-            ends = apart.groupBy("sig", "root").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), "node", "d", "n")).alias("x"))
-            hub = ends.groupBy("sig").agg(F.min(F.struct(F.xxhash64("root", F.lit(turn)).alias("at"), F.col("root"), F.col("x"))).alias("hub"))
-            found = ends.join(hub, "sig").where("root != hub.root").select(F.col("hub.x.node").alias("a"), F.col("hub.x.d").alias("da"), F.col("hub.x.n").alias("na"), F.col("x.node").alias("b"), F.col("x.d").alias("db"), F.col("x.n").alias("nb"))
-        else:
-            x, y = apart.alias("x"), apart.alias("y")
-            near = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") < F.col("y.root")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-            found = x.join(y, near).select(*[F.col(f"{s}.{c}").alias(n) for s, names in (("x", ("a", "da", "na")), ("y", ("b", "db", "nb"))) for c, n in zip(("node", "d", "n"), names, strict=True)])
-        more = written(_links(found, sets, percent), "ngram-links")
-        links = links.union(more)
-    roots = components(links)
     of_set = reps.select("d1", "d2", "n", "node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = of_set.groupBy("root").agg(F.min("id").alias("component_id"))
     of_set = of_set.join(names, "root").select("d1", "d2", "n", "component_id")

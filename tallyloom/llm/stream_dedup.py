@@ -31,12 +31,18 @@ def _row(text_col: str, id_col: str, digest) -> list[Column]:
     return [F.col(id_col).alias("id"), digest(F.coalesce(text_col, F.lit(""))).alias("digest"), F.col("_metadata.file_path").alias("file")]
 
 
+def _pattern(path: str) -> str:
+    """A pattern for just this path: a stream takes a plain path for a folder, but a table may be one file."""
+    path = path.rstrip("/")
+    return f"{path[:-1]}[{path[-1]}]"
+
+
 def run_stream(spark: SparkSession, path: str, out: str, check: str, text_col: str = "text", id_col: str = "doc_id", digest=sha256, bytes_per_trigger: int = BYTES_PER_TRIGGER) -> None:
     """Reads all files at path that the checkpoint hasn't seen, and appends the changed digests (digest, size, kept, batch) to the ledger at out.
 
     Run again with the same checkpoint after more files have come, it goes on from its state.
     """
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", str(bytes_per_trigger)).parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", str(bytes_per_trigger)).parquet(_pattern(path))
     best = F.max(F.struct(F.col("id").isNotNull().alias("known"), "id", "file"))
     state = stream.select(*_row(text_col, id_col, digest)).groupBy("digest").agg(F.count("*").alias("size"), best.alias("kept"))
 

@@ -52,3 +52,10 @@ def test_state_goes_on_after_more_files(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert run(spark, tmp_path, []) == []
+
+
+def test_a_table_of_one_file(spark, tmp_path):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    df.toPandas().astype({"doc_id": "Int64"}).to_parquet(tmp_path / "documents.parquet", index=False)
+    found = stream_dedup.dedup(spark, str(tmp_path / "documents.parquet")).collect()
+    assert sorted(map(tuple, found), key=str) == expected(ROWS)
