@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 
 from .common import drop_written, shared_dir, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Each partition's store would else reserve some MB of disk for its manifest alone.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 #: Input of a micro-batch.
 BYTES_PER_TRIGGER = 256 << 30
 
@@ -50,16 +51,17 @@ def run_stream(spark: SparkSession, path: str, out: str, check: str, text_col: s
         # a batch that is run again after a failure replaces its own rows
         changed.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(f"{out}/changes-{batch}")
 
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STORE}
+    for key, value in STORE.items():
+        spark.conf.set(key, value)
     try:
         query = state.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", check).trigger(availableNow=True).start()
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     query.awaitTermination()
 
 
