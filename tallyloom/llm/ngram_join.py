@@ -346,10 +346,14 @@ def join(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id", k
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
+    spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text"))
-    rows = written(_nodes(docs, k, percent), "ngram-nodes")
-    reps = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.first(F.arrays_zip("sigs", "places")).alias("sigs"), F.first("bits").alias("bits")).withColumn("node", F.coalesce("id", F.expr(_NAMELESS)))
-    index = reps.select(F.explode("sigs").alias("s"), "node", F.col("d1").alias("d"), "n").select(F.col("s.sigs").alias("sig"), "node", "d", "n", F.col("s.places").alias("place"))
+    nodes = written(_nodes(docs, k, percent), "ngram-nodes")
+    rows = written(nodes.select("id", "n", "d1", "d2"), "ngram-rows")
+    once = nodes.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.first(F.struct("sigs", "places")).alias("s"), F.first("bits").alias("bits"))
+    reps = written(once.withColumn("node", F.coalesce("id", F.expr(_NAMELESS))), "ngram-reps")
+    drop_written(spark, nodes)
+    index = reps.select(F.explode(F.arrays_zip("s.sigs", "s.places")).alias("s"), "node", F.col("d1").alias("d"), "n").select(F.col("s.sigs").alias("sig"), "node", "d", "n", F.col("s.places").alias("place"))
     shared = written(_shared(index, percent), "ngram-shared")
     bits = written(reps.select("node", "bits"), "ngram-bits")
     parts = max(8, shared.count() // 200_000)  # few rows stay in few partitions, whatever the session's shuffle width
