@@ -44,6 +44,8 @@ WIDTH_BITS, BLOCK_BITS = 22, 16
 FREQUENT = 200
 #: Rounds of neighbours in changing orders before all pairs still apart are verified.
 ROUNDS = 3
+#: A round that leaves more than this share of the pairs apart is the last one before all pairs.
+STALLED = 0.9
 #: Bits of the map of candidate nodes that a task holds; a full map only lets through more rows.
 MAP_BITS = 24
 
@@ -361,12 +363,14 @@ def join(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id", k
     tried = written(_open(_distinct(_pairs(shared.where("p_node IS NOT NULL"), "", "p_", percent)), bits, percent).coalesce(parts), "ngram-pairs")
     links = _verified(tried, sets, percent, parts)
     roots = components(links)
+    pairs_before = float("inf")
     for turn in range(ROUNDS + 1):
         apart = written(_apart(shared.select(_ROW), roots, bits).coalesce(parts), "ngram-apart")
         rows_apart, pairs_apart = apart.groupBy("sig").count().agg(F.sum("count"), F.sum(F.expr("double(count) * (count - 1) / 2"))).first()
         if not rows_apart:
             break
-        last = turn == ROUNDS or pairs_apart <= 2 * rows_apart  # all pairs at once where they are few
+        last = turn == ROUNDS or pairs_apart <= 2 * rows_apart or pairs_apart > STALLED * pairs_before  # all pairs at once where they are few, or rounds no longer help
+        pairs_before = pairs_apart
         found = written(_distinct(_all_pairs(apart, percent) if last else _hub_pairs(apart, turn, percent)).join(tried.select("a", "b"), ["a", "b"], "left_anti").select(_PAIR).coalesce(parts), "ngram-pairs")
         if not found.isEmpty():
             more = _verified(found, sets, percent, parts)
