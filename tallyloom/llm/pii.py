@@ -35,7 +35,7 @@ GIVEN = {
     ("greek", "male"): ["Γεώργιος", "Δημήτρης", "Ιωάννης", "Κωνσταντίνος", "Νικόλαος"],
 }
 PLACE = {name: (group, i) for group, names in GIVEN.items() for i, name in enumerate(names)}
-_FIRST = set(PLACE)
+_CALLED = [name + " " for name in PLACE]  # every name that _NAME finds holds one of these
 
 # Alphabets whose characters are exchanged among themselves in surnames and other words.
 ALPHABETS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρσςτφχψ", "0123456789"]
@@ -223,7 +223,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
         add("phone", _PHONE.finditer(text))
         add("card", (m for m in _CARD.finditer(text) if _is_card(m[0])))
         add("iban", _IBAN.finditer(text))
-    if not _FIRST.isdisjoint(text.split()):
+    if any(called in text for called in _CALLED):
         add("name", (m for m in _NAME.finditer(text) if m[3][0].isupper() and _script(m[3]) == PLACE[m[1]][0][0]))
     if not found:
         return []
