@@ -5,9 +5,10 @@ and fixed characters stay, as do vowels and consonants of names, the alphabet of
 secret, a card number's first digit and check digit, a telephone's country code and
 fictitious exchange, and an address's network class. Given names are exchanged for others of
 the same gender and script. A permutation without fixed points gives every entity another value,
-gives distinct entities distinct ones (so no collision can arise within a shape, and shapes
-don't meet; collisions() checks it over a corpus), and gives the same entity the same
-surrogate in every document, so that mentions still corefer.
+gives distinct entities distinct ones (no collision can arise within a shape, and what two
+shapes could share is walked past, so they don't meet), and gives the same entity the same
+surrogate in every document, so that mentions still corefer. with_surrogates() checks over
+all documents that distinct entities have distinct surrogates, and makes new ones where not.
 """
 
 from __future__ import annotations
@@ -54,6 +55,7 @@ _CLOUD_KEY = re.compile(r"(?<![A-Za-z0-9])(AKIA|ASIA)([A-Z0-9]{16})(?![A-Za-z0-9
 _SECRET = re.compile(r"(?i)(?<!\w)(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s*[=:]\s*([\"']?)([^\s\"'<>]{6,})")
 _SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "api_key", "api-key", "apikey")
 _NAME = re.compile(rf"(?<!\w)({'|'.join(PLACE)})( )([^\W\d_][\w'’-]+)(?!\w)")
+_EXAMPLE = re.compile(r"(?:^|\.)example$")
 _DIGIT = re.compile(r"[0-9][^ \n]*[0-9]")
 _ROUNDS = 8
 
@@ -84,17 +86,23 @@ def moved(x: int, n: int, key: bytes) -> int:
 
 
 class Surrogates:
-    """Surrogates under a secret key."""
+    """Surrogates under a secret key. again: how many times entities (type, value) are to be made anew, each time under another key."""
 
-    def __init__(self, key: bytes):
-        self.key = key
+    def __init__(self, key: bytes, again: dict[tuple[str, str], int] | None = None):
+        self.key, self.again = key, again or {}
         self.of: Callable[[str, str], str] = lru_cache(maxsize=100_000)(self._of)
 
     def _key(self, *what: str) -> bytes:
         return hmac.new(self.key, "\x00".join(what).encode(), hashlib.sha256).digest()
 
-    def shaped(self, kind: str, value: str, alphabets: dict[str, str]) -> str:
-        """value with its characters moved within their alphabets; others stay."""
+    def shaped(self, kind: str, value: str, alphabets: dict[str, str], taken: Callable[[str], bool] | None = None) -> str:
+        """value with its characters moved within their alphabets; others stay. Values that are taken, as value itself must not be, are walked past: a cycle without them stays one."""
+        made = self._moved(kind, value, alphabets)
+        while taken and taken(made):
+            made = self._moved(kind, made, alphabets)
+        return made
+
+    def _moved(self, kind: str, value: str, alphabets: dict[str, str]) -> str:
         n = x = 0
         n = 1
         shape = "".join(alphabets[c][0] if c in alphabets else c for c in value)
@@ -112,7 +120,9 @@ class Surrogates:
         return "".join(reversed(out))
 
     def _of(self, kind: str, value: str) -> str:
-        return getattr(self, "_" + kind)(value)
+        times = self.again.get((kind, plain(kind, value)), 0) if self.again else 0
+        maker = type(self)(self._key("again", str(times))) if times else self
+        return getattr(maker, "_" + kind)(value)
 
     def _email(self, value: str) -> str:
         # letters of either case are one mailbox; the case of each place stays
@@ -121,8 +131,8 @@ class Surrogates:
         if not any(c in _PLAIN for c in local):
             made = local
         host, _, top = domain.rpartition(".")
-        if not re.search(r"(?:^|\.)example$", host):
-            host = self.shaped("host", host, _PLAIN)
+        if not _EXAMPLE.search(host):
+            host = self.shaped("host", host, _PLAIN, _EXAMPLE.search)
         made = f"{made}@{host}.{top}"
         return "".join(m.upper() if c.isupper() else m for m, c in zip(made, value, strict=True))
 
@@ -155,7 +165,7 @@ class Surrogates:
             area, line = divmod(x, 10_000)
             made = f"{area + (200 if high else 0):03d}555{line:04d}"
         else:
-            made = self.shaped("phone" + str(code), "".join(map(str, rest)), _PLAIN)
+            made = self.shaped("phone" + str(code), "".join(map(str, rest)), _PLAIN, lambda m: len(m) == 10 and m[3:6] == "555")
         return _filled(value, [*code, *map(int, made)])
 
     def _ssn(self, value: str) -> str:
@@ -167,7 +177,7 @@ class Surrogates:
         rest = (int(plain[2:4]) - _iban_check(plain[:2], plain[4:])) % 97
         made = plain[:2] + f"{(_iban_check(plain[:2], body) + rest - 2) % 97 + 2:02d}" + body if 2 <= int(plain[2:4]) <= 98 else plain[:4] + body
         it = iter(made)
-        return "".join(c if c == " " else next(it) for c in value)
+        return "".join(c if c == " " else _digit(next(it), c) for c in value)
 
     def _cloud_key(self, value: str) -> str:
         return value[:4] + self.shaped("cloud_key" + value[:4], value[4:], _PLAIN)
@@ -175,7 +185,7 @@ class Surrogates:
     def _secret(self, value: str) -> str:
         if _HEX_LETTERS.issuperset(value):
             return self.shaped("hex", value, _HEX)
-        return self.shaped("secret", value, _PLAIN)
+        return self.shaped("secret", value, _PLAIN, _HEX_LETTERS.issuperset)
 
     def _name(self, value: str) -> str:
         given, _, family = value.partition(" ")
@@ -186,7 +196,17 @@ class Surrogates:
 
 def _filled(form: str, digits: list[int]) -> str:
     it = iter(digits)
-    return "".join(str(next(it)) if c.isdigit() else c for c in form)
+    return "".join(_digit(str(next(it)), c) if c.isdigit() else c for c in form)
+
+
+def _digit(made: str, before: str) -> str:
+    """made, in the digits of the script of the digit that it replaces; numbers in two scripts stay two entities."""
+    return chr(ord(before) - int(before) + int(made)) if before.isdecimal() and not before.isascii() else made
+
+
+def plain(kind: str, value: str) -> str:
+    """The form that mentions of one entity share: mailboxes have no case."""
+    return value.lower() if kind == "email" else value
 
 
 def luhn(digits: list[int]) -> int:
@@ -266,19 +286,25 @@ ENTITY = T.StructType([T.StructField("type", T.StringType()), T.StructField("sta
 _ARROW = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
 
 
-def with_surrogates(documents: DataFrame, key: str, text_col: str = "text", to: str = "entities") -> DataFrame:
+#: Rounds of new surrogates for colliding entities; more than a few mean that surrogates are no permutations at all.
+ROUNDS = 20
+
+
+def with_surrogates(documents: DataFrame, key: str, text_col: str = "text", to: str = "entities", make: type[Surrogates] = Surrogates) -> DataFrame:
     """documents with surrogates in the text, and their entities (type, start, end in the former text, surrogate).
 
     A null text stays null and has no entities; a column named as `to` is replaced; further
     columns, missing ids and repeated rows make no difference. Whole texts are searched.
+    All documents are read once before, to check that distinct entities have distinct surrogates;
+    of those that share one, the smallest keeps it and the others get new ones, the same in every document.
     """
     kept = documents.drop(*[c for c in documents.columns if c == to and c != text_col])
     at = kept.columns.index(text_col)
     schema = T.StructType([*kept.schema.fields, T.StructField(to, T.ArrayType(ENTITY))])
-    secret = key.encode()
+    secret, again = key.encode(), distinct_again(documents, key, text_col, make)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        surrogates = Surrogates(secret)
+        surrogates = make(secret, again)
         for batch in batches:
             for first in range(0, batch.num_rows, 64):
                 part = batch.slice(first, 64)
@@ -294,10 +320,39 @@ def with_surrogates(documents: DataFrame, key: str, text_col: str = "text", to:
     return kept.mapInArrow(run, schema)
 
 
-def collisions(documents: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """Surrogates that stand for several distinct entities of a type, over all documents (none are expected): type, surrogate, entities."""
-    pairs = with_surrogates(documents.select(F.col(text_col).alias("text"), F.col(text_col).alias("before")), key).select("before", F.explode("entities").alias("e"))
-    told = pairs.select("e.type", "e.surrogate", F.substring("before", F.col("e.start") + 1, F.col("e.end") - F.col("e.start")).alias("entity"))
-    plain = F.when(F.col("type") == "email", F.lower("entity")).otherwise(F.col("entity"))
-    made = F.when(F.col("type") == "email", F.lower("surrogate")).otherwise(F.col("surrogate"))
-    return told.select("type", made.alias("surrogate"), plain.alias("entity")).distinct().groupBy("type", "surrogate").agg(F.count("*").alias("entities")).where("entities > 1")
+def _told(documents: DataFrame, key: str, text_col: str, make: type[Surrogates], again: dict[tuple[str, str], int]) -> DataFrame:
+    """type, surrogate and entity of all mentions in plain form; repeated ones may be left out."""
+    secret = key.encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        surrogates = make(secret, again)
+        for batch in batches:
+            seen = {}
+            for first in range(0, batch.num_rows, 64):
+                for text in batch.column(0).slice(first, 64).to_pylist():
+                    for start, end, kind in find(text) if text else []:
+                        seen[kind, plain(kind, surrogates.of(kind, text[start:end])), plain(kind, text[start:end])] = None
+            kinds, made, entities = zip(*seen, strict=True) if seen else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (kinds, made, entities)], names=["type", "surrogate", "entity"])
+
+    return documents.select(F.col(text_col).cast("string")).mapInArrow(run, "type string, surrogate string, entity string")
+
+
+def distinct_again(documents: DataFrame, key: str, text_col: str = "text", make: type[Surrogates] = Surrogates) -> dict[tuple[str, str], int]:
+    """How many times entities are to be made anew, so that over all documents distinct ones have distinct surrogates; empty if none collide, as is expected."""
+    again: dict[tuple[str, str], int] = {}
+    for _ in range(ROUNDS):
+        told = _told(documents, key, text_col, make, again)
+        shared = told.groupBy("type", "surrogate").agg(F.min("entity").alias("low"), F.max("entity").alias("high")).where("low < high").select("type", "surrogate", "low")
+        groups = shared.collect()
+        if not groups:
+            return again
+        table = documents.sparkSession.createDataFrame(groups, shared.schema)
+        for r in told.join(table, ["type", "surrogate"]).where("entity != low").select("type", "entity").distinct().collect():
+            again[r.type, r.entity] = again.get((r.type, r.entity), 0) + 1
+    raise ValueError(f"surrogates still collide after {ROUNDS} rounds")
+
+
+def collisions(documents: DataFrame, key: str, text_col: str = "text", make: type[Surrogates] = Surrogates) -> DataFrame:
+    """Surrogates that stand for several distinct entities of a type, over all documents before any is made anew (none are expected): type, surrogate, entities."""
+    return _told(documents, key, text_col, make, {}).distinct().groupBy("type", "surrogate").agg(F.count("*").alias("entities")).where("entities > 1")
