@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +25,10 @@ from .textvec import LETTERS, SpanHasher, chunks, lower_latin, spans
 
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.7
-#: Bounds of what fitting sends to the driver: labelled rows, candidate entries, entries kept, rows of the classifier's sample.
-MAX_FIT_ROWS, MAX_CANDIDATES, MAX_LEXICON, MAX_SAMPLE = 20_000, 3_000, 200, 10_000
+#: Labelled rows that are learned from, at most.
+MAX_FIT_ROWS = 20_000
+#: The classifier's prior is worth ridge times its rows, but of no more than so many.
+PRIOR_ROWS = 10_000
 #: A mined entry needs so many toxic rows, and this share of its rows toxic.
 MIN_SUPPORT, MIN_PRECISION = 3, 0.9
 #: Lengths in bytes of the word beginnings that are mined beside whole words (0).
@@ -133,31 +135,40 @@ def with_votes(df: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataF
 
 
 def _mine(known: DataFrame) -> np.ndarray:
-    """Entries that mark label 1 in known(__text, __y): candidates by support and precision, then a greedy cover of the toxic rows, each covered twice where it can be."""
+    """Entries that mark label 1 in known(__text, __y), whose texts are distinct: all that pass support and precision, then a greedy cover of the toxic rows, each covered twice where it can be.
+
+    Of entries that stand in the same toxic rows the cover can use two, so only the first two go to the driver.
+    """
 
     def count(batches):
         for batch in batches:
             y = np.asarray(batch.column(batch.schema.get_field_index("__y")))
             for first, end, raw, offs in chunks(batch.column(batch.schema.get_field_index("__text"))):
-                label = y[first:end]
-                seen: list[np.ndarray] = []
+                label = y[first:end].astype(np.uint64)
+                marks = SpanHasher(raw)(offs[:-1], offs[1:]) * label
+                docs, found = [], []
                 for doc, h in _entries(raw, offs)[0]:
                     by = np.lexsort((h, doc))
                     d, s = doc[by], h[by]
                     new = np.ones(len(d), bool)
                     new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1])
-                    seen.append(np.column_stack([s[new], label[d[new]].astype(np.uint64)]))
-                every = np.concatenate(seen)
-                h, inverse = np.unique(every[:, 0], return_inverse=True)
-                toxic = np.bincount(inverse, weights=every[:, 1].astype(np.int64), minlength=len(h)).astype(np.int64)
+                    docs.append(d[new])
+                    found.append(s[new])
+                d = np.concatenate(docs)
+                h, inverse = np.unique(np.concatenate(found), return_inverse=True)
+                toxic = np.bincount(inverse, weights=label[d].astype(np.int64), minlength=len(h)).astype(np.int64)
                 rows = np.bincount(inverse, minlength=len(h))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(toxic), pa.array(rows)], names=["h", "toxic", "rows"])
-
-    counted = known.mapInArrow(count, "h bigint, toxic bigint, rows bigint").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("rows").alias("rows"))
-    best = counted.where((F.col("toxic") >= MIN_SUPPORT) & (F.col("toxic") >= MIN_PRECISION * F.col("rows"))).orderBy(F.desc("toxic"), "rows", "h").limit(MAX_CANDIDATES).collect()
-    if not best:
+                where = np.zeros(len(h), np.uint64)
+                np.bitwise_xor.at(where, inverse, marks[d])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(toxic), pa.array(rows), pa.array(where.view(np.int64))], names=["h", "toxic", "rows", "where"])
+
+    counted = known.mapInArrow(count, "h bigint, toxic bigint, rows bigint, where bigint").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("rows").alias("rows"), F.bit_xor("where").alias("where"))
+    passed = counted.where((F.col("toxic") >= MIN_SUPPORT) & (F.col("toxic") >= MIN_PRECISION * F.col("rows")))
+    first = F.row_number().over(Window.partitionBy("toxic", "where").orderBy("rows", "h"))
+    best = passed.withColumn("at", first).where("at <= 2").select("toxic", "rows", "h").toPandas().sort_values(["toxic", "rows", "h"], ascending=[False, True, True])
+    if not len(best):
         return np.zeros(0, np.uint64)
-    hashes = np.array([r.h for r in best], np.int64).view(np.uint64)
+    hashes = best["h"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(hashes)
     ordered = hashes[by]
 
@@ -166,20 +177,38 @@ def _mine(known: DataFrame) -> np.ndarray:
         pairs = np.unique(docs * len(ordered) + idx) if len(docs) else np.zeros(0, np.int64)
         return [_lists(pairs // len(ordered), pairs % len(ordered), len(offs) - 1)]
 
-    toxic = with_text_columns(known.where("__y = 1"), "__text", [T.StructField("__found", T.ArrayType(T.IntegerType()))], find).select("__found").collect()
-    need = np.full(len(toxic), 2)
-    at = np.concatenate([np.full(len(r[0]), i) for i, r in enumerate(toxic)] + [np.zeros(0, np.int64)]).astype(np.int64)
-    entry = np.concatenate([np.array(r[0], np.int64) for r in toxic] + [np.zeros(0, np.int64)])
+    toxic = with_text_columns(known.where("__y = 1"), "__text", [T.StructField("__found", T.ArrayType(T.IntegerType()))], find).select("__found").toArrow()
+    return hashes[cover(*_flat(toxic.column(0)), len(hashes))]
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bounds of each list in the values of all, and these values."""
+    sizes = lists.combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    values = lists.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), values
+
+
+def cover(offs: np.ndarray, entry: np.ndarray, size: int) -> list[int]:
+    """Greedy: the entry that stands in the most rows not yet covered twice, the first of equal ones, as long as these are MIN_SUPPORT. Row i has entry[offs[i]:offs[i + 1]]."""
+    row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    by = np.argsort(entry, kind="stable")
+    starts = np.searchsorted(entry[by], np.arange(size + 1))
+    need = np.full(len(offs) - 1, 2)
+    gain = np.bincount(entry, minlength=size)
     chosen: list[int] = []
-    while len(chosen) < MAX_LEXICON:
-        gain = np.bincount(entry[need[at] > 0], minlength=len(hashes))
-        gain[chosen] = 0
+    while size:
         k = int(gain.argmax())
         if gain[k] < MIN_SUPPORT:
             break
         chosen.append(k)
-        need[at[entry == k]] -= 1
-    return hashes[chosen]
+        rows = row[by[starts[k] : starts[k + 1]]]
+        rows = rows[need[rows] > 0]
+        need[rows] -= 1
+        for i in rows[need[rows] == 0].tolist():
+            gain[entry[offs[i] : offs[i + 1]]] -= 1
+        gain[k] = 0
+        # later rows that are covered would take gain[k] below 0, which is never chosen
+    return chosen
 
 
 def label_model(masks: np.ndarray, counts: np.ndarray, known_masks: np.ndarray, known_y: np.ndarray, rounds: int = 40) -> np.ndarray:
@@ -221,29 +250,34 @@ def label_model(masks: np.ndarray, counts: np.ndarray, known_masks: np.ndarray,
     return post
 
 
-def _design(hits: list, size: int) -> np.ndarray:
+def _design(offs: np.ndarray, hits: np.ndarray, size: int) -> np.ndarray:
     """Presence of each lexicon entry, any hit, two or more hits, and a constant."""
-    x = np.zeros((len(hits), size + 3), np.float32)
-    for i, h in enumerate(hits):
-        if len(h):
-            x[i, h] = 1
-            x[i, size] = 1
-            x[i, size + 1] = len(h) >= 2
+    many = np.diff(offs)
+    x = np.zeros((len(many), size + 3), np.float32)
+    x[np.repeat(np.arange(len(many)), many), hits] = 1
+    x[:, size] = many >= 1
+    x[:, size + 1] = many >= 2
     x[:, size + 2] = 1
     return x
 
 
-def train(x: np.ndarray, soft: np.ndarray, ridge: float = 3e-4, rounds: int = 12) -> np.ndarray:
-    """Logistic regression on soft labels by Newton's method; the constant isn't shrunk."""
-    w = np.zeros(x.shape[1])
-    if not len(x):
+def train(offs: np.ndarray, hits: np.ndarray, size: int, soft: np.ndarray, counts: np.ndarray, ridge: float = 3e-4, rounds: int = 50) -> np.ndarray:
+    """Logistic regression on soft labels by Newton's method; the constant isn't shrunk. Pattern i has hits[offs[i]:offs[i + 1]] and stands for counts[i] rows."""
+    w = np.zeros(size + 3)
+    total = counts.sum()
+    if not total:
         return w
-    shrink = np.full(len(w), ridge)
+    shrink = np.full(len(w), ridge * min(1, PRIOR_ROWS / total))
     shrink[-1] = 1e-6
+    step_rows = max(1, 4_000_000 // len(w))  # bounds the part of the design that is held at once
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (soft - p) / len(x) - shrink * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x / len(x) + np.diag(shrink + 1e-7)
+        grad, hess = -shrink * w, np.diag(shrink + 1e-7 * min(1, PRIOR_ROWS / total))
+        for first in range(0, len(soft), step_rows):
+            end = min(first + step_rows, len(soft))
+            x = _design(offs[first : end + 1] - offs[first], hits[offs[first] : offs[end]], size)
+            p, share = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), counts[first:end] / total
+            grad += x.T @ ((soft[first:end] - p) * share)
+            hess += (x * (p * (1 - p) * share)[:, None]).T @ x
         step = np.linalg.solve(hess, grad)
         w += step
         if np.abs(step).max() < 1e-5:
@@ -265,9 +299,10 @@ class Model:
 
 
 def fit(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id") -> Model:
-    """Learns from labelled rows that aren't held out (MAX_FIT_ROWS of them at most, in the order of a hash of the id) and from the votes on all documents.
+    """Learns from labelled rows that aren't held out (MAX_FIT_ROWS of them at most, in the order of a hash of the id) and from the votes on all documents, each pattern of hits and votes weighing as often as it occurs.
 
-    Rows without an id or a label teach nothing; an id with several labels takes the largest.
+    Rows without an id or a label teach nothing; an id with several labels takes the largest. Entries are
+    mined from distinct texts, so copies count once; a text with several labels takes the largest there.
     Without labels the fixed lexicon alone speaks.
     """
     known = (
@@ -278,17 +313,17 @@ def fit(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", text_
     )
     docs = documents.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     labelled = docs.join(F.broadcast(known), "__id").select("__text", "__y")  # MAX_FIT_ROWS bounds what is broadcast
-    lexicon = Lexicon.of(_mine(labelled))
+    texts = written(labelled.groupBy("__text").agg(F.max("__y").alias("__y")), "toxicity-texts")
+    lexicon = Lexicon.of(_mine(texts))
+    drop_written(documents.sparkSession, texts)
     taught = with_votes(labelled, lexicon, "__text").select("__votes", "__y").toPandas()
-    voted = written(with_votes(docs, lexicon, "__text").select(F.xxhash64("__id").alias("at"), "__votes", "__hits"), "toxicity-votes")
-    patterns = voted.groupBy("__votes").agg(F.count("*").alias("n")).collect()  # 2**len(VOTERS) rows at most
-    masks, counts = np.array([r[0] for r in patterns], np.int64), np.array([r[1] for r in patterns], np.int64)
-    post = label_model(masks, counts, taught["__votes"].to_numpy(np.int64), taught["__y"].to_numpy(np.int64)) if len(masks) else np.zeros(0)
-    of = dict(zip(masks.tolist(), post.tolist(), strict=True))
-    half = MAX_SAMPLE // 2  # as many rows with a hit as without, so that rare entries are seen
-    rows = [r for some in (F.size("__hits") > 0, F.size("__hits") == 0) for r in voted.where(some).orderBy("at", "__votes").limit(half).select("__hits", "__votes").collect()]
-    drop_written(documents.sparkSession, voted)
-    weights = train(_design([r[0] for r in rows], lexicon.size), np.array([of[r[1]] for r in rows]))
+    voted = with_votes(docs, lexicon, "__text").groupBy("__hits", "__votes").agg(F.count("*").alias("n"))
+    patterns = voted.orderBy("__hits", "__votes").toArrow()  # grows with the distinct sets of hits, not with the documents
+    votes, counts = (patterns.column(c).to_numpy().astype(np.int64) for c in ("__votes", "n"))
+    masks, at = np.unique(votes, return_inverse=True)
+    weights = np.bincount(at, weights=counts, minlength=len(masks))
+    post = label_model(masks, weights, taught["__votes"].to_numpy(np.int64), taught["__y"].to_numpy(np.int64)) if len(masks) else np.zeros(0)
+    weights = train(*_flat(patterns.column("__hits")), lexicon.size, post[at], counts)
     return Model(lexicon, weights)
 
 

@@ -97,3 +97,31 @@ def test_words_are_cut_and_hashed_alike_in_any_batch():
     assert h[1] == h[6] and len(set(h.tolist())) == 6
     alone = np.frombuffer("déjà".encode(), np.uint8)
     assert textvec.hash_spans(alone, np.array([0]), np.array([len(alone)]))[0] == h[1]
+
+
+def test_copies_and_many_words_hide_no_toxic_word(spark):
+    harmless = [f"{a}{b}lo{c}{d}mera" for a in "bdfgk" for b in "aeiou" for c in "bdfg" for d in "aeiou"] + [f"{a}{b}{c}{d}tolumis" for a in "mnprs" for b in "aeiou" for c in "bdfg" for d in "aeiou"]
+    toxic = [f"q{a}{b}{c}" for a in "aeiou" for b in "bcdfghk" for c in "aeioubcdf"]
+    copies = [(" ".join(harmless) + " " + x, 1) for x in "abcdefgh" for _ in range(5)]
+    marked = [(f"one {w} {x} of two", 1) for w in toxic for x in "xyz"]
+    clean = [(f"one {x} {y} of two", 0) for x in "abcdefghxyz" for y in "abcdefghijklmnopqrstuvwxyz"]
+    known = spark.createDataFrame([*copies, *marked, *clean], "__text string, __y int")
+    mined = toxicity._mine(known.distinct())
+    assert set(toxicity._hash_words([w]).tolist()[0] for w in toxic) <= set(mined.tolist())
+
+
+def test_training_weighs_patterns_by_count():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 3, 40)
+    offs, counts, soft = np.concatenate([[0], np.cumsum(sizes)]), rng.integers(1, 9, 40), rng.random(40)
+    hits = np.concatenate([np.sort(rng.choice(5, n, replace=False)) for n in sizes]).astype(np.int64)
+    each = np.repeat(np.arange(40), counts)
+    rows = [hits[offs[i] : offs[i + 1]] for i in each]
+    again = toxicity.train(np.concatenate([[0], np.cumsum([len(r) for r in rows])]), np.concatenate(rows), 5, soft[each], np.ones(len(each), np.int64))
+    assert np.allclose(toxicity.train(offs, hits, 5, soft, counts), again, atol=1e-6)
+
+
+def test_cover_takes_every_row_twice():
+    rows = [[0, 1, 3], [0, 1, 3], [0, 1, 3], [2], [2], [2], [4], [4]]
+    offs = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    assert toxicity.cover(offs, np.concatenate(rows), 5) == [0, 1, 2]
