@@ -14,15 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
 #: Words in a bin, and pieces of one source that a bin takes.
 CAPACITY, PER_SOURCE = 2048, 4
-#: About so many words make a shard; the number of shards follows the corpus.
-SHARD_WORDS = 2_000_000
+#: About so many words make a shard, a piece counting as so many words more; the number of shards follows the corpus.
+SHARD_WORDS, PIECE_WORDS = 2_000_000, 16
 
 SCHEMA = "shard bigint, bin bigint, position int, bin_start int, __key bigint, piece int, piece_start bigint, n_words int"
 
@@ -106,7 +106,7 @@ def pack(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
     or blank text is one piece of no words. A bin takes per_source pieces of a source at most (null
     is a source of its own), and no two pieces of one duplicate cluster: texts equal but for case
     and white space. Pieces of one document are of one cluster. bin is unique within a shard.
-    Rows without an id are packed like others; repeated rows are packed each. An empty table
+    Rows without an id are packed like others; repeated rows are packed each, dealt to shards by their number. An empty table
     gives no rows; further columns are ignored.
     """
     normal = F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[ \t\n\x0B\f\r]+", " ")))
@@ -120,12 +120,16 @@ def pack(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
 
 def pack_rows(rows: DataFrame, id_col: str, capacity: int, per_source: int, shard_words: int) -> DataFrame:
     """pack() for rows of __key, __words, __source, __cluster."""
-    total = rows.agg(F.sum("__words")).first()[0] or 0
+    count = F.expr(f"greatest(0L, (__words - 1) div {capacity}) + 1")
+    total = rows.agg(F.sum(F.col("__words") + PIECE_WORDS * count)).first()[0] or 0
     shards = max(1, round(total / shard_words))
-    pieces = rows.withColumn("__piece", F.explode(F.expr(f"sequence(0L, greatest(0L, (__words - 1) div {capacity}))"))).select(
+    # repeated rows are numbered within each part of the input, so that they are dealt out too; other rows have number 1
+    nth = F.row_number().over(Window.partitionBy("__part", "__key", "__cluster").orderBy("__source"))
+    numbered = rows.withColumn("__part", F.spark_partition_id()).withColumn("__nth", nth)
+    pieces = numbered.withColumn("__piece", F.explode(F.expr(f"sequence(0L, greatest(0L, (__words - 1) div {capacity}))"))).select(
         "__key", "__source", "__cluster", F.col("__piece").cast("int").alias("__piece"),
         F.least(F.lit(capacity), F.col("__words") - F.col("__piece") * capacity).cast("int").alias("__words"),
-        F.pmod(F.xxhash64("__key", "__piece", "__cluster"), F.lit(shards)).alias("__shard"),
+        F.pmod(F.when(F.col("__nth") == 1, F.xxhash64("__key", "__piece", "__cluster")).otherwise(F.xxhash64("__key", "__piece", "__cluster", "__nth")), F.lit(shards)).alias("__shard"),
     )
 
     def fill(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,3 +62,16 @@ def test_empty_table_and_repeated_rows(spark):
     twice = spark.createDataFrame([(None, "a b", "s")] * 2, "doc_id long, text string, source string")
     found = packing.pack(twice).collect()
     assert len(found) == 2 and len({r.bin for r in found}) == 2
+
+
+def test_repeated_and_blank_rows_are_dealt_out(spark):
+    rows = [(None, "one two three four", "a")] * 2000 + [(i, " ", "a") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    found = packing.pack(df, shard_words=2000).collect()
+    assert len(found) == 4000
+    for nameless in (True, False):
+        held = [r.shard for r in found if (r.doc_id is None) == nameless]
+        assert len(held) == 2000 and max(held.count(s) for s in set(held)) < 400
+    assert len({r.shard for r in packing.pack(df.where("doc_id IS NOT NULL"), shard_words=2000).collect()}) > 8
+    bins = [(r.shard, r.bin, r.cluster) for r in found]
+    assert len(set(bins)) == len(bins)
