@@ -19,19 +19,24 @@ are dropped before their sets are fetched; no similar pair is lost by that.
 
 Sets that are equal are one node. Nodes that share a signature are candidates: first only
 neighbours in the order of a signature's nodes, whose verified links already join large groups
-of near copies; then, for signatures whose nodes are still in several components, a few
-rounds of neighbours in other orders; at last every pair that is still apart. So the result
-is exact, and a group of near copies costs a number of pairs in proportion to its size.
+of near copies. Of the signatures whose nodes are still in several components, groups of few
+nodes are compared pair by pair. A larger group has a pivot, and each node's difference to it,
+which is small among near copies, settles most pairs without a comparison: those whose
+differences together are small enough are linked through one node, and the others meet in
+prefixes of the differences, where what the group has in common plays no part. So the result is
+exact, and work grows with the rows of a group and not with their square.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_written, written
@@ -40,15 +45,17 @@ from .textvec import chunks, distinct_sets, mix64, shingles
 
 #: The table of counts has 2**WIDTH_BITS entries whatever the corpus; it only orders tokens.
 WIDTH_BITS, BLOCK_BITS = 22, 16
+#: Tables of counts of so many tasks, or more, are added before those sums meet.
+FAN_IN = 64
 #: A token is frequent from this many sightings, over the table's mean noise.
 FREQUENT = 200
-#: Rounds of neighbours in changing orders before all pairs still apart are verified.
-ROUNDS = 3
-#: A round that leaves more than this share of the pairs apart is the last one before all pairs.
-STALLED = 0.9
-#: Bits of the map of candidate nodes that a task holds; a full map only lets through more rows.
-MAP_BITS = 24
+#: Groups of so many rows of a signature are compared pair by pair; larger ones through a pivot.
+SMALL = 8
+#: Bits of the map of candidate nodes that a task holds: eight for each node, within these bounds. A full map only lets through more rows.
+MAP_BITS = 16, 27
 
+#: Marks tokens that only a pivot has.
+_LACKING = 0x5DEECE66D1234567
 _C1, _C2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -62,23 +69,38 @@ def count_table(docs: DataFrame, k: int) -> tuple[np.ndarray, int]:
     """The log-scaled counts of all documents' tokens by hash (a fixed 4 MB), and the level from which a token is frequent."""
 
     def count(batches):
-        seen = np.zeros(1 << WIDTH_BITS, np.int64)
+        seen, held, n = np.zeros(1 << WIDTH_BITS, np.int64), [], 0
+        part = TaskContext.get().partitionId() % FAN_IN
         for _, _, _, h in _columns("__text", batches, k):
-            seen += np.bincount((h >> np.uint64(64 - WIDTH_BITS)).astype(np.int64), minlength=1 << WIDTH_BITS)
+            held.append((h >> np.uint64(64 - WIDTH_BITS)).astype(np.int64))
+            n += len(h)
+            if n > 1 << 20:
+                seen += np.bincount(np.concatenate(held), minlength=1 << WIDTH_BITS)
+                held, n = [], 0
+        if held:
+            seen += np.bincount(np.concatenate(held), minlength=1 << WIDTH_BITS)
         if seen.any():
-            blocks = [zlib.compress(b.tobytes(), 1) for b in np.minimum(seen, 2**32 - 1).astype(np.uint32).reshape(-1, 1 << BLOCK_BITS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "counts"])
+            blocks = [zlib.compress(b.tobytes(), 1) for b in seen.reshape(-1, 1 << BLOCK_BITS)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks)), pa.int32()), pa.array(np.full(len(blocks), part), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "part", "counts"])
 
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, tokens = np.zeros(1 << BLOCK_BITS, np.uint64), 0
+    def summed(batches):
+        total = np.zeros(1 << BLOCK_BITS, np.int64)
         for batch in batches:
             for x in batch.column("counts"):
-                total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
-        tokens = int(total.sum())
+                total += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
+        return total
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(summed(batches).tobytes(), 1)], pa.binary())], names=["block", "counts"])
+
+    def finish(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = summed(batches)
         level = np.minimum(255, np.floor(8 * np.log2(1.0 + total))).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(level.tobytes(), 1)], pa.binary()), pa.array([tokens], pa.int64())], names=["block", "levels", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(level.tobytes(), 1)], pa.binary()), pa.array([int(total.sum())], pa.int64())], names=["block", "levels", "tokens"])
 
-    rows = docs.select("__text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, levels binary, tokens bigint").collect()
+    # tables meet in two steps, so that no task reads one of every other task's
+    counted = docs.select("__text").mapInArrow(count, "block int, part int, counts binary").groupBy("block", "part").applyInArrow(add, "block int, counts binary")
+    rows = counted.groupBy("block").applyInArrow(finish, "block int, levels binary, tokens bigint").collect()
     levels, tokens = np.zeros(1 << WIDTH_BITS, np.uint8), 0
     for r in rows:
         levels[r.block << BLOCK_BITS : (r.block + 1) << BLOCK_BITS] = np.frombuffer(zlib.decompress(r.levels), np.uint8)
@@ -214,14 +236,16 @@ def _shared(index: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, d, tokens) of the wanted nodes; a fixed-size bit map keeps most other documents' sets from being made into rows."""
+    """(node, d, tokens) of the wanted nodes, and of a few more; a bit map keeps most other documents' sets from being made into rows."""
+    low, high = MAP_BITS
+    map_bits = min(high, max(low, (8 * wanted.count()).bit_length()))
 
     def spot(node, d):
         with np.errstate(over="ignore"):
-            return (mix64(node.view(np.uint64) * _C1 + d.view(np.uint64)) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+            return (mix64(node.view(np.uint64) * _C1 + d.view(np.uint64)) >> np.uint64(64 - map_bits)).astype(np.int64)
 
     def mark(batches):
-        seen = np.zeros(1 << MAP_BITS, bool)
+        seen = np.zeros(1 << map_bits, bool)
         for batch in batches:
             seen[spot(np.asarray(batch.column(0)), np.asarray(batch.column(1)))] = True
         blocks = np.packbits(seen).reshape(64, -1)
@@ -229,16 +253,16 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in full], pa.binary())], names=["block", "bits"])
 
     def unite(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << MAP_BITS - 9, np.uint8)
+        bits = np.zeros(1 << map_bits - 9, np.uint8)
         for batch in batches:
             for x in batch.column("bits"):
                 bits |= np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["block", "bits"])
 
-    marks = np.zeros((64, 1 << MAP_BITS - 9), np.uint8)
+    marks = np.zeros((64, 1 << map_bits - 9), np.uint8)
     for r in wanted.select("node", "d").mapInArrow(mark, "block int, bits binary").groupBy("block").applyInArrow(unite, "block int, bits binary").collect():
         marks[r.block] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
-    table = docs.sparkSession.sparkContext.broadcast(zlib.compress(marks.tobytes(), 1))  # 2 MB at most, whatever the corpus
+    table = docs.sparkSession.sparkContext.broadcast(zlib.compress(marks.tobytes(), 1))  # 16 MB at most, whatever the corpus
 
     def make(batches):
         bits = np.frombuffer(zlib.decompress(table.value), np.uint8)
@@ -295,40 +319,82 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
-    """The links among some pairs; only their nodes' sets take part in the joins."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    near = written(sets.join(nodes, "node", "left_semi").coalesce(parts), "ngram-sets")
-    links = written(_links(pairs, near, percent).coalesce(parts), "ngram-links")
-    drop_written(pairs.sparkSession, near)
-    return links
+def _mixed(rows: DataFrame, *key: str) -> DataFrame:
+    """The rows of the groups whose nodes are in several components, with their group's size as `c`."""
+    groups = rows.groupBy(*key).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c")).where("low < high").select(*key, "c")
+    return rows.join(groups, list(key))
+
+
+def _apart(shared: DataFrame, roots: DataFrame, bits: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of signatures whose nodes are in several components, as small groups (at most SMALL rows) and large ones.
 
+    Signatures of more rows are split by bands of set sizes first. Sizes of similar sets are in one band
+    or in neighbouring ones, so each row goes to its own band and to the next one.
+    """
+    rooted = _mixed(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "sig")
+    rooted = written(rooted.join(bits, "node"), "ngram-apart")
+    step = math.log(100 / percent) * (1 + 1e-12)  # a little wider than the ratio, so that rounding moves no similar sets two bands apart
+    band = F.floor(F.log("n") / step) if percent < 100 else F.col("n")
+    few = rooted.where(f"c <= {SMALL}").withColumn("band", F.lit(-1).cast("bigint"))
+    banded = _mixed(rooted.where(f"c > {SMALL}").drop("c").withColumn("band", F.explode(F.array(band, band + 1))), "sig", "band")
+    columns = [*_ROW, "root", "bits", "band"]
+    return few.select(columns).union(banded.where(f"c <= {SMALL}").select(columns)), banded.where(f"c > {SMALL}").select(columns)
+
+
+def _all_pairs(few: DataFrame, percent: int) -> DataFrame:
+    """All candidate pairs of nodes of different components in small groups; their number is in proportion to the rows, since SMALL is fixed."""
+    x, y = few.alias("x"), few.alias("y")
+    near = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")) & _candidates("x.", "y.", percent) & _near("x.bits", "y.bits", F.col("x.n") + F.col("y.n"), percent))
+    return _pairs(near, "x.", "y.", percent)
 
-def _apart(shared: DataFrame, roots: DataFrame, bits: DataFrame) -> DataFrame:
-    """The rows of signatures whose nodes are in several components."""
-    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sig")
-    return rooted.join(mixed, "sig").join(bits, "node").select(*_ROW, "root", "bits")
 
+def _stars(large: DataFrame) -> DataFrame:
+    """Each node of a large group with the group's pivot (p, dp): of the component with most nodes there, the node of least hash. Overlapping groups mostly choose one pivot."""
+    ends = large.groupBy("sig", "band", "root").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("node").alias("at"), "node", "d")).alias("x"))
+    pivots = ends.groupBy("sig", "band").agg(F.max(F.struct("m", "root", "x")).alias("x")).select("sig", "band", F.col("x.x.node").alias("p"), F.col("x.x.d").alias("dp"))
+    return large.join(pivots, ["sig", "band"]).select("p", "dp", "node", "d", "n", "root").distinct()
 
-def _hub_pairs(apart: DataFrame, turn: int, percent: int) -> DataFrame:
-    """In each signature, one node of every component with one node of one component.
 
-    Nodes that have the signature early in their order have few tokens of their own, so those stand for
-    their components first; later turns choose anew.
-    """
-    early = F.col("place") if turn == 0 else F.lit(0)
-    ends = apart.groupBy("sig", "root").agg(F.min(F.struct(early.alias("early"), F.xxhash64("node", F.lit(turn)).alias("at"), "node", "d", "n", "place", "bits")).alias("x"))
-    hub = ends.groupBy("sig").agg(F.min(F.struct(F.col("x"), F.col("root"))).alias("hub"))
-    apart_from = ends.join(hub, "sig").where("root != hub.root")
-    return _pairs(apart_from.where(_near("hub.x.bits", "x.bits", F.col("hub.x.n") + F.col("x.n"), percent)), "hub.x.", "x.", percent)
+def _differences(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Each node's difference to its pivot as tokens, those that only the pivot has in other words, and `s`: what of the allowed difference is left, times 100 + percent."""
+    own = sets.select("node", "d", F.col("tokens").alias("t"))
+    of_pivot = sets.select(F.col("node").alias("p"), F.col("d").alias("dp"), F.col("tokens").alias("tp"))
+    lacking = F.transform(F.array_except("tp", "t"), lambda x: x.bitwiseXOR(F.lit(_LACKING)))
+    both = stars.join(own, ["node", "d"]).join(of_pivot, ["p", "dp"]).withColumn("diff", F.concat(F.array_except("t", "tp"), lacking))
+    return both.select("p", "node", "d", "n", "root", "diff", F.size("diff").cast("bigint").alias("m")).withColumn("s", (100 - percent) * F.col("n") - (100 + percent) * F.col("m"))
 
 
-def _all_pairs(apart: DataFrame, percent: int) -> DataFrame:
-    """In each signature, all candidate pairs of nodes of different components."""
-    x, y = apart.alias("x"), apart.alias("y")
-    near = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") < F.col("y.root")) & _candidates("x.", "y.", percent) & _near("x.bits", "y.bits", F.col("x.n") + F.col("y.n"), percent))
-    return _pairs(near, "x.", "y.", percent)
+def _near_pivots(differences: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links within the stars, and the candidate pairs that these leave open.
+
+    Two sets differ in no more tokens than both differ from the pivot, so they are similar if their s add up to 0 or
+    more. Nodes that are similar by that to any node are so to the one of the largest s, and linked to it.
+    The others ("far") can only be similar to a node with which they share tokens of their differences; how many, the two s
+    tell. So the differences, rarest tokens of a star first, have prefixes in which similar pairs meet.
+    """
+    whole = 2 * (100 + percent)
+    best = differences.groupBy("p").agg(F.max(F.struct("s", "node")).alias("best"))
+    marked = differences.join(best, "p").withColumn("far", F.col("s") + F.col("best.s") < 0)
+    links = marked.where("NOT far AND node != best.node").select(F.col("node").alias("u"), F.col("best.node").alias("v"))
+    farthest = marked.where("far").groupBy("p").agg(F.max("s").alias("s_far"))
+    open_ = marked.join(farthest, "p").select("p", "node", "d", "n", "root", "m", "s", "far", F.col("best.s").alias("s_best"), "s_far", "diff")
+    tokens = open_.select("p", "node", F.explode("diff").alias("token"))
+    ranked = tokens.join(tokens.groupBy("p", "token").agg(F.count("*").alias("seen")).where("seen > 1"), ["p", "token"])
+    # tokens of one node only come first in any order, and need no rows: their number is the place of the first other one
+    places = ranked.withColumn("i", F.row_number().over(Window.partitionBy("p", "node").orderBy("seen", "token"))).withColumn("own", F.count("*").over(Window.partitionBy("p", "node")))
+    rows = open_.drop("diff").join(places, ["p", "node"]).withColumn("i", F.col("m") - F.col("own") + F.col("i"))
+    least = lambda other: F.greatest(F.lit(1), F.ceil(-(F.col("s") + F.col(other)) / whole))
+    rows = rows.withColumn("to_far", F.col("i") <= F.col("m") - least("s_far") + 1).withColumn("to_near", F.col("far") & (F.col("i") <= F.col("m") - least("s_best") + 1)).where("to_far OR to_near")
+    rows = rows.select("p", "token", "node", "d", "n", "root", "m", "s", "i", "far", "to_far", "to_near")
+    x, y = rows.where("to_far").alias("x"), rows.where("far").alias("y")
+    meet = F.expr("x.p = y.p AND x.token = y.token AND x.root != y.root AND IF(x.far, y.to_far AND x.node < y.node, y.to_near)")
+    fits = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {whole} * (least(x.m - x.i, y.m - y.i) + 1) >= -(x.s + y.s)")
+    pick = [F.col(f"{t}.{c}").alias(n) for t, names in (("x", ("a", "da", "na")), ("y", ("b", "db", "nb"))) for c, n in zip(("node", "d", "n"), names, strict=True)]
+    return links, x.join(y, meet & fits).select(*pick)
+
+
+def _nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node"), F.col("da").alias("d")).union(pairs.select("b", "db"))
 
 
 def _distinct(pairs: DataFrame) -> DataFrame:
@@ -357,30 +423,28 @@ def join(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id", k
     drop_written(spark, nodes)
     index = reps.select(F.explode(F.arrays_zip("s.sigs", "s.places")).alias("s"), "node", F.col("d1").alias("d"), "n").select(F.col("s.sigs").alias("sig"), "node", "d", "n", F.col("s.places").alias("place"))
     shared = written(_shared(index, percent), "ngram-shared")
-    bits = written(reps.select("node", "bits"), "ngram-bits")
+    bits, of_set = written(reps.select("node", "bits"), "ngram-bits"), written(reps.select("d1", "d2", "n", "node", "id"), "ngram-of-set")
+    drop_written(spark, reps)
     parts = max(8, shared.count() // 200_000)  # few rows stay in few partitions, whatever the session's shuffle width
-    sets = written(_sets(docs, shared, k), "ngram-sets")
     tried = written(_open(_distinct(_pairs(shared.where("p_node IS NOT NULL"), "", "p_", percent)), bits, percent).coalesce(parts), "ngram-pairs")
-    links = _verified(tried, sets, percent, parts)
+    sets = written(_sets(docs, _nodes_of(tried), k), "ngram-sets")
+    links = written(_links(tried, sets, percent).coalesce(parts), "ngram-links")
+    drop_written(spark, sets)
+    few, large = _apart(shared.select(_ROW), components(links), bits, percent)
+    drop_written(spark, shared)
+    found = written(_distinct(_all_pairs(few, percent)).join(tried.select("a", "b"), ["a", "b"], "left_anti").select(_PAIR).coalesce(parts), "ngram-pairs")
+    stars = written(_stars(large).coalesce(parts), "ngram-stars")
+    sets = written(_sets(docs, _nodes_of(found).union(stars.select("node", "d")).union(stars.select("p", "dp")), k), "ngram-sets")
+    if not stars.isEmpty():
+        differences = written(_differences(stars, sets, percent).coalesce(parts), "ngram-differences")
+        within, more = _near_pivots(differences, percent)
+        links = links.union(written(within.distinct().coalesce(parts), "ngram-links"))
+        found = found.union(written(_distinct(more).join(tried.select("a", "b"), ["a", "b"], "left_anti").select(_PAIR).coalesce(parts), "ngram-pairs"))
+        drop_written(spark, differences)
+    links = links.union(written(_links(found, sets, percent).coalesce(parts), "ngram-links"))
+    drop_written(spark, sets)
     roots = components(links)
-    pairs_before = float("inf")
-    for turn in range(ROUNDS + 1):
-        apart = written(_apart(shared.select(_ROW), roots, bits).coalesce(parts), "ngram-apart")
-        rows_apart, pairs_apart = apart.groupBy("sig").count().agg(F.sum("count"), F.sum(F.expr("double(count) * (count - 1) / 2"))).first()
-        if not rows_apart:
-            break
-        last = turn == ROUNDS or pairs_apart <= 2 * rows_apart or pairs_apart > STALLED * pairs_before  # all pairs at once where they are few, or rounds no longer help
-        pairs_before = pairs_apart
-        found = written(_distinct(_all_pairs(apart, percent) if last else _hub_pairs(apart, turn, percent)).join(tried.select("a", "b"), ["a", "b"], "left_anti").select(_PAIR).coalesce(parts), "ngram-pairs")
-        if not found.isEmpty():
-            more = _verified(found, sets, percent, parts)
-            tried = tried.union(found)
-            links = links.union(more)
-            if not more.isEmpty():
-                roots = components(links)
-        if last:
-            break
-    of_set = reps.select("d1", "d2", "n", "node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of_set = of_set.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = of_set.groupBy("root").agg(F.min("id").alias("component_id"))
     of_set = of_set.join(names, "root").select("d1", "d2", "n", "component_id")
     out = rows.select("id", "n", "d1", "d2").join(of_set, ["d1", "d2", "n"], "left")

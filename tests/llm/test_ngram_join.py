@@ -44,9 +44,10 @@ def corpus(seed, n=120):
     return texts
 
 
-@pytest.mark.parametrize(("k", "percent", "frequent"), [(4, 85, 200), (3, 80, 3), (2, 60, 2), (1, 90, 1)])
-def test_components_equal_brute_force(spark, monkeypatch, k, percent, frequent):
+@pytest.mark.parametrize(("k", "percent", "frequent", "small"), [(4, 85, 200, 8), (3, 80, 3, 2), (2, 60, 2, 1), (1, 90, 1, 1), (1, 100, 2, 1)])
+def test_components_equal_brute_force(spark, monkeypatch, k, percent, frequent, small):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    monkeypatch.setattr(ngram_join, "SMALL", small)
     texts = [*corpus(k), None, "", "  \n", "one", "ONE", "one two", "x" * 200_000, "A\x0bb c d E", "a b c d e"]
     rows = [(3 * i - 7, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -66,6 +67,31 @@ def test_large_group_of_near_copies_is_joined(spark):
     assert set(found.component_id) == {0}
 
 
+@pytest.mark.parametrize("percent", [60, 75, 85])
+def test_differences_to_a_pivot_lose_no_pair(spark, percent):
+    # one family in which many pairs are just similar or just not; every node is in one star
+    rng = random.Random(percent)
+    base = list(range(40))
+    sets = [sorted({*rng.sample(base, 40 - rng.randint(0, 14)), *rng.sample(range(100, 130), rng.randint(0, 9))}) for _ in range(70)]
+    stars = spark.createDataFrame([(0, 0, i, i, len(t), i) for i, t in enumerate(sets)], "p long, dp long, node long, d long, n long, root long")
+    tokens = spark.createDataFrame([(i, i, t) for i, t in enumerate(sets)], "node long, d long, tokens array<bigint>")
+    links, pairs = ngram_join._near_pivots(ngram_join._differences(stars, tokens, percent), percent)
+    similar = {(i, j) for i in range(70) for j in range(i + 1, 70) if 100 * len({*sets[i]} & {*sets[j]}) >= percent * len({*sets[i]} | {*sets[j]})}
+    sure = {(min(r), max(r)) for r in links.collect()}
+    assert sure <= similar
+    tried = {(min(r.a, r.b), max(r.a, r.b)) for r in pairs.collect()}
+
+    def classes(edges):
+        root = list(range(70))
+        for a, b in edges:
+            low, high = sorted((root[a], root[b]))
+            root = [low if x == high else x for x in root]
+        return root
+
+    assert classes(sure | (tried & similar)) == classes(similar)
+    assert len(tried) < 70 * 69 // 2
+
+
 def test_nulls_repeated_rows_and_clashing_names(spark):
     rows = [(5, "a b c d e f", 1), (5, "a b c d e f", 1), (None, "a b c d e f", 2), (None, "q r s t u v", 3), (None, None, 4), (9, None, 5), (2, "x y z", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n long").withColumnsRenamed({}).selectExpr("*", "1 AS sig", "2 AS node", "3 AS component_id")
