@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,14 +124,16 @@ def document(data: bytes, position: int) -> np.ndarray:
 class PieceEncoder:
     """The library's ids of whole texts, encoded piece by piece.
 
-    A text is cut before each single space between two other characters, where the byte-level
+    A text is cut before each space that another character than white space follows, where the byte-level
     pattern always begins a new word, so the pieces' ids follow each other as in the whole text.
     Each distinct piece is encoded by the library once; the ids of texts are gathered from those.
     """
 
     _loaded: dict[str, PieceEncoder] = {}
-    _uneven = re.compile(r"\s\s|\x00")
-    _cut = re.compile(r"(?<=\S) (?=\S)")
+    #: A space before white space, as Arrow's patterns and as Python's tell it.
+    _uneven = r" [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    _cut = re.compile(r" (?=\S)")
+    _space = re.compile(r"\s")
 
     @classmethod
     def load(cls, path: str) -> PieceEncoder:
@@ -147,58 +150,81 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        line = self._ids(["\n", "\n a\na"])
+        # a line feed between pieces is a word of its own in byte-level patterns; where it isn't, pieces are encoded one by one
+        self.line = line[0][0] if len(line[0]) == 1 and line[1] == [*line[0], *self._ids([" a"])[0], *line[0], *self._ids(["a"])[0]] else None
         self._forget()
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.ends = [0]
+        self.ids, self.ends, self.known = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        start, n = int(self.ends[self.known]), len(pieces)
+        while start + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.known + n >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[start : start + len(ids)] = ids
+        self.ends[self.known + 1 : self.known + n + 1] = start + np.cumsum(counts)
+        self.number.update(zip(pieces, range(self.known, self.known + n), strict=True))
+        self.known += n
 
     def _learn(self, pieces: list[str]) -> None:
-        # a text's first piece is marked by NUL; all others follow a space
-        found = self.library.encode_batch_fast([p[1:] if p[:1] == "\x00" else " " + p for p in pieces], add_special_tokens=False)
-        for piece, x in zip(pieces, found, strict=True):
-            ids = x.ids
-            start = self.ends[-1]
-            end = start + len(ids)
-            if end > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
-            self.ids[start:end] = ids
-            self.number[piece] = len(self.ends) - 1
-            self.ends.append(end)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        together = [p for p in pieces if not self._space.search(p, 1) and p != " "] if self.line is not None else []
+        if together:
+            ids = np.array(self._ids(["\n".join(together)])[0], np.uint32)
+            at = np.flatnonzero(ids == self.line)
+            if len(at) == len(together) - 1:
+                self._keep(together, np.delete(ids, at), np.diff(at, prepend=-1, append=len(ids)) - 1)
+        alone = [p for p in pieces if p not in self.number]
+        found = self._ids(alone)
+        self._keep(alone, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        new = [p for p in pieces if p not in self.number]
+        if new:
+            self._learn(list(dict.fromkeys(new)))
+            self.long += [p for p in new if len(p) > MAX_KEPT]
+        return np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        if len(self.number) > CACHE_PIECES:
+        if self.known > CACHE_PIECES:
             self._forget()
-        pieces: list[str] = []
-        counts = []
-        whole: list[str] = []
-        for text in texts:
-            if self._uneven.search(text):
-                if "\x00" in text:  # NUL marks first pieces, so such a text is one piece
-                    parts = ["\x00" + text]
-                else:
-                    parts = self._cut.split(text)
-                    parts[0] = "\x00" + parts[0]
-            else:
-                parts = text.split(" ")
-                parts[0] = "\x00" + parts[0]
-            counts.append(len(parts))
-            pieces += parts
-        new = set(pieces).difference(self.number)
-        if new:
-            self._learn(sorted(new))
-            whole = [p for p in new if len(p) > MAX_KEPT]
-        at = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
-        ends = np.array(self.ends)
-        start, n = ends[at], ends[at + 1] - ends[at]
+        self.long: list[str] = []
+        uneven = np.asarray(pc.match_substring_regex(texts, self._uneven)).astype(bool) if len(texts) else np.zeros(0, bool)
+        split = pc.split_pattern(pc.filter(texts, pa.array(~uneven)), " ")
+        pieces = split.flatten().dictionary_encode()
+        counts = np.zeros(len(texts), np.int64)
+        counts[~uneven] = np.asarray(pc.list_value_length(split))
+        # all pieces but a text's first follow a space
+        key, strings = np.asarray(pieces.indices), pieces.dictionary
+        begins = np.zeros(len(key), bool)
+        begins[np.cumsum(counts[~uneven]) - counts[~uneven]] = True
+        of = np.empty(len(key), np.int64)
+        for where, space in ((begins, ""), (~begins, " ")):
+            used, inverse = np.unique(key[where], return_inverse=True)
+            of[where] = self._numbers([space + p for p in strings.take(pa.array(used)).to_numpy(zero_copy_only=False).tolist()])[inverse]
+        if uneven.any():
+            odd = []
+            for text in pc.filter(texts, pa.array(uneven)).to_pylist():
+                first, *rest = self._cut.split(text)
+                odd.append([first, *(" " + p for p in rest)])
+            counts[uneven] = [len(x) for x in odd]
+            mixed = np.empty(int(counts.sum()), np.int64)
+            is_odd = np.repeat(uneven, counts)
+            mixed[~is_odd], mixed[is_odd] = of, self._numbers([p for x in odd for p in x])
+            of = mixed
+        start, n = self.ends[of], self.ends[of + 1] - self.ends[of]
         total = np.concatenate([[0], np.cumsum(n)])
         ids = self.ids[np.repeat(start - total[:-1], n) + np.arange(total[-1])]
-        bounds = total[np.cumsum([0, *counts])]
-        for p in whole:  # their ids stay in the store until it is emptied, but they'd be keys of any length
-            del self.number[p]
-        return ids, np.diff(bounds)
+        for p in self.long:  # their ids stay in the store until it is emptied, but they'd be keys of any length
+            self.number.pop(p, None)
+        return ids, np.diff(total[np.concatenate([[0], np.cumsum(counts)])])
 
 
 def write(documents: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", end_id: int = 0) -> DataFrame:
@@ -215,7 +241,7 @@ def write(documents: DataFrame, path: str, text_col: str = "text", id_col: str =
         for batch in batches:
             for first, end, _, _ in chunks(batch.column(1), SEGMENT_BYTES):
                 some = batch.slice(first, end - first)
-                ids, n = encoder.encode(some.column(1).to_pylist())
+                ids, n = encoder.encode(some.column(1))
                 tokens = n + 1
                 out = np.full(int(tokens.sum()), end_id, np.uint32)
                 out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -35,7 +36,7 @@ def test_one_document_of_a_segment():
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(st.one_of(st.sampled_from(" \n\t\x00a'sé\x1c\xa0"), st.characters(exclude_categories=["Cs"])), max_size=40), max_size=5))
 def test_pieces_encode_like_the_library(texts):
-    ids, n = token_files.PieceEncoder.load(PATH).encode(texts)
+    ids, n = token_files.PieceEncoder.load(PATH).encode(pa.array(texts, pa.string()))
     expected = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
     assert ids.tolist() == sum(expected, []) and n.tolist() == [len(x) for x in expected]
 
