@@ -1,9 +1,11 @@
 """Personal data and secrets replaced by surrogates of the same type and form.
 
+Types: names of known given names (and their later or earlier mentions by one of the two names), mail
+and IP addresses, telephone, card, account and social security numbers, dates of birth, and secrets.
 A surrogate is a keyed permutation of the entity within its shape: the places of digits, letters
-and fixed characters stay, as do vowels and consonants of names, the alphabet of a hexadecimal
+and fixed characters stay, as do the script of digits, vowels and consonants of names, the alphabet of a hexadecimal
 secret, a card number's first digit and check digit, a telephone's country code and
-fictitious exchange, and an address's network class. Given names are exchanged for others of
+fictitious exchange, and the network of an address that is in one with a use of its own. Given names are exchanged for others of
 the same gender and script. A permutation without fixed points gives every entity another value,
 gives distinct entities distinct ones (no collision can arise within a shape, and what two
 shapes could share is walked past, so they don't meet), and gives the same entity the same
@@ -17,46 +19,55 @@ import hashlib
 import hmac
 import ipaddress
 import re
+import secrets
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Given names by script and gender.
 GIVEN = {
-    ("latin", "female"): ["Alice", "Anna", "Barbara", "Carmen", "Charlotte", "Elizabeth", "Emma", "Hannah", "Isabella", "Julia", "Laura", "Linda", "Maria", "Mary", "Olivia", "Patricia", "Sophie", "Susan"],
-    ("latin", "male"): ["Andrew", "Carlos", "Daniel", "David", "Edward", "Hans", "James", "Jean", "John", "Joseph", "Michael", "Paul", "Pedro", "Peter", "Richard", "Robert", "Thomas", "William"],
+    ("latin", "female"): ["Alice", "Anna", "Barbara", "Carmen", "Charlotte", "Elizabeth", "Emma", "Hannah", "Isabella", "Julia", "Laura", "Linda", "Maria", "Mary", "Olivia", "Patricia", "Sophie", "Susan", "Aisha", "Fatima", "Ingrid", "Lakshmi", "Priya", "Yuki"],
+    ("latin", "male"): ["Andrew", "Carlos", "Daniel", "David", "Edward", "Hans", "James", "Jean", "John", "Joseph", "Michael", "Paul", "Pedro", "Peter", "Richard", "Robert", "Thomas", "William", "Ahmed", "Hiroshi", "Mohammed", "Omar", "Ravi", "Wei"],
     ("cyrillic", "female"): ["Анна", "Елена", "Ирина", "Мария", "Наталья", "Ольга", "Светлана", "Татьяна"],
     ("cyrillic", "male"): ["Александр", "Алексей", "Андрей", "Дмитрий", "Иван", "Михаил", "Николай", "Сергей"],
     ("greek", "female"): ["Αικατερίνη", "Άννα", "Ελένη", "Μαρία", "Σοφία"],
     ("greek", "male"): ["Γεώργιος", "Δημήτρης", "Ιωάννης", "Κωνσταντίνος", "Νικόλαος"],
 }
 PLACE = {name: (group, i) for group, names in GIVEN.items() for i, name in enumerate(names)}
-_CALLED = [name + " " for name in PLACE]  # every name that _NAME finds holds one of these
 
 # Alphabets whose characters are exchanged among themselves in surnames and other words.
-ALPHABETS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρσςτφχψ", "0123456789"]
+ALPHABETS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρσςτφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ", "άέήίόύώ", "áàâäãåéèêëíìîïóòôöõúùûüýÿ", "ñçšžćčđłśźżńßþð", "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÝ", "ÑÇŠŽĆČĐŁŚŹŻŃÞÐ", "ёйъьіїєґ", "0123456789"]
 _WORD = {c: a for a in ALPHABETS for c in a}
 _PLAIN = {c: a for a in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789") for c in a}
 _HEX = {c: a for a in ("abcdef", "ABCDEF", "0123456789") for c in a}
 _HEX_LETTERS = frozenset("0123456789abcdefABCDEF")
 
 _EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
-_IP = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)")
-_CARD = re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])")
-_PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}(?!\w)")
-_SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
-_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+# Patterns with digits are searched in the text with all scripts' decimal digits as ASCII ones.
+_IP = re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.]*[0-9])")
+_IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:])")
+_BORN = re.compile(r"(?i:\b(?:born(?: on)?|date of birth|birth ?date|d\.?o\.?b\.?))\s*[:=]?\s*([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4})(?![0-9])")
+_CARD = re.compile(r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])")
+_PHONE = re.compile(r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,5}(?!\w)")
+_SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
+_IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+_SERVICE_KEY = re.compile(r"(?<![A-Za-z0-9_-])(sk-|pk-|sk_live_|sk_test_|ghp_|gho_|xoxb-|xoxp-)([A-Za-z0-9_-]{16,})(?![A-Za-z0-9_-])")
+_SERVICES = ("sk-", "pk-", "sk_", "gh", "xox")
 _CLOUD_KEY = re.compile(r"(?<![A-Za-z0-9])(AKIA|ASIA)([A-Z0-9]{16})(?![A-Za-z0-9])")
 _SECRET = re.compile(r"(?i)(?<!\w)(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s*[=:]\s*([\"']?)([^\s\"'<>]{6,})")
 _SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "api_key", "api-key", "apikey")
-_NAME = re.compile(rf"(?<!\w)({'|'.join(PLACE)})( )([^\W\d_][\w'’-]+)(?!\w)")
+_NAME = re.compile(rf"(?<!\w)({'|'.join(PLACE)})(\s+)([^\W\d_][\w'’-]+)(?!\w)")
 _EXAMPLE = re.compile(r"(?:^|\.)example$")
-_DIGIT = re.compile(r"[0-9][^ \n]*[0-9]")
+_DIGIT = re.compile(r"[0-9][ .-]?[0-9]")  # in all that the patterns with digits find, but for those of hexadecimal ones
+_OTHER_DIGIT = re.compile(r"(?![0-9])\d")
+_ASCII = {c: ord("0") + unicodedata.decimal(chr(c)) for c in range(128, 0x20000) if unicodedata.category(chr(c)) == "Nd"}
+# Networks with a use of their own; an address in one of them stays in it.
+NETWORKS = [ipaddress.IPv4Network(n) for n in ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4")]
 _ROUNDS = 8
 
 
@@ -122,7 +133,24 @@ class Surrogates:
     def _of(self, kind: str, value: str) -> str:
         times = self.again.get((kind, plain(kind, value)), 0) if self.again else 0
         maker = type(self)(self._key("again", str(times))) if times else self
-        return getattr(maker, "_" + kind)(value)
+        as_ascii = value.translate(_ASCII)
+        made = getattr(maker, "_" + kind)(as_ascii)
+        if made == as_ascii:  # nothing in it could be moved
+            made = maker._unlike(kind, value)
+        if as_ascii == value:
+            return made
+        # digits come back in the script of the digit at their place, or where the length differs in that of the first other one
+        at = next(i for i, c in enumerate(value) if ord(c) in _ASCII)
+        of = value if len(made) == len(value) else value[at] * len(made)
+        return "".join(_digit(m, c) if m in _DIGITS and c.isdecimal() else m for m, c in zip(made, of, strict=True))
+
+    def _unlike(self, kind: str, value: str) -> str:
+        """As many letters as value has characters; for values without any character of a known alphabet."""
+        made, n = "", 0
+        while len(made) < len(value) or made == value:
+            made = (made + "".join(chr(97 + b % 26) for b in self._key("unlike", kind, value, str(n))))[: len(value)] if len(made) < len(value) else ""
+            n += 1
+        return made
 
     def _email(self, value: str) -> str:
         # letters of either case are one mailbox; the case of each place stays
@@ -137,13 +165,39 @@ class Surrogates:
         return "".join(m.upper() if c.isupper() else m for m, c in zip(made, value, strict=True))
 
     def _ip(self, value: str) -> str:
-        number, want = int(ipaddress.IPv4Address(value)), None
-        sort = lambda a: (a.is_private, a.is_loopback, a.is_multicast, a.is_reserved, a.is_link_local)
-        want = sort(ipaddress.IPv4Address(number))
+        address = ipaddress.IPv4Address(value)
+        for net in NETWORKS:
+            if address in net:
+                return str(net[moved(int(address) - int(net[0]), net.num_addresses, self._key("ip", str(net)))])
         while True:
-            number = moved(number, 1 << 32, self._key("ip"))
-            if sort(ipaddress.IPv4Address(number)) == want:
-                return str(ipaddress.IPv4Address(number))
+            address = ipaddress.IPv4Address(moved(int(address), 1 << 32, self._key("ip")))
+            if not any(address in net for net in NETWORKS):
+                return str(address)
+
+    def _ip6(self, value: str) -> str:
+        return self.shaped("ip6", value, _HEX)
+
+    def _born(self, value: str) -> str:
+        # days of 1900 to 2099 in the given form, the 29th of February aside; other dates move digit by digit
+        iso = value[4] == "-"
+        numbers = [int(x) for x in re.split(r"[-/.]", value)]
+        year, month, day = numbers if iso else reversed(numbers)
+        months = [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
+        if not (1900 <= year < 2100 and 1 <= month <= 12 and 1 <= day <= months[month - 1]) or len(value) != 10:
+            return self.shaped("date", value, _PLAIN, lambda m: self._is_day(m))
+        x = moved((year - 1900) * 365 + sum(months[: month - 1]) + day - 1, 200 * 365, self._key("born", value[4], value[2]) if iso else self._key("born", value[2]))
+        year, x = divmod(x, 365)
+        month = next(i for i in range(12) if x < sum(months[: i + 1]))
+        day = x - sum(months[:month]) + 1
+        return f"{1900 + year}-{month + 1:02d}-{day:02d}" if iso else f"{day:02d}{value[2]}{month + 1:02d}{value[5]}{1900 + year}"
+
+    @staticmethod
+    def _is_day(value: str) -> bool:
+        """Whether a date is one of those that _born() moves among themselves."""
+        iso = value[4] == "-"
+        numbers = [int(x) for x in re.split(r"[-/.]", value)]
+        year, month, day = numbers if iso else reversed(numbers)
+        return len(value) == 10 and 1900 <= year < 2100 and 1 <= month <= 12 and 1 <= day <= [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][month - 1]
 
     def _card(self, value: str) -> str:
         digits = [int(c) for c in value if c.isdigit()]
@@ -182,16 +236,29 @@ class Surrogates:
     def _cloud_key(self, value: str) -> str:
         return value[:4] + self.shaped("cloud_key" + value[:4], value[4:], _PLAIN)
 
+    def _service_key(self, value: str) -> str:
+        prefix = _SERVICE_KEY.match(value)[1]
+        return prefix + self.shaped("service" + prefix, value[len(prefix) :], _PLAIN)
+
     def _secret(self, value: str) -> str:
         if _HEX_LETTERS.issuperset(value):
             return self.shaped("hex", value, _HEX)
         return self.shaped("secret", value, _PLAIN, _HEX_LETTERS.issuperset)
 
     def _name(self, value: str) -> str:
-        given, _, family = value.partition(" ")
-        group, i = PLACE[given]
-        names = GIVEN[group]
-        return names[moved(i, len(names), self._key("given", *group))] + " " + self.shaped("family", family, _WORD)
+        given, space, family = re.split(r"(\s+)", value, maxsplit=1)
+        return self._given(given) + space + self._family(family)
+
+    def _given(self, value: str) -> str:
+        group, i = PLACE[value]
+        return GIVEN[group][moved(i, len(GIVEN[group]), self._key("given", *group))]
+
+    def _family(self, value: str) -> str:
+        made = self.shaped("family", value, _WORD)
+        return made if made != value else self._unlike("family", value)
+
+
+_DIGITS = frozenset("0123456789")
 
 
 def _filled(form: str, digits: list[int]) -> str:
@@ -206,7 +273,7 @@ def _digit(made: str, before: str) -> str:
 
 def plain(kind: str, value: str) -> str:
     """The form that mentions of one entity share: mailboxes have no case."""
-    return value.lower() if kind == "email" else value
+    return value.lower() if kind == "email" else re.sub(r"\s+", " ", value) if kind == "name" else value
 
 
 def luhn(digits: list[int]) -> int:
@@ -237,14 +304,25 @@ def find(text: str) -> list[tuple[int, int, str]]:
         add("cloud_key", _CLOUD_KEY.finditer(text))
     if "@" in text:
         add("email", _EMAIL.finditer(text))
-    if _DIGIT.search(text):
-        add("ip", (m for m in _IP.finditer(text) if all(int(x) < 256 and (x == "0" or x[0] != "0") for x in m[0].split("."))))
-        add("ssn", _SSN.finditer(text))
-        add("phone", _PHONE.finditer(text))
-        add("card", (m for m in _CARD.finditer(text) if _is_card(m[0])))
-        add("iban", _IBAN.finditer(text))
-    if any(called in text for called in _CALLED):
-        add("name", (m for m in _NAME.finditer(text) if m[3][0].isupper() and _script(m[3]) == PLACE[m[1]][0][0]))
+    if any(w in text for w in _SERVICES):
+        add("service_key", _SERVICE_KEY.finditer(text))
+    digits = text if text.isascii() or not _OTHER_DIGIT.search(text) else text.translate(_ASCII)
+    if _DIGIT.search(digits):
+        add("ip", (m for m in _IP.finditer(digits) if all(int(x) < 256 and (x == "0" or x[0] != "0") for x in m[0].split("."))))
+        add("ssn", _SSN.finditer(digits))
+        add("born", _BORN.finditer(digits), 1)
+        add("phone", _PHONE.finditer(digits))
+        add("card", (m for m in _CARD.finditer(digits) if _is_card(m[0])))
+        add("iban", _IBAN.finditer(digits))
+    if "::" in digits or digits.count(":") > 6:
+        add("ip6", (m for m in _IP6.finditer(digits) if _is_ip6(m[0])))
+    if any(name in text for name in PLACE):
+        names = [m for m in _NAME.finditer(text) if m[3][0].isupper() and _script(m[3]) == PLACE[m[1]][0][0]]
+        add("name", names)
+        # later or earlier mentions by one of the two names
+        for kind, words in (("given", {m[1] for m in names}), ("family", {m[3] for m in names})):
+            for word in sorted(words):
+                found.extend((at, -at - len(word), len(found), kind) for at in _mentions(text, word))
     if not found:
         return []
     out, end = [], 0
@@ -255,8 +333,22 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _mentions(text: str, word: str) -> Iterator[int]:
+    at = text.find(word)
+    while at >= 0:
+        end = at + len(word)
+        if not (at and (text[at - 1].isalnum() or text[at - 1] == "_")) and not (end < len(text) and (text[end].isalnum() or text[end] == "_")):
+            yield at
+        at = text.find(word, end)
 
 
+def _is_ip6(value: str) -> bool:
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return False
+    return any(c in _HEX_LETTERS for c in value) and len(value) > 6
+
 
 def _is_card(value: str) -> bool:
     digits = [int(c) for c in value if c.isdigit()]
@@ -282,6 +374,19 @@ def replace(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[str, int
     return "".join([*out, text[at:]]), told
 
 
+#: The session's setting that holds the key of surrogates.
+KEY = "spark.tallyloom.pii.key"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session sets. Where it sets none, a random one that nobody can know, kept for the session: then surrogates are the same within it, and other ones in the next."""
+    key = spark.conf.get(KEY, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY, key)
+    return key
+
+
 ENTITY = T.StructType([T.StructField("type", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("surrogate", T.StringType())])
 _ARROW = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
 

@@ -57,8 +57,7 @@ def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with surrogates for personal data and secrets."""
     from . import pii
 
-    key = spark.conf.get("spark.tallyloom.pii.key", "a key for tests only")
-    found = pii.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+    found = pii.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
     return found.select("doc_id", "text", F.size("entities").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("entities.type")), ",").alias("types"))
 
 
