@@ -14,8 +14,10 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -41,22 +43,36 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-def _ranges(category: str) -> str:
-    """The characters of a general category as the inside of a character class."""
-    out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == category
-        if inside and start is None:
-            start = c
-        elif not inside and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+def _ranges(chars: str) -> str:
+    """Ascending characters as the inside of a character class."""
+    out, start, before = [], None, None
+    for c in [*map(ord, chars), None]:
+        if start is not None and c != before + 1:
+            out.append(f"\\U{start:08x}-\\U{before:08x}")
             start = None
+        start, before = c if start is None else start, c
     return "".join(out)
 
 
+@cache
+def _class(name: str) -> str:
+    """The characters of a class as the library's own version of Unicode has them."""
+    from tokenizers import Regex, pre_tokenizers
+
+    split = pre_tokenizers.Split(Regex(rf"[^\p{{{name}}}]+"), "removed")
+    every = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    return _ranges("".join(piece for i in range(0, len(every), 4096) for piece, _ in split.pre_tokenize_str("".join(every[i : i + 4096]))))
+
+
 def _compiled(pattern: str) -> re.Pattern:
     """A pattern with \\s, \\p{L} and \\p{N} for the re module."""
-    return re.compile(pattern.replace(r"\s", _WHITE).replace(r"\p{L}", _ranges("L")).replace(r"\p{N}", _ranges("N")))
+    return re.compile(pattern.replace(r"\s", _WHITE).replace(r"\p{L}", _class("L")).replace(r"\p{N}", _class("N")))
+
+
+@cache
+def _unassigned() -> np.ndarray:
+    """Whether Python's version of Unicode lacks each code point: what becomes of those characters is left to the library."""
+    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)])
 
 
 class WordBpe:
@@ -87,6 +103,9 @@ class WordBpe:
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in special.items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.at_special = re.compile("(" + "|".join(re.escape(t) for t in sorted(special, key=len, reverse=True)) + ")") if special else None
+        from tokenizers import Tokenizer
+
+        self.normalizer = Tokenizer.from_file(path).normalizer
         splits = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.pieces = _compiled(splits[0])
         self.kept: dict[str, tuple[int, ...]] = {}
@@ -145,8 +164,11 @@ class WordBpe:
 
     def _plain(self, text: str) -> list[int]:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            words = _SPACE.split(text.lower())
+            if _unassigned()[np.frombuffer(text.encode("utf-32-le"), "<u4")].any():
+                words = _SPACE.split(self.normalizer.normalize_str(text))
+            else:
+                text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+                words = _SPACE.split(text.lower())
         else:
             low = text.lower()
             words = _SPACE.split(low) if _CONTROL_SPACE.search(low) else low.split()
