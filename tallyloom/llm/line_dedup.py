@@ -122,20 +122,21 @@ def later_copies(documents: DataFrame, text_col: str = "text", id_col: str = "do
     return gone.join(rows.select(*_DOC, "stretch", "pos", "at"), [*_DOC, "stretch", "pos"]).groupBy(*_DOC).agg(F.collect_set("at").alias("gone"))
 
 
-def dedup(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """documents with later copies of repeated line runs deleted from the text, and lines_deleted.
+def dedup(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS, to: str = "lines_deleted") -> DataFrame:
+    """documents with later copies of repeated line runs deleted from the text, and their number in a column `to`.
 
     A run is any number of whole adjacent lines, blank ones aside, of at least min_words words (parts
     between spaces). Lines are compared as they are. The first copy in the order of ids (a missing id
     counts as 0), then of a hash of the text, stays; blank lines stay. A null text stays null, an
     empty one empty, and a text may become empty. Rows equal in id and text are one document and
-    get the same result. A column named lines_deleted is replaced; an empty table gives no rows.
+    get the same result. Where a run overlaps its own copy, as when one line is repeated, the copy's
+    lines go and the first ones stay. A column named as `to` is replaced; an empty table gives no rows.
     """
     gone = later_copies(documents, text_col, id_col, min_words)
-    keyed = _with_key(documents.drop(*[c for c in documents.columns if c == "lines_deleted" and c not in (text_col, id_col)]), text_col, id_col)
+    keyed = _with_key(documents.drop(*[c for c in documents.columns if c == to and c not in (text_col, id_col)]), text_col, id_col)
     joined = keyed.join(gone, _DOC, "left")
     lines = F.split(F.col(text_col), "\n")
     rest = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
-    out = {c: F.col(c) for c in documents.columns if c != "lines_deleted"}
+    out = {c: F.col(c) for c in documents.columns if c != to}
     out[text_col] = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(rest).alias(text_col)
-    return joined.select(*[out[c].alias(c) for c in out], F.coalesce(F.size("gone"), F.lit(0)).alias("lines_deleted"))
+    return joined.select(*[out[c].alias(c) for c in out], F.coalesce(F.size("gone"), F.lit(0)).alias(to))

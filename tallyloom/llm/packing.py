@@ -28,11 +28,11 @@ SCHEMA = "shard bigint, bin bigint, position int, bin_start int, __key bigint, p
 
 
 class Bins:
-    """The open bins of a shard by residual."""
+    """The open bins of a shard by residual, and for each residual by the bitmap of the sources that they are full of."""
 
     def __init__(self, capacity: int, per_source: int):
         self.capacity, self.per_source = capacity, per_source
-        self.by_room: dict[int, dict[tuple[int, int], list[int]]] = defaultdict(lambda: defaultdict(list))
+        self.by_room: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         self.rooms = 0  # bit r is set while a bin with residual r is open
         self.held: list[dict[int, int]] = []  # per bin: pieces of each source
         self.room: list[int] = []
@@ -40,79 +40,110 @@ class Bins:
         self.clusters: list[int] = []
         self.pieces: list[int] = []
 
-    def _open(self, b: int) -> None:
+    def open(self, b: int) -> None:
         r = self.room[b]
         if r:
-            self.by_room[r][self.full[b], self.clusters[b]].append(b)
+            self.by_room[r][self.full[b]].append(b)
             self.rooms |= 1 << r
 
-    def place(self, size: int, source: int, cluster: int) -> tuple[int, int, int]:
-        """Puts a piece of `size` words in the tightest compatible bin: (bin, position, start). source and cluster are bits, cluster 0 for none."""
-        rest = self.rooms >> size
-        found = -1
-        room = size
+    def _take(self, size: int, source: int, cluster: int) -> int:
+        """The tightest compatible open bin, no longer open; -1 if there is none."""
+        rest, room = self.rooms >> size, size
         while rest:
             step = (rest & -rest).bit_length() - 1
             room += step
-            for (full, clusters), bins in self.by_room[room].items():
-                if not (full & source or clusters & cluster):
-                    found = bins.pop()
+            here = self.by_room[room]
+            for full, bins in here.items():
+                if full & source:
+                    continue
+                for i in range(len(bins) - 1, -1, -1):
+                    if self.clusters[bins[i]] & cluster:
+                        continue
+                    found = bins.pop(i)
                     if not bins:
-                        del self.by_room[room][full, clusters]
-                        if not self.by_room[room]:
+                        del here[full]
+                        if not here:
                             self.rooms &= ~(1 << room)
-                    break
-            if found >= 0:
-                break
+                    return found
             rest >>= step + 1
             room += 1
-        if found < 0:
-            found = len(self.room)
+        return -1
+
+    def put(self, size: int, source: int, cluster: int) -> tuple[int, int, int]:
+        """Puts a piece of `size` words in the tightest compatible bin, which is then not open: (bin, position, start). source and cluster are bits, cluster 0 for none."""
+        b = self._take(size, source, cluster)
+        if b < 0:
+            b = len(self.room)
             self.room.append(self.capacity)
             self.full.append(0)
             self.clusters.append(0)
             self.pieces.append(0)
             self.held.append({})
-        b = found
         start = self.capacity - self.room[b]
         self.room[b] -= size
-        self.held[b][source] = held = self.held[b].get(source, 0) + 1
-        if held >= self.per_source:
-            self.full[b] |= source
+        if size:
+            self.held[b][source] = held = self.held[b].get(source, 0) + 1
+            if held >= self.per_source:
+                self.full[b] |= source
         self.clusters[b] |= cluster
         self.pieces[b] += 1
-        self._open(b)
         return b, self.pieces[b] - 1, start
 
+    def place(self, size: int, source: int, cluster: int) -> tuple[int, int, int]:
+        """put(), and the bin is open again."""
+        found = self.put(size, source, cluster)
+        self.open(found[0])
+        return found
+
+
+def quota(words: np.ndarray, source: np.ndarray, capacity: int, per_source: int) -> int:
+    """How many pieces of a source a bin takes: per_source, or twice an even share of an average bin's pieces where a shard has so few sources that bins would stay empty."""
+    some = words[words > 0]
+    if not len(some):
+        return per_source
+    return max(per_source, int(-(-2 * capacity // (some.mean() * len(np.unique(source))))))
+
 
 def pack_shard(words: np.ndarray, source: np.ndarray, cluster: np.ndarray, key: np.ndarray, piece: np.ndarray, capacity: int, per_source: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bin, position, start) of each piece. Ties in size go by key and piece, so the result depends on the rows alone."""
-    order = np.lexsort((piece, key, -words))
+    """(bin, position, start) of each piece. Ties in size go by cluster, key, piece and source, so the result depends on the rows alone; rows equal in all of these are exchangeable. Pieces of no words are in no cluster and count for no source."""
+    order = np.lexsort((source, piece, key, cluster, -words))
     _, src = np.unique(source, return_inverse=True)
-    _, clu, often = np.unique(cluster, return_inverse=True, return_counts=True)
+    _, clu, often = np.unique(np.where(words > 0, cluster, 0), return_inverse=True, return_counts=True)
     # a cluster with one piece here conflicts with nothing and needs no bit
     bit = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[clu]
-    bins = Bins(capacity, per_source)
+    bit[words == 0] = -1
+    bins = Bins(capacity, quota(words, source, capacity, per_source))
     out = np.zeros((3, len(words)), np.int64)
+    before, waiting = None, []
     for i in order.tolist():
-        out[:, i] = bins.place(int(words[i]), 1 << int(src[i]), 1 << int(bit[i]) if bit[i] >= 0 else 0)
+        # copies of one size come together, and none can join the bin of another: those bins open again after the last
+        if (words[i], bit[i]) != before:
+            for b in waiting:
+                bins.open(b)
+            before, waiting = (words[i], bit[i]), []
+        out[:, i] = found = bins.put(int(words[i]), 1 << int(src[i]), 1 << int(bit[i]) if bit[i] >= 0 else 0)
+        if bit[i] >= 0:
+            waiting.append(found[0])
+        else:
+            bins.open(found[0])
     return out[0], out[1], out[2]
 
 
-def pack(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_words: int = SHARD_WORDS) -> DataFrame:
+def pack(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_words: int = SHARD_WORDS, cluster_col: str | None = None) -> DataFrame:
     """One row per piece: id, piece, piece_start, n_words, shard, bin, position, bin_start, cluster.
 
     A document of over `capacity` words is cut into pieces of `capacity` and a rest; a null, empty
-    or blank text is one piece of no words. A bin takes per_source pieces of a source at most (null
-    is a source of its own), and no two pieces of one duplicate cluster: texts equal but for case
+    or blank text is one piece of no words, without a cluster. A bin takes per_source pieces of a source at most (null
+    is a source of its own; more where a shard has few sources, see quota()), and no two pieces of one duplicate cluster: the values of
+    cluster_col, such as the component_id of ngram_join, or without one texts equal but for case
     and white space. Pieces of one document are of one cluster. bin is unique within a shard.
     Rows without an id are packed like others; repeated rows are packed each, dealt to shards by their number. An empty table
     gives no rows; further columns are ignored.
     """
     normal = F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[ \t\n\x0B\f\r]+", " ")))
-    texts = documents.select(F.col(id_col).alias("__key"), F.xxhash64(F.col(source_col), F.col(source_col).isNull()).alias("__source"), normal.alias("__normal"))
+    texts = documents.select(F.col(id_col).alias("__key"), F.xxhash64(F.col(source_col), F.col(source_col).isNull()).alias("__source"), (F.xxhash64(normal) if cluster_col is None else F.xxhash64(F.col(cluster_col))).alias("__cluster"), normal.alias("__normal"))
     rows = texts.select(
-        "__key", "__source", F.xxhash64("__normal").alias("__cluster"),
+        "__key", "__source", "__cluster",
         F.when(F.col("__normal") == "", 0).otherwise(F.length("__normal") - F.length(F.replace("__normal", F.lit(" "), F.lit(""))) + 1).cast("bigint").alias("__words"),
     )
     return pack_rows(written(rows, "packing-rows"), id_col, capacity, per_source, shard_words)
@@ -137,7 +168,7 @@ def pack_rows(rows: DataFrame, id_col: str, capacity: int, per_source: int, shar
         words, source, cluster, piece = (t.column(c).to_numpy() for c in ("__words", "__source", "__cluster", "__piece"))
         keys = t.column("__key").combine_chunks()
         bins, position, start = pack_shard(words, source, cluster, np.asarray(keys.fill_null(-(1 << 63))), piece, capacity, per_source)
-        made = [pa.array(np.full(len(t), key[0].as_py(), np.int64)), pa.array(bins), pa.array(position.astype(np.int32)), pa.array(start.astype(np.int32)), keys.cast(pa.int64()), pa.array(piece.astype(np.int32)), pa.array(piece.astype(np.int64) * capacity), pa.array(words.astype(np.int32)), pa.array(cluster)]
+        made = [pa.array(np.full(len(t), key[0].as_py(), np.int64)), pa.array(bins), pa.array(position.astype(np.int32)), pa.array(start.astype(np.int32)), keys.cast(pa.int64()), pa.array(piece.astype(np.int32)), pa.array(piece.astype(np.int64) * capacity), pa.array(words.astype(np.int32)), pa.array(cluster, mask=words == 0)]
         yield pa.RecordBatch.from_arrays(made, names=["shard", "bin", "position", "bin_start", "__key", "piece", "piece_start", "n_words", "cluster"])
 
     packed = pieces.groupBy("__shard").applyInArrow(fill, SCHEMA + ", cluster bigint")

@@ -18,7 +18,8 @@ def check(rows, found, capacity, per_source):
             at += r.n_words
         assert at <= capacity
         assert max(Counter(source[r.doc_id] for r in inside).values()) <= per_source
-        assert max(Counter(r.cluster for r in inside).values()) == 1
+        assert all(n == 1 for c, n in Counter(r.cluster for r in inside).items() if c is not None)
+        assert all((r.cluster is None) == (r.n_words == 0) for r in inside)
     words = defaultdict(int)
     for r in found:
         words[r.doc_id] += r.n_words
@@ -56,6 +57,45 @@ def test_each_piece_takes_the_tightest_compatible_bin():
         x["clusters"].add(cluster)
 
 
+def test_one_source_and_many_copies_fill_bins_in_linear_time():
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    took = []
+    for n in (10_000, 40_000):
+        words, cluster = rng.integers(20, 300, n // 2).repeat(2), np.arange(n // 2).repeat(2)
+        began = time.process_time()
+        bins, _, _ = packing.pack_shard(words, np.zeros(n, np.int64), cluster, np.arange(n), np.zeros(n, np.int64), 2048, 4)
+        took.append(time.process_time() - began)
+        assert bins.max() + 1 <= 1.05 * words.sum() / 2048 + 2
+        assert len(set(zip(bins.tolist(), cluster.tolist(), strict=True))) == n
+    assert took[1] < 12 * took[0]
+
+
+def test_order_of_rows_makes_no_difference_and_empty_texts_share_bins():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    words, source, cluster, key = rng.integers(0, 40, 600), rng.integers(0, 5, 600), rng.integers(0, 90, 600), rng.integers(0, 30, 600)
+    piece = np.zeros(600, np.int64)
+    rows = list(zip(words, source, cluster, key, strict=True))
+    found = []
+    for at in (np.arange(600), rng.permutation(600)):
+        made = packing.pack_shard(words[at], source[at], cluster[at], key[at], piece[at], 100, 2)
+        found.append(sorted((rows[i], *map(int, x)) for i, x in zip(at, zip(*made, strict=True), strict=True)))
+    assert found[0] == found[1]
+    empty = packing.pack_shard(np.zeros(4000, np.int64), np.zeros(4000, np.int64), np.ones(4000, np.int64), np.arange(4000), np.zeros(4000, np.int64), 2048, 4)
+    assert empty[0].max() == 0
+
+
+def test_a_given_cluster(spark):
+    df = spark.createDataFrame([(1, "a b c", "s", 7), (2, "d e f", "t", 7), (3, "g h i", "u", 8), (4, "j k", "v", None)], "doc_id long, text string, source string, component_id long")
+    found = {r.doc_id: r.bin for r in packing.pack(df, cluster_col="component_id").collect()}
+    assert found[1] != found[2] and len(set(found.values())) == 2
+
+
 def test_empty_table_and_repeated_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert packing.pack(empty).count() == 0
@@ -73,5 +113,5 @@ def test_repeated_and_blank_rows_are_dealt_out(spark):
         held = [r.shard for r in found if (r.doc_id is None) == nameless]
         assert len(held) == 2000 and max(held.count(s) for s in set(held)) < 400
     assert len({r.shard for r in packing.pack(df.where("doc_id IS NOT NULL"), shard_words=2000).collect()}) > 8
-    bins = [(r.shard, r.bin, r.cluster) for r in found]
-    assert len(set(bins)) == len(bins)
+    bins = [(r.shard, r.bin, r.cluster) for r in found if r.n_words]
+    assert len(set(bins)) == len(bins) == 2000
