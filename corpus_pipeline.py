@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from tallyloom.llm import line_dedup, ngram_join, packing, pii, quality
 from tallyloom.llm.common import table, written
 
-#: The session's setting that holds the key of surrogates.
-PII_KEY = "spark.tallyloom.pii.key"
-
-
 def _as_before(changed: DataFrame, docs: DataFrame) -> DataFrame:
     """changed with the columns of docs, n_chars following the text."""
     if "n_chars" in docs.columns:
@@ -19,6 +15,14 @@ def _as_before(changed: DataFrame, docs: DataFrame) -> DataFrame:
     return changed.select(*docs.columns)
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """name, or one made from it that docs has no column of."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
@@ -26,8 +30,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs of 50 words go; so do documents of which nothing but white space is left by that."""
-    cleaned = line_dedup.dedup(docs)
-    return _as_before(cleaned.where((F.col("lines_deleted") == 0) | F.col("text").rlike(r"\S")), docs)
+    deleted = _free(docs, "lines_deleted")
+    cleaned = line_dedup.dedup(docs, to=deleted)
+    return _as_before(cleaned.where((F.col(deleted) == 0) | F.col("text").rlike(r"\S")), docs)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +44,7 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets become surrogates."""
-    return _as_before(pii.with_surrogates(docs, spark.conf.get(PII_KEY, "a key for tests only")), docs)
+    return _as_before(pii.with_surrogates(docs, pii.session_key(spark), to=_free(docs, "entities")), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
