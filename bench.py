@@ -13,6 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import SparkSession
 
 from tallyloom.plans import catalog
+from tallyloom.plans.derive import Graph
 
 HEADLINE = [
     "providers_overview", "window_overlap_conversations", "graph_children_complete", "subagent_either_endpoint", "slice_sections", "semantic_token_calls", "headline_metrics",
@@ -31,7 +32,10 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries, took = catalog.queries(), {}
-    queries[HEADLINE[0]](spark, sf_dir).write.format("noop").mode("overwrite").save()  # starts the executors' threads
+    spark.range(1000).selectExpr("sum(id)").collect()  # starts the executors' threads
+    began = time.perf_counter()
+    Graph(spark, sf_dir).store()  # the graph that all queries read, written once
+    took["store_graph"] = round(time.perf_counter() - began, 3)
     for name in HEADLINE:
         began = time.perf_counter()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

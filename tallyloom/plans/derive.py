@@ -1,7 +1,7 @@
 """The usage graph that the driver tables stand for: orders are conversations, their lines are turns and calls.
 
-Each table of the graph is a DataFrame made lazily from Parquet, so that a query reads only the
-columns it needs.
+Each derived table is written once for a source, dealt by the time that reports select by, when a query first
+needs it; all queries then read just its columns and row groups that they need.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch_ms, semantics
+from ..sources.store import stored
 
 TOKENS = ["input_tokens", "cached_input_tokens", "cache_write_input_tokens", "uncached_input_tokens", "output_tokens", "reasoning_output_tokens", "visible_output_tokens", "unattributed_tokens", "total_tokens"]
 
@@ -21,28 +22,49 @@ def provider(priority: str = "o_orderpriority", status: str = "o_orderstatus") -
         WHEN '5-LOW' THEN 'cursor' ELSE CASE WHEN {status} = 'P' THEN 'crush' ELSE 'copilot' END END""")
 
 
+def kept(by: str | None = None):
+    """A table of the graph that is written once, in the order of a column."""
+
+    def wrap(make):
+        def get(self: Graph) -> DataFrame:
+            return stored(make(self), self.dir, make.__name__, by)
+
+        get.__name__, get.__doc__ = make.__name__, make.__doc__
+        made = cached_property(get)
+        return made
+
+    return wrap
+
+
 class Graph:
     """Tables of one set of driver files."""
 
+    DERIVED = ("lines", "calls", "turns", "conversations", "tools", "settings", "subagents", "runs")
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def store(self) -> None:
+        """Writes all derived tables that aren't yet."""
+        for name in self.DERIVED:
+            getattr(self, name)
+
     @cached_property
     def orders(self) -> DataFrame:
         return self.table("orders").withColumn("t0", epoch_ms("o_orderdate") + (F.col("o_orderkey") % 24) * 3_600_000 + (F.col("o_custkey") % 60) * 60_000)
 
-    @cached_property
+    @kept()
     def lines(self) -> DataFrame:
         """Order lines with their number in the order and the start of their turn."""
         order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
         lines = self.table("lineitem").withColumn("seq", F.row_number().over(order))
         orders = self.orders.select("o_orderkey", "o_orderpriority", "o_orderstatus", "t0")
-        return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumns({"qty": F.col("l_quantity").cast("bigint"), "turn_start": F.col("t0") + (F.col("l_linenumber") - 1) * 3_600_000})
+        return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_tax", "seq", F.col("l_quantity").cast("bigint").alias("qty"), (F.col("t0") + (F.col("l_linenumber") - 1) * 3_600_000).alias("turn_start"))
 
-    @cached_property
+    @kept("started_ms")
     def turns(self) -> DataFrame:
         closed = F.col("status") != "in-progress"
         sums = self.calls.groupBy("conversation_id", "turn_no").agg(*[F.sum(c).alias(c) for c in TOKENS], F.count("*").alias("model_calls"))
@@ -57,7 +79,7 @@ class Graph:
         )
         return turns.join(sums, ["conversation_id", "turn_no"])
 
-    @cached_property
+    @kept("timestamp_ms")
     def calls(self) -> DataFrame:
         base = self.lines.select(
             F.col("l_orderkey").alias("conversation_id"), F.col("l_linenumber").alias("turn_no"), F.col("seq").alias("sequence"), "l_partkey",
@@ -70,7 +92,7 @@ class Graph:
         base = base.join(parts, "l_partkey").drop("l_partkey")
         return base.withColumns({"input_tokens": F.expr("cached_input_tokens + cache_write_input_tokens + uncached_input_tokens"), "output_tokens": F.expr("reasoning_output_tokens + visible_output_tokens")}).withColumn("total_tokens", F.expr("input_tokens + output_tokens + unattributed_tokens"))
 
-    @cached_property
+    @kept("started_ms")
     def conversations(self) -> DataFrame:
         """One per order, with its provider's token semantics, machine, project and distinct models in order."""
         people = self.table("customer").join(F.broadcast(self.table("nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("machine"), F.col("c_mktsegment").alias("project"))
@@ -85,7 +107,7 @@ class Graph:
             .withColumn("semantics", semantics(F.col("provider")))
         )
 
-    @cached_property
+    @kept("timestamp_ms")
     def tools(self) -> DataFrame:
         parts = self.table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("tool"))
         return self.lines.where("l_linenumber % 2 = 0").join(parts, "l_partkey").select(F.col("l_orderkey").alias("conversation_id"), F.col("l_linenumber").alias("turn_no"), F.col("seq").alias("sequence"), "tool", (F.col("turn_start") + F.col("seq") * 60_000).alias("timestamp_ms"))
@@ -99,7 +121,7 @@ class Graph:
     def samples(self) -> DataFrame:
         return self.calls.select("conversation_id", "turn_no", "sequence", "timestamp_ms", F.col("input_tokens"), F.lit(50_000).cast("bigint").alias("window_tokens"))
 
-    @cached_property
+    @kept("conversation_id")
     def settings(self) -> DataFrame:
         first = self.calls.groupBy("conversation_id", "turn_no").agg(F.min_by("model", "sequence").alias("model"))
         mode = self.lines.groupBy(F.col("l_orderkey").alias("conversation_id"), F.col("l_linenumber").alias("turn_no")).agg(F.min_by("l_linestatus", "seq").alias("mode"))
@@ -110,13 +132,13 @@ class Graph:
     def compactions(self) -> DataFrame:
         return self.conversations.where("conversation_id % 13 = 0").select("conversation_id", F.col("ended_ms").alias("timestamp_ms"))
 
-    @cached_property
+    @kept("created_ms")
     def subagents(self) -> DataFrame:
         """Edges from an order to the customer's next one."""
         following = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
         return self.orders.withColumn("child_id", following).where("o_orderkey % 10 = 0 AND child_id IS NOT NULL").select(F.col("o_orderkey").alias("parent_id"), "child_id", F.col("t0").alias("created_ms"))
 
-    @cached_property
+    @kept()
     def runs(self) -> DataFrame:
         """Ingestion runs: one per provider and month."""
         month = F.expr("CAST(year(o_orderdate) * 100 + month(o_orderdate) AS BIGINT)")
