@@ -82,10 +82,78 @@ def bounded_sum(*xs: Column) -> Column:
     return F.least(total, F.lit(MAX_LONG).cast("decimal(38,0)")).cast("bigint")
 
 
-def label(x: Column, longest: int = 255) -> Column:
+def label(x: Column, longest: int = 512, at_sign: bool = True) -> Column:
     """A trimmed name, or null if it is empty, too long or has other characters than names may have."""
     t = F.trim(x)
-    return F.when(t.rlike(r"^[A-Za-z0-9][A-Za-z0-9_.:/+-]*$") & (F.length(t) <= longest), t)
+    return F.when(t.rlike(r"^[A-Za-z0-9][A-Za-z0-9_.:/+@-]*$" if at_sign else r"^[A-Za-z0-9][A-Za-z0-9_.:/+-]*$") & (F.length(t) <= longest), t)
+
+
+# Names of states and roles in logs, by the state or role that they mean.
+STATES = {
+    "aborted": ["aborted", "canceled", "cancelled", "interrupted"],
+    "completed": ["complete", "completed", "done", "succeeded", "success"],
+    "failed": ["error", "errored", "failed", "failure"],
+    "in-progress": ["active", "in-progress", "pending", "running"],
+}
+ROLES = {"planning": ["planner", "planning"], "research": ["explorer", "research", "researcher"], "review": ["review", "reviewer"], "test": ["test", "tester"], "worker": ["implementer", "worker"]}
+# Tools that an outer tool's input may call.
+NESTED_TOOLS = ["apply_patch", "create_goal", "exec_command", "get_goal", "image_gen__imagegen", "list_mcp_resource_templates", "list_mcp_resources", "read_mcp_resource", "update_goal", "update_plan", "view_image", "wait", "web__run", "write_stdin"]
+
+
+def _folded(x: Column) -> Column:
+    return F.replace(F.lower(F.trim(x)), F.lit("_"), F.lit("-"))
+
+
+def _named(x: Column, names: dict[str, list[str]], otherwise: str) -> Column:
+    out = F.lit(otherwise)
+    for name, aliases in names.items():
+        out = F.when(x.isin(*aliases), name).otherwise(out)
+    return out
+
+
+def edge_status(x: Column) -> Column:
+    """The state of a delegation, whatever a log calls it."""
+    return _named(_folded(x), STATES, "unknown")
+
+
+def agent_role(x: Column) -> Column:
+    """The role of an agent; unspecified where a log tells none, other where it isn't known."""
+    t = _folded(x)
+    return F.when(F.coalesce(t, F.lit("")).isin("", "unknown", "unspecified"), "unspecified").otherwise(_named(t, ROLES, "other"))
+
+
+def work_status(exit_code: Column, success: Column, error: Column, status: Column) -> Column:
+    """The state of a work item: a failing exit code, success = false or any error decide before its status."""
+    t = F.replace(F.lower(status), F.lit("_"), F.lit("-"))
+    failed = F.coalesce(exit_code != 0, F.lit(False)) | F.coalesce(~success, F.lit(False)) | F.coalesce(error != "", F.lit(False)) | t.isin("failed", "error", "errored")
+    return F.when(failed, "failed").when(t.isin("completed", "success", "succeeded"), "completed").when(t.isin("in-progress", "running", "pending"), "in-progress").otherwise("unknown")
+
+
+def called_tools(outer: Column, text: Column) -> Column:
+    """The tools that a call stands for: those that the input of the tool `exec` calls, if it calls any that are known, else itself."""
+    found = F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?:tools|collaboration)\.([A-Za-z][A-Za-z0-9_]*)\s*\("), 1), lambda t: t.isin(*NESTED_TOOLS) | t.startswith("mcp__"))
+    own = F.coalesce(label(outer, 512, False), F.lit("unknown"))
+    return F.when((own == "exec") & (F.size(found) > 0), found).otherwise(F.array(own))
+
+
+def repository_slug(url: Column) -> Column:
+    """The last part of a repository's address without .git; null if it is no name."""
+    last = F.regexp_extract(F.regexp_replace(url, r"[/\\]+$", ""), r"([^/\\:]*)$", 1)
+    return label(F.regexp_replace(last, r"\.git$", ""), 255, False)
+
+
+def qualified_model(provider: Column, model: Column) -> Column:
+    """provider/model, unless the model already begins with its provider or either is missing."""
+    bare = F.coalesce(provider, F.lit("")) == ""
+    return F.when(F.coalesce(model, F.lit("")) == "", None).when(bare | model.startswith(F.concat(provider, F.lit("/"))), model).otherwise(F.concat(provider, F.lit("/"), model))
+
+
+def change_style(change: Column, prefer: str = "neutral") -> Column:
+    """How a change in percent reads: better or worse by the preference for higher or lower values, neutral without one; null without a change."""
+    if prefer not in ("higher", "lower", "neutral"):
+        raise ValueError(f"no preference {prefer}")
+    good = {"higher": change > 0, "lower": change < 0, "neutral": F.lit(None).cast("boolean")}[prefer]
+    return F.when(change.isNull(), None).when(good.isNull(), "neutral").when(good, "better").otherwise("worse")
 
 
 def neutralized(x: Column) -> Column:

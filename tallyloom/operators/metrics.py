@@ -84,7 +84,7 @@ def cohorts(s: Slice, by: str, settings: DataFrame, share_safe: bool = False) ->
     if by in ("model", "effort", "mode"):
         turns = turns.join(settings.select("conversation_id", "turn_no", F.col(by).alias("set")), ["conversation_id", "turn_no"], "left")
     if by == "project":
-        name = F.col("project")
+        name = F.coalesce(F.nullif(F.col("project"), F.lit("")), F.lit("unknown"))
     elif by == "model":
         name = F.coalesce("set", F.nullif(F.array_join("models", ", "), F.lit("")), F.lit("unknown"))
     elif by in ("effort", "mode"):
@@ -92,10 +92,10 @@ def cohorts(s: Slice, by: str, settings: DataFrame, share_safe: bool = False) ->
     elif by == "delegation":
         ids = s.subagents.select(F.col("parent_id").alias("conversation_id")).distinct().withColumn("marked", F.lit(True))
         turns = turns.join(ids, "conversation_id", "left")
-        name = F.when(F.col("marked"), "delegating").otherwise("single")
+        name = F.when(F.col("marked"), "delegated").otherwise("not delegated")
     elif by == "compaction":
         turns = turns.join(s.compactions.select("conversation_id").distinct().withColumn("marked", F.lit(True)), "conversation_id", "left")
-        name = F.when(F.col("marked"), "compacted").otherwise("uncompacted")
+        name = F.when(F.col("marked"), "compacted").otherwise("not compacted")
     else:
         raise ValueError(f"no cohort {by}")
     pressure = s.samples.where("window_tokens > 0").join(turns.select("conversation_id", "turn_no", name.alias("cohort")), ["conversation_id", "turn_no"]).groupBy("cohort").agg(percentile(100.0 * F.col("input_tokens") / F.col("window_tokens"), 0.95).alias("pressure_p95"))

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import DAY_MS
+
 
 @dataclass(frozen=True)
 class Range:
@@ -39,6 +41,43 @@ def closed() -> Column:
     return F.col("status").isin("completed", "aborted")
 
 
+def observed_end(g) -> DataFrame:
+    """One row: the latest time that any table of the graph tells."""
+    times = [(g.conversations, "started_ms"), (g.conversations, "ended_ms"), (g.turns, "started_ms"), (g.turns, "ended_ms"), (g.calls, "timestamp_ms"), (g.tools, "timestamp_ms"), (g.samples, "timestamp_ms"), (g.compactions, "timestamp_ms"), (g.runs, "ingested_ms"), (g.work, "started_ms"), (g.subagents, "created_ms")]
+    found = None
+    for df, c in times:
+        one = df.agg(F.max(c).alias("at"))
+        found = one if found is None else found.union(one)
+    return found.agg(F.max("at").alias("at"))
+
+
+def ranges(latest: DataFrame, days: int | None, since: int | None = None, until: int | None = None) -> DataFrame:
+    """start, end and the previous range of equal width, for the last `days` days (None: all) that the data and an export window leave.
+
+    latest is one row; without any time there is no range. The end is the last millisecond of the latest day,
+    within the window; a previous range that begins before the window is none.
+    """
+    end = F.col("at") - F.pmod(F.col("at"), F.lit(DAY_MS)) + (DAY_MS - 1)
+    if until is not None:
+        end = F.least(end, F.lit(until - 1))
+    if since is not None:
+        end = F.greatest(end, F.lit(since))
+    start = F.lit(since).cast("bigint") if days is None else end - F.pmod(end, F.lit(DAY_MS)) - (days - 1) * DAY_MS
+    if since is not None:
+        start = F.greatest(start, F.lit(since))
+    rows = latest.where("at IS NOT NULL").select(start.alias("start_ms"), end.alias("end_ms")).withColumn("previous_end_ms", F.col("start_ms") - 1).withColumn("previous_start_ms", F.col("start_ms") - (F.col("end_ms") - F.col("start_ms")) - 1)
+    if since is not None:
+        inside = F.col("previous_start_ms") >= since
+        rows = rows.withColumns({c: F.when(inside, F.col(c)) for c in ("previous_start_ms", "previous_end_ms")})
+    return rows
+
+
+def last_days(days: int, now_ms: int) -> Range:
+    """The last `days` days up to the next midnight of UTC after the wall clock's now."""
+    end = now_ms - now_ms % DAY_MS + DAY_MS
+    return Range(end - days * DAY_MS, end)
+
+
 @dataclass(frozen=True)
 class Slice:
     conversations: DataFrame

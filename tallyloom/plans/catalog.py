@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators import calendars, folds, merge, metrics, privacy, selection, slices
+from ..operators import calendars, folds, merge, metrics, privacy, records, selection, slices
 from .derive import Graph, sql
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,12 +231,12 @@ def peak_concurrency_all_turns(g):
 
 
 _COHORT = {
-    "project": "project",
+    "project": "coalesce(nullif(project, ''), 'unknown')",
     "model": "coalesce(g.model, nullif(array_to_string(models, ', '), ''), 'unknown')",
     "effort": "coalesce(g.effort, 'unknown')",
     "mode": "coalesce(g.mode, 'unknown')",
-    "delegation": "CASE WHEN t.conversation_id IN (SELECT parent_id FROM s_subagents) THEN 'delegating' ELSE 'single' END",
-    "compaction": "CASE WHEN t.conversation_id IN (SELECT conversation_id FROM s_compactions) THEN 'compacted' ELSE 'uncompacted' END",
+    "delegation": "CASE WHEN t.conversation_id IN (SELECT parent_id FROM s_subagents) THEN 'delegated' ELSE 'not delegated' END",
+    "compaction": "CASE WHEN t.conversation_id IN (SELECT conversation_id FROM s_compactions) THEN 'compacted' ELSE 'not compacted' END",
 }
 
 
@@ -630,6 +630,127 @@ def saturating_rollup(g):
     return g.table("lineitem").groupBy("l_orderkey").agg(F.least(F.sum(big), F.lit(X.MAX_LONG).cast("decimal(38,0)")).cast("bigint").alias("tokens"))
 
 
+# Records of connectors
+
+
+def _one_of(values: list[str | None], index: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), index)
+
+
+@query("SELECT list_extract(['aborted', 'in-progress', 'completed', 'failed', 'unknown', 'unknown', 'aborted'], CAST(event_id % 7 + 1 AS INT)) AS status, list_extract(['research', 'worker', 'planning', 'unspecified', 'other'], CAST(event_id % 5 + 1 AS INT)) AS role, count(*) AS n FROM events GROUP BY ALL")
+def edge_states_and_roles(g):
+    """States and roles of delegations under the names that logs use for them."""
+    state = _one_of(["Cancelled", "IN_PROGRESS", " done ", "errored", "weird", None, "Interrupted"], (F.col("event_id") % 7 + 1).cast("int"))
+    role = _one_of(["Explorer", "implementer", "PLANNER", "Unknown", "pilot"], (F.col("event_id") % 5 + 1).cast("int"))
+    return g.table("events").groupBy(X.edge_status(state).alias("status"), X.agent_role(role).alias("role")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 OR event_id % 17 = 0 THEN 'failed' ELSE list_extract(['completed', 'failed', 'in-progress', 'unknown', 'unknown', 'completed'], CAST(event_id % 6 + 1 AS INT)) END AS status, count(*) AS n FROM events GROUP BY 1""")
+def work_item_states(g):
+    i = F.col("event_id")
+    status = _one_of(["Completed", "error", "IN_PROGRESS", "paused", None, "succeeded"], (i % 6 + 1).cast("int"))
+    found = X.work_status(F.when(i % 11 == 0, 2).when(i % 3 == 0, 0), F.when(i % 13 == 0, False).when(i % 4 == 0, True), F.when(i % 17 == 0, "x").when(i % 5 == 0, ""), status)
+    return g.table("events").groupBy(found.alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT tool, count(*) AS n FROM (SELECT unnest(CASE event_id % 5 WHEN 0 THEN ['exec_command', 'wait'] WHEN 1 THEN ['exec'] WHEN 2 THEN ['mcp__db_query'] WHEN 3 THEN ['shell'] ELSE ['unknown'] END) AS tool FROM events) GROUP BY 1""")
+def nested_tool_names(g):
+    text = _one_of(["await tools.exec_command ({}); tools.nope(1); collaboration.wait(2)", "tools.nope()", "x = tools.mcp__db_query(); mytools_exec_command()", "tools.wait()", None], (F.col("event_id") % 5 + 1).cast("int"))
+    outer = _one_of(["exec", "exec", "exec", "shell", "a b"], (F.col("event_id") % 5 + 1).cast("int"))
+    return g.table("events").select(F.explode(X.called_tools(outer, text)).alias("tool")).groupBy("tool").agg(F.count("*").alias("n"))
+
+
+@query("SELECT slug, count(*) AS n FROM (SELECT list_extract(['repo', 'my.repo', 'tool', NULL, NULL], CAST(event_id % 5 + 1 AS INT)) AS slug FROM events) GROUP BY 1")
+def repository_slugs(g):
+    url = _one_of(["git@host.example:team/repo.git", "https://host.example/team/my.repo/", "C:\\work\\tool", "https://host.example/a b", None], (F.col("event_id") % 5 + 1).cast("int"))
+    return g.table("events").groupBy(X.repository_slug(url).alias("slug")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 1 THEN p_brand WHEN p_partkey % 4 = 2 THEN p_type || '/' || p_brand ELSE p_type || '/x' END AS model, count(*) AS n FROM part GROUP BY 1")
+def qualified_models(g):
+    i = F.col("p_partkey") % 4
+    provider = F.when(i == 1, "").when(i != 0, F.col("p_type"))
+    model = F.when(i == 0, "").when(i == 3, F.concat("p_type", F.lit("/x"))).otherwise(F.col("p_brand"))
+    return g.table("part").groupBy(X.qualified_model(provider, model).alias("model")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT metric AS id, CASE WHEN change IS NULL THEN NULL WHEN id3 = 2 THEN 'neutral' WHEN (id3 = 0 AND change > 0) OR (id3 = 1 AND change < 0) THEN 'better' ELSE 'worse' END AS style FROM (SELECT c_custkey AS metric, c_custkey % 3 AS id3, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal - 4000 END AS change FROM customer)")
+def comparison_styles(g):
+    change = F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal") - 4000)
+    style = F.when(F.col("c_custkey") % 3 == 0, X.change_style(change, "higher")).when(F.col("c_custkey") % 3 == 1, X.change_style(change, "lower")).otherwise(X.change_style(change))
+    return g.table("customer").select(F.col("c_custkey").alias("id"), style.alias("style"))
+
+
+@query(sql("SELECT l_orderkey AS conversation_id, l_linenumber AS turn_no, l_partkey AS part, seq FROM line QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_returnflag = 'A' DESC, qty DESC, seq DESC) = 1"))
+def best_fragments(g):
+    """Of several fragments of one response the finished one, then the one of most tokens, then the last."""
+    df = g.lines.select(F.col("l_orderkey").alias("conversation_id"), F.col("l_linenumber").alias("turn_no"), F.col("l_partkey").alias("part"), "seq", "qty", "l_returnflag")
+    return records.best_fragment(df, ["conversation_id", "turn_no"], [F.col("l_returnflag") == "A", F.col("qty"), F.col("seq")], ["part", "seq"])
+
+
+@query(sql("SELECT tool, conversation_id, sequence FROM tools QUALIFY row_number() OVER (PARTITION BY tool ORDER BY conversation_id, sequence) = 1"))
+def first_tool_records(g):
+    return records.first_of(g.tools, ["tool"], ["conversation_id", "sequence"], ["conversation_id", "sequence"])
+
+
+@query(sql("SELECT conversation_id, string_agg(model, ',' ORDER BY sequence) AS models, arg_max(timestamp_ms, sequence) FILTER (timestamp_ms IS NOT NULL) AS last_ms, max(total_tokens) AS most FROM calls GROUP BY 1"))
+def merged_fragments(g):
+    found = records.merged(g.calls.select("conversation_id", "sequence", "model", F.col("timestamp_ms").alias("last_ms"), F.col("total_tokens").alias("most")), ["conversation_id"], "sequence", "model", "last_ms", "most")
+    return found.select("conversation_id", F.array_join("model", ",").alias("models"), "last_ms", "most")
+
+
+@query(sql("""SELECT CAST(sum(n) AS BIGINT) AS parts, count(*) FILTER (n = 0) AS messages_without, max(o) AS orphans FROM (SELECT t.conversation_id, t.turn_no, count(c.turn_no) AS n FROM (SELECT * FROM turns WHERE turn_no % 4 <> 3) t LEFT JOIN (SELECT * FROM calls WHERE sequence % 2 = 0) c USING (conversation_id, turn_no) GROUP BY 1, 2),
+    (SELECT count(*) AS o FROM calls c WHERE sequence % 2 = 0 AND NOT EXISTS (SELECT 1 FROM turns t WHERE turn_no % 4 <> 3 AND t.conversation_id = c.conversation_id AND t.turn_no = c.turn_no))"""))
+def message_parts_and_orphans(g):
+    messages, orphans = records.with_parts(g.turns.where("turn_no % 4 != 3").select("conversation_id", "turn_no"), g.calls.where("sequence % 2 = 0"), ["conversation_id", "turn_no"])
+    # two frames of one row each
+    return messages.agg(F.sum("n_parts").alias("parts"), F.count_if(F.col("n_parts") == 0).alias("messages_without")).crossJoin(orphans)
+
+
+@query(sql("SELECT conversation_id, coalesce(tokens, 0) AS tokens, coalesce(n_tools, 0) AS n_tools FROM (SELECT conversation_id, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM calls WHERE conversation_id % 3 <> 0 GROUP BY 1) FULL JOIN (SELECT conversation_id, count(*) AS n_tools FROM tools GROUP BY 1) USING (conversation_id)"))
+def usage_or_events(g):
+    usage = g.calls.where("conversation_id % 3 != 0").groupBy("conversation_id").agg(F.sum("total_tokens").alias("tokens"))
+    return records.either(usage, g.tools.groupBy("conversation_id").agg(F.count("*").alias("n_tools")), ["conversation_id"], ["tokens", "n_tools"])
+
+
+@query(sql("""SELECT t.conversation_id, t.turn_no, e.sequence AS terminal FROM (SELECT conversation_id, turn_no, row_number() OVER (PARTITION BY conversation_id ORDER BY turn_no) AS i FROM turns WHERE status <> 'completed') t
+    LEFT JOIN (SELECT conversation_id, sequence, row_number() OVER (PARTITION BY conversation_id ORDER BY sequence) AS i FROM calls WHERE sequence % 2 = 1) e ON e.conversation_id = t.conversation_id AND e.i = t.i"""))
+def zipped_terminals(g):
+    return records.zipped(g.turns.where("status != 'completed'").select("conversation_id", "turn_no"), g.calls.where("sequence % 2 = 1").select("conversation_id", F.col("sequence").alias("terminal")), ["conversation_id"], ["turn_no"], ["terminal"])
+
+
+@query(sql("SELECT provider, machine, parent_id, child_id, 2 * p.conversation_id AS parent_key, 2 * c.conversation_id AS child_key FROM (SELECT e.parent_id, e.child_id, o.provider, o.machine FROM subagents e JOIN conversations o ON o.conversation_id = e.parent_id) e LEFT JOIN conversations p USING (provider, machine) LEFT JOIN conversations c USING (provider, machine)".replace("LEFT JOIN conversations p USING (provider, machine)", "LEFT JOIN (SELECT provider AS pp, machine AS pm, conversation_id FROM conversations) p ON pp = provider AND pm = machine AND p.conversation_id = parent_id").replace("LEFT JOIN conversations c USING (provider, machine)", "LEFT JOIN (SELECT provider AS cp, machine AS cm, conversation_id FROM conversations) c ON cp = provider AND cm = machine AND c.conversation_id = child_id")))
+def edge_keys(g):
+    """Edges with the keys of both ends in the parent's provider and machine."""
+    edges = g.subagents.join(g.conversations.select(F.col("conversation_id").alias("parent_id"), "provider", "machine"), "parent_id").select("parent_id", "child_id", "provider", "machine")
+    return records.resolved(edges, g.conversations.withColumn("key", 2 * F.col("conversation_id")), "key").select("provider", "machine", "parent_id", "child_id", "parent_key", "child_key")
+
+
+@query(sql("""SELECT parent_id, child_id, created_ms FROM subagents WHERE parent_id % 3 <> 0 AND child_id % 4 <> 0
+    UNION ALL SELECT parent_id, child_id, created_ms + 1 FROM subagents s WHERE child_id % 4 = 0
+    UNION ALL SELECT parent_id, child_id, created_ms + 1 FROM subagents s WHERE child_id % 4 = 1 AND NOT EXISTS (SELECT 1 FROM subagents x WHERE x.parent_id % 3 <> 0 AND x.child_id = s.child_id)"""))
+def edges_follow_copies(g):
+    """Edges after a merge in which a quarter of the children were replaced, and for another quarter the stored copy won."""
+    edges = g.subagents.select("parent_id", "child_id", "created_ms")
+    outcome = edges.where("child_id % 4 IN (0, 1)").select("child_id", (F.col("child_id") % 4 == 0).alias("written")).distinct()
+    return records.following_copies(edges.where("parent_id % 3 != 0"), edges.withColumn("created_ms", F.col("created_ms") + 1), outcome)
+
+
+@query(sql(f"SELECT provider, CAST(sum(malformed) AS BIGINT) AS malformed, CAST(sum(received) AS BIGINT) AS received FROM runs WHERE {_between('ingested_ms')} GROUP BY 1"))
+def malformed_by_provider(g):
+    """Malformed and received records of the runs in a range."""
+    return g.runs.where(slices.in_range(F.col("ingested_ms"), YEAR)).groupBy("provider").agg(F.sum("malformed").alias("malformed"), F.sum("received").alias("received"))
+
+
+_LATEST = "SELECT max(x) AS latest_ms FROM (SELECT max(started_ms) AS x FROM conversations UNION ALL SELECT max(ended_ms) FROM conversations UNION ALL SELECT max(started_ms) FROM turns UNION ALL SELECT max(ended_ms) FROM turns UNION ALL SELECT max(timestamp_ms) FROM calls UNION ALL SELECT max(timestamp_ms) FROM tools UNION ALL SELECT max(created_ms) FROM subagents UNION ALL SELECT max(ingested_ms) FROM runs)"
+
+
+@query(sql("SELECT e - 30 * 86400000 + 1 AS start_ms, e AS end_ms, e - 30 * 86400000 AS previous_end_ms, e - 60 * 86400000 + 1 AS previous_start_ms FROM (SELECT (latest_ms // 86400000) * 86400000 + 86399999 AS e FROM latest)", latest=_LATEST))
+def range_of_last_days(g):
+    """The last 30 days that the data tell, and the 30 before them."""
+    return slices.ranges(slices.observed_end(g), 30)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -8,7 +8,7 @@ the other tables then come from windows over a conversation, the same way for al
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +31,14 @@ class Bundle:
     compactions: DataFrame
 
 
+def united(bundles: list[Bundle]) -> Bundle:
+    """The graphs of several providers as one."""
+    one, *rest = [[getattr(b, f.name) for f in fields(Bundle)] for b in bundles]
+    for other in rest:
+        one = [a.unionByName(b) for a, b in zip(one, other, strict=True)]
+    return Bundle(*one)
+
+
 def one_copy(events: DataFrame, key: list[str], rank: list[str]) -> tuple[DataFrame, DataFrame]:
     """Of the files of one conversation the one with the most events, then the larger rank columns; (its events, number of other files by key). events has path, n_events and digest."""
     files = events.select(*key, "path", *rank).distinct()

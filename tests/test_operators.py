@@ -78,3 +78,23 @@ def test_scalars(spark):
         X.canonical_time(F.col("t")), X.canonical_time(F.col("naive")), X.label(F.col("l")), X.label(F.col("bad")), X.change(F.col("five"), F.col("nothing")), X.ratio(F.col("five"), F.lit(0)), X.neutralized(F.lit(" =1")), X.script_safe(F.lit("<a&b>")), X.bounded_sum(F.lit(2**63 - 1), F.lit(5)), X.interval_ms(F.lit(9), F.lit(5)),
     ).first()
     assert tuple(row) == ("2026-08-02T01:30:00.500000+00:00", None, "a/b", None, None, 0.0, "' =1", "\\u003ca\\u0026b\\u003e", 2**63 - 1, 0)
+
+
+def test_ranges_within_an_export_window(spark):
+    from tallyloom.operators import slices
+
+    day = 86_400_000
+    latest = spark.createDataFrame([(10 * day + 5,)], "at long")
+    assert tuple(slices.ranges(latest, 3).select("start_ms", "end_ms", "previous_start_ms", "previous_end_ms").first()) == (8 * day, 11 * day - 1, 5 * day, 8 * day - 1)
+    assert tuple(slices.ranges(latest, 3, since=7 * day, until=10 * day).select("start_ms", "end_ms", "previous_start_ms").first()) == (7 * day, 10 * day - 1, None)
+    assert tuple(slices.ranges(latest, None).select("start_ms", "end_ms", "previous_start_ms").first()) == (None, 11 * day - 1, None)
+    assert slices.ranges(spark.createDataFrame([(None,)], "at long"), 3).count() == 0
+    assert slices.last_days(7, 10 * day + 5) == slices.Range(4 * day, 11 * day)
+
+
+def test_united_graphs(spark):
+    from tallyloom.sources.assemble import Bundle, united
+
+    frame = lambda *rows: spark.createDataFrame([(r,) for r in rows], "x long")
+    both = united([Bundle(*[frame(1, 2)] * 6), Bundle(*[frame(3)] * 6)])
+    assert all(sorted(r.x for r in df.collect()) == [1, 2, 3] for df in (both.conversations, both.compactions))
