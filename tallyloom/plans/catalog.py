@@ -745,7 +745,7 @@ def malformed_by_provider(g):
 _LATEST = "SELECT max(x) AS latest_ms FROM (SELECT max(started_ms) AS x FROM conversations UNION ALL SELECT max(ended_ms) FROM conversations UNION ALL SELECT max(started_ms) FROM turns UNION ALL SELECT max(ended_ms) FROM turns UNION ALL SELECT max(timestamp_ms) FROM calls UNION ALL SELECT max(timestamp_ms) FROM tools UNION ALL SELECT max(created_ms) FROM subagents UNION ALL SELECT max(ingested_ms) FROM runs)"
 
 
-@query(sql("SELECT e - 30 * 86400000 + 1 AS start_ms, e AS end_ms, e - 30 * 86400000 AS previous_end_ms, e - 60 * 86400000 + 1 AS previous_start_ms FROM (SELECT (latest_ms // 86400000) * 86400000 + 86399999 AS e FROM latest)", latest=_LATEST))
+@query(sql("SELECT e - 2592000000 + 1 AS start_ms, e AS end_ms, e - 2592000000 AS previous_end_ms, e - 5184000000 + 1 AS previous_start_ms FROM (SELECT (latest_ms // 86400000) * 86400000 + 86399999 AS e FROM latest)", latest=_LATEST))
 def range_of_last_days(g):
     """The last 30 days that the data tell, and the 30 before them."""
     return slices.ranges(slices.observed_end(g), 30)
