@@ -126,7 +126,8 @@ class PieceEncoder:
 
     A text is cut before each space that another character than white space follows, where the byte-level
     pattern always begins a new word, so the pieces' ids follow each other as in the whole text.
-    Each distinct piece is encoded by the library once; the ids of texts are gathered from those.
+    Each distinct piece is encoded by the library once, most of them in one call with line feeds between,
+    whose slices are checked by their lengths in bytes; the ids of texts are gathered from those.
     """
 
     _loaded: dict[str, PieceEncoder] = {}
@@ -153,6 +154,12 @@ class PieceEncoder:
         line = self._ids(["\n", "\n a\na"])
         # a line feed between pieces is a word of its own in byte-level patterns; where it isn't, pieces are encoded one by one
         self.line = line[0][0] if len(line[0]) == 1 and line[1] == [*line[0], *self._ids([" a"])[0], *line[0], *self._ids(["a"])[0]] else None
+        # bytes of each id: byte-level tokens are written with a character for each byte, added ones as they are
+        self.bytes = np.zeros(self.library.get_vocab_size(with_added_tokens=True), np.int64)
+        for token, i in self.library.get_vocab(with_added_tokens=True).items():
+            self.bytes[i] = len(token)
+        for i, token in self.library.get_added_tokens_decoder().items():
+            self.bytes[i] = len(token.content.encode())
         self._forget()
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -174,12 +181,17 @@ class PieceEncoder:
         self.known += n
 
     def _learn(self, pieces: list[str]) -> None:
-        together = [p for p in pieces if not self._space.search(p, 1) and p != " "] if self.line is not None else []
+        # only pieces without white space but one leading space: in these, no line feed can meet the one that separates them
+        together = [p for p in pieces if p and p != " " and not self._space.search(p, p[0] == " ")] if self.line is not None else []
         if together:
             ids = np.array(self._ids(["\n".join(together)])[0], np.uint32)
             at = np.flatnonzero(ids == self.line)
             if len(at) == len(together) - 1:
-                self._keep(together, np.delete(ids, at), np.diff(at, prepend=-1, append=len(ids)) - 1)
+                counts, own = np.diff(at, prepend=-1, append=len(ids)) - 1, np.delete(ids, at)
+                ends = np.concatenate([[0], np.cumsum(self.bytes[own])])[np.concatenate([[0], np.cumsum(counts)])]
+                # the ids spell the joined text, so slices of the pieces' lengths spell the pieces
+                if (np.diff(ends) == [len(p.encode()) for p in together]).all():
+                    self._keep(together, own, counts)
         alone = [p for p in pieces if p not in self.number]
         found = self._ids(alone)
         self._keep(alone, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))

@@ -41,6 +41,31 @@ def test_pieces_encode_like_the_library(texts):
     assert ids.tolist() == sum(expected, []) and n.tolist() == [len(x) for x in expected]
 
 
+def random_text(rng):
+    space, word = ["\n", "\n\n", "\t", "\xa0", " ", "  ", "\r\n", "\u2003", "\x1c", "\x85"], ["a", "b", "the", "d'", "'s", "É", "12", "<|endoftext|>", "x" * 60, "…", "\x00", "日本"]
+    begin = rng.choice([*space, "", ""])
+    return begin + "".join(rng.choice(word) + rng.choice([" ", " ", " ", *space, ""]) for _ in range(rng.randint(0, 8)))
+
+
+def test_many_texts_in_a_call_of_a_fresh_encoder():
+    """Texts that begin with or consist of white space stand between others in one batch, and nothing is stored before."""
+    rng = random.Random(8)
+    for _ in range(40):
+        texts = [random_text(rng) for _ in range(500)]
+        encoder = token_files.PieceEncoder(PATH)
+        for part in (texts[:300], texts[300:]):
+            ids, n = encoder.encode(pa.array(part, pa.string()))
+            expected = [x.ids for x in LIBRARY.encode_batch_fast(part, add_special_tokens=False)]
+            assert n.tolist() == [len(x) for x in expected]
+            assert ids.tolist() == sum(expected, [])
+
+
+def test_pieces_of_nothing_but_line_feeds():
+    texts = ["a\n b", "\n", "b c", "\nd", "", " ", "\n\n", "e"]
+    ids, n = token_files.PieceEncoder(PATH).encode(pa.array(texts, pa.string()))
+    assert ids.tolist() == sum((LIBRARY.encode(t, add_special_tokens=False).ids for t in texts), [])
+
+
 def test_files_read_back(spark):
     rng = random.Random(1)
     texts = [" ".join("".join(rng.choice("abcdeé .\n") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 60))) for _ in range(120)]
