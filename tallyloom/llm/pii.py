@@ -45,13 +45,16 @@ ALPHABETS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ",
 _WORD = {c: a for a in ALPHABETS for c in a}
 _PLAIN = {c: a for a in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789") for c in a}
 _HEX = {c: a for a in ("abcdef", "ABCDEF", "0123456789") for c in a}
+_MAIL = {c: a for a in ALPHABETS if not a.isascii() for c in a} | _PLAIN
 _HEX_LETTERS = frozenset("0123456789abcdefABCDEF")
 
-_EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+# A run of characters that mailboxes have is tried once, at its beginning, so the time is in proportion to the text.
+_EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]++@[^\W_][\w-]*(?:\.[\w-]+)*\.[^\W\d_]{2,}")
+_LOGIN = re.compile(r"(?<=://)([^\s/@:?#]++):([^\s/@]++)@")
 # Patterns with digits are searched in the text with all scripts' decimal digits as ASCII ones.
 _IP = re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.]*[0-9])")
 _IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:])")
-_BORN = re.compile(r"(?i:\b(?:born(?: on)?|date of birth|birth ?date|d\.?o\.?b\.?))\s*[:=]?\s*([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4})(?![0-9])")
+_BORN = re.compile(r"(?i:\b(?:born(?: on)?|date of birth|birth ?date|d\.?o\.?b\.?))\s*(?:[:=]\s*)?([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4})(?![0-9])")
 _CARD = re.compile(r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])")
 _PHONE = re.compile(r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,5}(?!\w)")
 _SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
@@ -62,6 +65,12 @@ _CLOUD_KEY = re.compile(r"(?<![A-Za-z0-9])(AKIA|ASIA)([A-Z0-9]{16})(?![A-Za-z0-9
 _SECRET = re.compile(r"(?i)(?<!\w)(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s*[=:]\s*([\"']?)([^\s\"'<>]{6,})")
 _SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "api_key", "api-key", "apikey")
 _NAME = re.compile(rf"(?<!\w)({'|'.join(PLACE)})(\s+)([^\W\d_][\w'’-]+)(?!\w)")
+# Names that no list has are told by what stands before them, or by a name that they are joined to.
+_CAPITAL = r"[^\W\d_a-zа-яα-ω][\w'’-]+"
+_TITLED = re.compile(rf"(?<!\w)(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora|Signor|Signora)\.?[ \t]+(?:({_CAPITAL})[ \t]+)?({_CAPITAL})(?!\w)")
+_LABELLED = re.compile(rf"(?<!\w)(?i:name|author|contact|patient|customer|employee|signed by|written by|my name is|sincerely|best regards|kind regards)[:,]?\s+({_CAPITAL})[ \t]+({_CAPITAL})(?!\w)")
+_JOINED = re.compile(rf"[ \t]*(?:,|,?[ \t](?:and|und|et|y|e|&))[ \t]+({_CAPITAL})[ \t]+({_CAPITAL})(?!\w)")
+_BEFORE_NAME = ("Mr", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Mon", "Mad", "Señ", "Sig", "ame", "uthor", "ontact", "atient", "ustomer", "mployee", "igned", "itten", "incerely", "egards", "AME", "UTHOR")
 _EXAMPLE = re.compile(r"(?:^|\.)example$")
 _DIGIT = re.compile(r"[0-9][ .-]?[0-9]")  # in all that the patterns with digits find, but for those of hexadecimal ones
 _OTHER_DIGIT = re.compile(r"(?![0-9])\d")
@@ -69,6 +78,25 @@ _ASCII = {c: ord("0") + unicodedata.decimal(chr(c)) for c in range(128, 0x20000)
 # Networks with a use of their own; an address in one of them stays in it.
 NETWORKS = [ipaddress.IPv4Network(n) for n in ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4")]
 _ROUNDS = 8
+#: Characters that move together.
+PART = 128
+
+
+@lru_cache(maxsize=10_000)
+def _block(c: str) -> str | None:
+    """For a letter beyond the alphabets: the letters of its kind among the 64 code points that it is in; None for all other characters."""
+    if c.isascii() or not c.isalpha():
+        return None
+    kind, first = unicodedata.category(c), ord(c) & ~63
+    same = "".join(x for x in map(chr, range(first, first + 64)) if x.isalpha() and unicodedata.category(x) == kind and len(x.lower()) == len(x.upper()) == 1 and x not in _WORD)
+    return same if c in same and len(same) > 1 else None
+
+
+def _hash(data: bytes, key: bytes, size: int) -> int:
+    """A keyed hash of so many bytes, as a number."""
+    if size <= 64:
+        return int.from_bytes(hashlib.blake2b(data, key=key, digest_size=size).digest(), "big")
+    return int.from_bytes(hashlib.shake_256(key + data).digest(size), "big")  # keys have one length
 
 
 def _feistel(x: int, n: int, key: bytes, back: bool) -> int:
@@ -81,11 +109,11 @@ def _feistel(x: int, n: int, key: bytes, back: bool) -> int:
         left, right = divmod(x, b)
         for r in range(_ROUNDS - 1, -1, -1) if back else range(_ROUNDS):
             if r % 2:
-                h = hashlib.blake2b(left.to_bytes(size, "big") + bytes([r]), key=key, digest_size=min(64, size)).digest()
-                right = (right - int.from_bytes(h, "big") if back else right + int.from_bytes(h, "big")) % b
+                h = _hash(left.to_bytes(size, "big") + bytes([r]), key, size)
+                right = (right - h if back else right + h) % b
             else:
-                h = hashlib.blake2b(right.to_bytes(size, "big") + bytes([r]), key=key, digest_size=min(64, size)).digest()
-                left = (left - int.from_bytes(h, "big") if back else left + int.from_bytes(h, "big")) % a
+                h = _hash(right.to_bytes(size, "big") + bytes([r]), key, size)
+                left = (left - h if back else left + h) % a
         x = left * b + right
         if x < n:
             return x
@@ -114,21 +142,27 @@ class Surrogates:
         return made
 
     def _moved(self, kind: str, value: str, alphabets: dict[str, str]) -> str:
-        n = x = 0
-        n = 1
-        shape = "".join(alphabets[c][0] if c in alphabets else c for c in value)
-        for c in value:
-            if c in alphabets:
-                n *= len(alphabets[c])
-                x = x * len(alphabets[c]) + alphabets[c].index(c)
-        x = moved(x, n, self._key(kind, shape))
+        """Values of over PART characters move part by part, each under a key of the parts before it: still a permutation, without long arithmetic."""
+        of = [alphabets.get(c) or _block(c) for c in value]
+        key = self._key(kind, "".join(a[0] if a else c for a, c in zip(of, value, strict=True)))
         out = []
-        for c in reversed(value):
-            if c in alphabets:
-                x, i = divmod(x, len(alphabets[c]))
-                c = alphabets[c][i]
-            out.append(c)
-        return "".join(reversed(out))
+        for at in range(0, len(value), PART):
+            some, part = of[at : at + PART], value[at : at + PART]
+            n, x = 1, 0
+            for a, c in zip(some, part, strict=True):
+                if a:
+                    n *= len(a)
+                    x = x * len(a) + a.index(c)
+            x = moved(x, n, key)
+            made = []
+            for a, c in zip(reversed(some), reversed(part), strict=True):
+                if a:
+                    x, i = divmod(x, len(a))
+                    c = a[i]
+                made.append(c)
+            out += reversed(made)
+            key = hmac.new(key, part.encode(), hashlib.sha256).digest()
+        return "".join(out)
 
     def _of(self, kind: str, value: str) -> str:
         times = self.again.get((kind, plain(kind, value)), 0) if self.again else 0
@@ -154,15 +188,14 @@ class Surrogates:
 
     def _email(self, value: str) -> str:
         # letters of either case are one mailbox; the case of each place stays
-        local, _, domain = value.lower().rpartition("@")
-        made = self.shaped("local", local, _PLAIN)
-        if not any(c in _PLAIN for c in local):
-            made = local
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+        local, _, domain = low.rpartition("@")
+        made = self.shaped("local", local, _MAIL)
         host, _, top = domain.rpartition(".")
         if not _EXAMPLE.search(host):
-            host = self.shaped("host", host, _PLAIN, _EXAMPLE.search)
+            host = self.shaped("host", host, _MAIL, _EXAMPLE.search)
         made = f"{made}@{host}.{top}"
-        return "".join(m.upper() if c.isupper() else m for m, c in zip(made, value, strict=True))
+        return "".join(m.upper() if c.isupper() and len(m.upper()) == 1 else m for m, c in zip(made, value, strict=True))
 
     def _ip(self, value: str) -> str:
         address = ipaddress.IPv4Address(value)
@@ -246,13 +279,20 @@ class Surrogates:
         return self.shaped("secret", value, _PLAIN, _HEX_LETTERS.issuperset)
 
     def _name(self, value: str) -> str:
+        # each part as its own mentions are made
         given, space, family = re.split(r"(\s+)", value, maxsplit=1)
-        return self._given(given) + space + self._family(family)
+        return self.of("given", given) + space + self.of("family", family)
 
     def _given(self, value: str) -> str:
+        if value not in PLACE:
+            made = self.shaped("other given", value, _WORD, PLACE.__contains__)
+            return made if made != value else self._unlike("given", value)
         group, i = PLACE[value]
         return GIVEN[group][moved(i, len(GIVEN[group]), self._key("given", *group))]
 
+    def _login(self, value: str) -> str:
+        return self.shaped("login", value, _MAIL)
+
     def _family(self, value: str) -> str:
         made = self.shaped("family", value, _WORD)
         return made if made != value else self._unlike("family", value)
@@ -304,6 +344,10 @@ def find(text: str) -> list[tuple[int, int, str]]:
         add("cloud_key", _CLOUD_KEY.finditer(text))
     if "@" in text:
         add("email", _EMAIL.finditer(text))
+    if "://" in text and "@" in text:
+        logins = list(_LOGIN.finditer(text))
+        add("login", logins, 1)
+        add("secret", logins, 2)
     if any(w in text for w in _SERVICES):
         add("service_key", _SERVICE_KEY.finditer(text))
     digits = text if text.isascii() or not _OTHER_DIGIT.search(text) else text.translate(_ASCII)
@@ -316,13 +360,24 @@ def find(text: str) -> list[tuple[int, int, str]]:
         add("iban", _IBAN.finditer(digits))
     if "::" in digits or digits.count(":") > 6:
         add("ip6", (m for m in _IP6.finditer(digits) if _is_ip6(m[0])))
+    names = []
     if any(name in text for name in PLACE):
-        names = [m for m in _NAME.finditer(text) if m[3][0].isupper() and _script(m[3]) == PLACE[m[1]][0][0]]
-        add("name", names)
-        # later or earlier mentions by one of the two names
-        for kind, words in (("given", {m[1] for m in names}), ("family", {m[3] for m in names})):
-            for word in sorted(words):
-                found.extend((at, -at - len(word), len(found), kind) for at in _mentions(text, word))
+        names = [(m.start(), m.end(), m[1], m[3]) for m in _NAME.finditer(text) if m[3][0].isupper() and _script(m[3]) == PLACE[m[1]][0][0]]
+    if any(w in text for w in _BEFORE_NAME):
+        for m in _TITLED.finditer(text):
+            if m[1]:
+                names.append((m.start(1), m.end(), m[1], m[2]))
+            else:
+                add("family", [m], 2)
+        names += [(m.start(1), m.end(), m[1], m[2]) for m in _LABELLED.finditer(text)]
+    for _, end, _, _ in names:  # grows meanwhile: names joined to names
+        if m := _JOINED.match(text, end):
+            names.append((m.start(1), m.end(), m[1], m[2]))
+    found.extend((start, -end, len(found), "name") for start, end, _, _ in names)
+    # later or earlier mentions by one of the two names
+    for kind, words in (("given", {n[2] for n in names}), ("family", {n[3] for n in names})):
+        for word in sorted(words):
+            found.extend((at, -at - len(word), len(found), kind) for at in _mentions(text, word))
     if not found:
         return []
     out, end = [], 0
@@ -436,7 +491,10 @@ def _told(documents: DataFrame, key: str, text_col: str, make: type[Surrogates],
             for first in range(0, batch.num_rows, 64):
                 for text in batch.column(0).slice(first, 64).to_pylist():
                     for start, end, kind in find(text) if text else []:
-                        seen[kind, plain(kind, surrogates.of(kind, text[start:end])), plain(kind, text[start:end])] = None
+                        # a name's two parts are made and checked as entities of their own
+                        parts = zip(("given", "family"), text[start:end].split(None, 1), strict=True) if kind == "name" else [(kind, text[start:end])]
+                        for k, value in parts:
+                            seen[k, plain(k, surrogates.of(k, value)), plain(k, value)] = None
             kinds, made, entities = zip(*seen, strict=True) if seen else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (kinds, made, entities)], names=["type", "surrogate", "entity"])
 

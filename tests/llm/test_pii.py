@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 
@@ -189,3 +191,74 @@ def test_colliding_entities_are_made_anew(spark):
             of.setdefault((e.type, entity), set()).add(e.surrogate.lower())
     assert len(of) == 302 and all(len(made) == 1 for made in of.values())
     assert len({(kind, *made) for (kind, _), made in of.items()}) == len(of)
+
+
+@pytest.mark.parametrize("size", [50, 64, 256, 400, 603, 2000, 5000])
+def test_long_secrets_leave_nothing(size):
+    """No run of characters stays that chance doesn't explain: 62 characters in an alphabet's place agree in 1 of 26 or of 10."""
+    rng = random.Random(size)
+    value = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(size))
+    made = pii.replace(f"token: {value}", pii.Surrogates(KEY))[0].removeprefix("token: ")
+    assert len(made) == size
+    same = [a == b for a, b in zip(value, made)]
+    assert sum(same) < 0.12 * size + 8
+    assert max(len(run) for run in "".join("x" if s else " " for s in same).split(" ")) <= 6
+
+
+def test_long_values_stay_distinct():
+    base = "".join(random.Random(1).choice("abcdef0123456789ghij") for _ in range(700))
+    values = [base, base[:-1] + "x", "x" + base[1:], base[:300] + "x" + base[301:], base + "a"]
+    s = pii.Surrogates(KEY)
+    assert len({s.of("secret", v) for v in values}) == len(values) and not {s.of("secret", v) for v in values} & set(values)
+
+
+@pytest.mark.parametrize("text", ["a" * 400_000 + "@", "a@" * 200_000, "a.b-" * 100_000 + "@x", "born" + " " * 400_000 + "x", "token=" + "a1" * 200_000, "1." * 200_000, "1 " * 200_000, "x://a:b" * 60_000, "Dr. " * 100_000, "name " * 80_000, "Anna" + " " * 400_000 + "x", "a@" + "b." * 200_000])
+def test_time_is_in_proportion_to_the_text(text):
+    began = time.perf_counter()
+    pii.replace(text, pii.Surrogates(KEY))
+    assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize(
+    ("text", "kinds"),
+    [
+        ("to ünal@firma.de, jo@exämple.de or .dot@x.org", ["email", "email", "email"]),
+        ("get http://user:p4ssw0rd@host/ now", ["login", "secret"]),
+        ("see Dr. Rossi and Mrs Sofia Bianchi", ["family", "name"]),
+        ("Name: Chen Li and Sofia Rossi", ["name", "name"]),
+        ("author Li Wong, Ana Sato & Bo Lind wrote", ["name", "name", "name"]),
+        ("Kind regards,\nBo Lind", ["name"]),
+        ("the name of a thing, the Author and the rest", []),
+        ("http://host:80/path and mail to", []),
+    ],
+)
+def test_forms_and_names_without_lists(text, kinds):
+    assert [k for _, _, k in pii.find(text)] == kinds
+    made, told = pii.replace(text, pii.Surrogates(KEY))
+    assert all(m != text[a:b] for _, a, b, m in told)
+    if "ünal" in text:
+        assert not any(w in made for w in ("ünal", "firma", "exämple"))
+
+
+def test_a_remade_name_keeps_its_mentions(spark):
+    class Weak(pii.Surrogates):
+        """Makes all given names that no list has alike, so that they collide."""
+
+        def _given(self, value):
+            return f"Same{self._key('x').hex()[:8]}" if self is not weak_root(self) else "Same"
+
+    def weak_root(s):
+        return s if s.key == KEY.decode().encode() else None
+
+    rows = [(1, "Name: Chen Li wrote. Chen left. Li stayed."), (2, "Name: Sofia Li came. Sofia went.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    again = pii.distinct_again(df, KEY.decode(), make=Weak)
+    assert set(again) == {("given", "Sofia")}
+    out = {r.doc_id: r for r in pii.with_surrogates(df, KEY.decode(), make=Weak).collect()}
+    for r in out.values():
+        by_kind = {}
+        for e in r.entities:
+            by_kind.setdefault(e.type, set()).add(e.surrogate)
+        (name,), (given,) = by_kind["name"], by_kind["given"]
+        assert name.split()[0] == given and by_kind.get("family", {name.split()[1]}) == {name.split()[1]}
+    assert out[1].text != out[2].text and not re.search("Chen|Sofia|\\bLi\\b", out[1].text + out[2].text)
