@@ -13,14 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Temporary folders of applications that run in one process without the setting.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset and all runs in one process, under a temporary folder."""
+    """A new path under spark.checkpoint.dir; where that is unset and all runs in one process, under a temporary folder that the application keeps to."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="tallyloom-")
+        base = _LOCAL[app]
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 

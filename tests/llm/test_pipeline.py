@@ -32,4 +32,4 @@ def test_stages_take_effect(spark):
 
 
 def test_every_query_is_registered():
-    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 14))
