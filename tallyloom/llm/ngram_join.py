@@ -49,6 +49,8 @@ WIDTH_BITS, BLOCK_BITS = 22, 16
 FAN_IN = 64
 #: A token is frequent from this many sightings, over the table's mean noise.
 FREQUENT = 200
+#: A band of sets has as many classes of frequent tokens as the tokens that similar sets of it may differ in, over this: fewer classes make each pair rarer, but more of them, up to the square of the prefix.
+CLASS_SHARE = 2
 #: Groups of so many rows of a signature are compared pair by pair; larger ones through a pivot.
 SMALL = 8
 #: Bits of the map of candidate nodes that a task holds: eight for each node, within these bounds. A full map only lets through more rows.
@@ -122,7 +124,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, n: np.ndarray, level: np.ndarray,
     for i in np.flatnonzero(~plain & (n >= 2)):
         low, high = int(-(-percent * n[i] // 100)).bit_length() - 1, int(n[i] * 100 // percent).bit_length() - 1
         for band in range(low, high + 1):
-            m = max(1, ((1 << band) - -(-percent * (1 << band) // 100)) // 8)
+            m = max(1, ((1 << band) - -(-percent * (1 << band) // 100)) // CLASS_SHARE)
             end = int(min(n[i], spare[i] + m + 1))
             reach[i] = max(reach[i], end)
             t = h[first[i] + rare[i] : first[i] + end]
@@ -328,17 +330,20 @@ def _mixed(rows: DataFrame, *key: str) -> DataFrame:
 def _apart(shared: DataFrame, roots: DataFrame, bits: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The rows of signatures whose nodes are in several components, as small groups (at most SMALL rows) and large ones.
 
-    Signatures of more rows are split by bands of set sizes first. Sizes of similar sets are in one band
-    or in neighbouring ones, so each row goes to its own band and to the next one.
+    Large groups whose sizes don't all fit are split by bands of set sizes first. Sizes of similar sets are in one band
+    or in neighbouring ones, so each of their rows goes to its own band and to the next one.
     """
-    rooted = _mixed(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "sig")
+    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most")).where("low < high")
+    rooted = rooted.join(sizes.select("sig", "c", (100 * F.col("least") >= percent * F.col("most")).alias("fit")), "sig")
     rooted = written(rooted.join(bits, "node"), "ngram-apart")
     step = math.log(100 / percent) * (1 + 1e-12)  # a little wider than the ratio, so that rounding moves no similar sets two bands apart
     band = F.floor(F.log("n") / step) if percent < 100 else F.col("n")
-    few = rooted.where(f"c <= {SMALL}").withColumn("band", F.lit(-1).cast("bigint"))
-    banded = _mixed(rooted.where(f"c > {SMALL}").drop("c").withColumn("band", F.explode(F.array(band, band + 1))), "sig", "band")
+    whole = rooted.where(f"c <= {SMALL} OR fit").withColumn("band", F.lit(-1).cast("bigint"))
+    banded = _mixed(rooted.where(f"c > {SMALL} AND NOT fit").drop("c").withColumn("band", F.explode(F.array(band, band + 1))), "sig", "band")
     columns = [*_ROW, "root", "bits", "band"]
-    return few.select(columns).union(banded.where(f"c <= {SMALL}").select(columns)), banded.where(f"c > {SMALL}").select(columns)
+    few, large = (whole.where(f"c {x} {SMALL}").select(columns).union(banded.where(f"c {x} {SMALL}").select(columns)) for x in ("<=", ">"))
+    return few, large
 
 
 def _all_pairs(few: DataFrame, percent: int) -> DataFrame:
