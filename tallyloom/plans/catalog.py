@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import calendars, folds, merge, metrics, privacy, records, selection, slices
+from . import log_catalog
 from .derive import Graph, sql
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -752,8 +753,8 @@ def range_of_last_days(g):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | log_catalog.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | log_catalog.oracle_sql()

@@ -10,12 +10,13 @@ from ..functions.scalars import MAX_LONG, label
 TOKEN_FIELDS = ["uncached_input_tokens", "cached_input_tokens", "cache_write_input_tokens", "visible_output_tokens", "reasoning_output_tokens", "unattributed_tokens"]
 
 
-def json_lines(spark: SparkSession, paths: list[str] | str, longest: int | None = None) -> DataFrame:
+def json_lines(spark: SparkSession, paths: list[str] | str, longest: int | None = None, below: str | None = None) -> DataFrame:
     """One row per line that isn't blank: path, at (orders the lines of a file), value (null where it isn't a JSON object), size.
 
-    longest: an optional bound on a line's bytes; longer lines count as malformed.
+    longest: an optional bound on a line's bytes; longer lines count as malformed. below: a pattern of the names of files at any depth below the paths.
     """
-    lines = spark.read.text(paths).select("value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("block")).withColumn("row", F.monotonically_increasing_id())
+    reader = spark.read if below is None else spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", below)
+    lines = reader.text(paths).select("value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("block")).withColumn("row", F.monotonically_increasing_id())
     lines = lines.where(F.trim("value") != "")
     value = F.try_parse_json("value")
     ok = F.schema_of_variant(value).startswith("OBJECT")

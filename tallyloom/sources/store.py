@@ -28,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def cut(df: DataFrame, what: str) -> DataFrame:
+    """df as a table in the shared folder, which ends its lineage; for what a loop reads several times."""
+    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(df: DataFrame, source: str, name: str, by: str | None = None) -> DataFrame:
     """df as it was written on the first call of this application for (source, name).
 

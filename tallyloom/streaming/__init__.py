@@ -1 +1 @@
-
+"""Streams of normalized records."""
