@@ -2,7 +2,8 @@
 
 A connector only projects its events to facts, one row per event: provider, machine, external_id, seq,
 at_ms, starts (the event opens a turn), turn_key, ends (status that it gives the open turn), tok
-(token parts of a call), model, tool, compaction, sample_in and sample_window. Turns, calls, tools and
+(token parts of a call), model, tool, compaction, sample_in and sample_window; touches (the event's time is the turn's end so far; unless told, where
+it ends one), effort (of the turn that it opens) and aside (the call's model isn't the turn's own). Turns, calls, tools and
 the other tables then come from windows over a conversation, the same way for all connectors.
 """
 
@@ -17,7 +18,7 @@ from ..functions.scalars import interval_ms
 from ..operators.folds import segment
 from .scan import saturated, with_totals
 
-FACTS = ["provider", "machine", "external_id", "seq", "at_ms", "starts", "turn_key", "ends", "tok", "model", "tool", "compaction", "sample_in", "sample_window"]
+FACTS = ["provider", "machine", "external_id", "seq", "at_ms", "starts", "turn_key", "ends", "tok", "model", "tool", "compaction", "sample_in", "sample_window", "touches", "effort", "aside"]
 KEY = ["provider", "external_id"]
 
 
@@ -29,13 +30,16 @@ class Bundle:
     tools: DataFrame
     samples: DataFrame
     compactions: DataFrame
+    settings: DataFrame | None = None
+    work: DataFrame | None = None
+    edges: DataFrame | None = None
 
 
 def united(bundles: list[Bundle]) -> Bundle:
     """The graphs of several providers as one."""
     one, *rest = [[getattr(b, f.name) for f in fields(Bundle)] for b in bundles]
     for other in rest:
-        one = [a.unionByName(b) for a, b in zip(one, other, strict=True)]
+        one = [b if a is None else a if b is None else a.unionByName(b, allowMissingColumns=True) for a, b in zip(one, other, strict=True)]
     return Bundle(*one)
 
 
@@ -47,18 +51,24 @@ def one_copy(events: DataFrame, key: list[str], rank: list[str]) -> tuple[DataFr
     return kept, best.select(*key, "duplicates")
 
 
-def assemble(facts: DataFrame, first_end: bool = True, next_closes: bool = True) -> Bundle:
-    """first_end: a turn ends at the first event that ends it, else at the last; next_closes: the start of the next turn completes a turn."""
-    placed = segment(facts.select(FACTS), KEY, ["seq"], F.col("starts"))
+def assemble(facts: DataFrame, first_end: bool = True, next_closes: bool = True, by_time: bool = False) -> Bundle:
+    """first_end: a turn ends at the first event that ends it, else at the last; next_closes: the start of the next turn completes a turn.
+
+    by_time: a conversation lasts from its least to its largest time, else from its first event with a time to its last one.
+    facts may number the turns themselves, in turn_no.
+    """
+    placed = facts.select(*FACTS, "turn_no") if "turn_no" in facts.columns else segment(facts.select(FACTS), KEY, ["seq"], F.col("starts"))
+    timed = F.when(F.col("at_ms").isNotNull(), F.col("at_ms" if by_time else "seq"))
     whole = placed.groupBy(*KEY).agg(
-        F.max("machine").alias("machine"), F.min_by("at_ms", F.when(F.col("at_ms").isNotNull(), F.col("seq"))).alias("started_ms"), F.max_by("at_ms", F.when(F.col("at_ms").isNotNull(), F.col("seq"))).alias("ended_ms"),
+        F.max("machine").alias("machine"), F.min_by("at_ms", timed).alias("started_ms"), F.max_by("at_ms", timed).alias("ended_ms"),
         F.count_if("starts").alias("iterations"), F.count("tok").alias("model_calls"), F.count("tool").alias("tool_calls"), F.count_if("compaction").alias("compactions"), F.count("*").alias("event_count"),
         F.array_sort(F.collect_set(F.when(F.col("tok").isNotNull(), F.col("model")))).alias("models"), *saturated(),
     )
     conversations = with_totals(whole).withColumn("duration_ms", interval_ms(F.col("started_ms"), F.col("ended_ms")))
-    ending = F.when(F.col("ends").isNotNull() & F.col("at_ms").isNotNull(), F.col("seq"))
+    ending = F.when(F.coalesce("touches", F.col("ends").isNotNull()) & F.col("at_ms").isNotNull(), F.col("seq"))
     turns = placed.where("turn_no > 0").groupBy(*KEY, "turn_no").agg(
-        F.max(F.when(F.col("starts"), F.col("turn_key"))).alias("turn_key"), F.max(F.when(F.col("starts"), F.col("at_ms"))).alias("started_ms"),
+        F.max(F.when(F.col("starts"), F.col("turn_key"))).alias("turn_key"), F.max(F.when(F.col("starts"), F.col("at_ms"))).alias("started_ms"), F.max(F.when(F.col("starts"), F.col("effort"))).alias("effort"),
+        F.collect_set(F.when(F.col("tok").isNotNull() & ~F.coalesce("aside", F.lit(False)), F.coalesce("model", F.lit("unknown")))).alias("own_models"),
         (F.min_by if first_end else F.max_by)("at_ms", ending).alias("own_end"), F.max_by("ends", F.when(F.col("ends").isNotNull(), F.col("seq"))).alias("said"),
         F.count("tok").alias("model_calls"), F.count("tool").alias("tool_calls"), *saturated(),
     )
@@ -76,4 +86,5 @@ def assemble(facts: DataFrame, first_end: bool = True, next_closes: bool = True)
     tools = placed.where("tool IS NOT NULL").withColumn("sequence", number()).select(*KEY, in_turn, "sequence", F.col("at_ms").alias("timestamp_ms"), "tool")
     samples = placed.where("sample_window > 0").withColumn("sequence", number()).select(*KEY, in_turn, "sequence", F.col("at_ms").alias("timestamp_ms"), F.greatest("sample_in", F.lit(0)).alias("input_tokens"), F.col("sample_window").alias("window_tokens"))
     compactions = placed.where("compaction").withColumn("sequence", number()).select(*KEY, in_turn, "sequence", F.col("at_ms").alias("timestamp_ms"))
-    return Bundle(conversations, turns, calls, tools, samples, compactions)
+    settings = turns.select(*KEY, "turn_no", F.when(F.size("own_models") == 1, F.col("own_models")[0]).alias("model"), "effort")
+    return Bundle(conversations, turns.drop("own_models", "effort"), calls, tools, samples, compactions, settings)

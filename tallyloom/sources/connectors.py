@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from . import scan
 from .assemble import FACTS, Bundle, assemble, one_copy
 
-NOTHING = {"turn_key": "string", "ends": "string", "model": "string", "tool": "string", "sample_in": "bigint", "sample_window": "bigint"}
+NOTHING = {"touches": "boolean", "effort": "string", "turn_key": "string", "ends": "string", "model": "string", "tool": "string", "sample_in": "bigint", "sample_window": "bigint"}
 
 
 def _facts(df: DataFrame, **columns) -> DataFrame:
     """FACTS with the given columns; others are missing."""
-    made = {c: F.lit(None).cast(t) for c, t in NOTHING.items()} | {"starts": F.lit(False), "compaction": F.lit(False), "tok": F.lit(None).cast("struct<" + ",".join(f"{f}:bigint" for f in scan.TOKEN_FIELDS) + ">")} | columns
+    made = {c: F.lit(None).cast(t) for c, t in NOTHING.items()} | {"starts": F.lit(False), "compaction": F.lit(False), "aside": F.lit(False), "tok": F.lit(None).cast("struct<" + ",".join(f"{f}:bigint" for f in scan.TOKEN_FIELDS) + ">")} | columns
     made = {c: F.coalesce(x, F.lit(False)) if c in ("starts", "compaction") else x for c, x in made.items()}
     return df.withColumns(made).select(FACTS)
 

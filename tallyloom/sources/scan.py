@@ -25,9 +25,10 @@ def json_lines(spark: SparkSession, paths: list[str] | str, longest: int | None
     return lines.select(F.col("file_path").alias("path"), F.struct("block", "row").alias("at"), F.when(ok, value).alias("value"), F.octet_length("value").alias("size"), F.sha2("value", 256).alias("digest"))
 
 
-def json_documents(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """One row per file: path, value (null where it isn't a JSON object), digest of its bytes."""
-    files = spark.read.format("binaryFile").load(paths)
+def json_documents(spark: SparkSession, paths: list[str] | str, below: str | None = None) -> DataFrame:
+    """One row per file: path, value (null where it isn't a JSON object), digest of its bytes. below: as in json_lines()."""
+    reader = spark.read.format("binaryFile")
+    files = (reader if below is None else reader.option("recursiveFileLookup", True).option("pathGlobFilter", below)).load(paths)
     value = F.try_parse_json(F.col("content").cast("string"))
     return files.select("path", F.when(F.schema_of_variant(value).startswith("OBJECT"), value).alias("value"), F.sha2("content", 256).alias("digest"))
 
