@@ -187,6 +187,14 @@ def rollout_work(g):
     return row(rollouts.compactions(rows, key), "compaction", none, none).union(row(rollouts.items(rows, key), "item", F.col("work_kind"), F.col("duration_ms"))).union(row(rollouts.tools(rows, key), "tool", F.col("tool"), none))
 
 
+@query(log_sql("""SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY i) AS sequence, 'm' || i AS model, k * i AS tokens FROM (SELECT user_id, k, unnest(range(1, k % 4 + 1)) AS i FROM (SELECT user_id, arg_max(k, seq) AS k FROM log WHERE event_type = 'error' AND k % 3 <> 0 GROUP BY 1))"""))
+def calls_of_last_report(g):
+    """The calls that each user's last report tells, a map of models with their tokens."""
+    reports = log(g).where("event_type = 'error' AND k % 3 != 0").withColumn("metrics", F.expr("map_from_entries(transform(slice(array(1L, 2L, 3L), 1, CAST(k % 4 AS int)), i -> struct('m' || i AS key, k * i AS value)))"))
+    last = reports.groupBy("user_id").agg(F.max_by("metrics", "seq").alias("metrics")).select("user_id", F.explode("metrics").alias("model", "tokens"))
+    return last.select("user_id", F.row_number().over(W.partitionBy("user_id").orderBy("model")).alias("sequence"), "model", "tokens")
+
+
 @query(sql("SELECT e.parent_id, e.child_id, c.started_ms AS created_ms, c.ended_ms AS updated_ms, c.machine AS role FROM subagents e LEFT JOIN (SELECT * FROM conversations WHERE conversation_id % 5 <> 0) c ON c.conversation_id = e.child_id"))
 def edges_with_threads(g):
     """Edges with what the store tells of their children, where it has them."""

@@ -356,3 +356,59 @@ def codex(spark: SparkSession, home: str, machine: str = "local") -> tuple[Bundl
     bad = every.agg(F.count_if(F.col("value").isNull()).alias("bad")).crossJoin(lines.agg(F.count_if(header & ~scan.has(v, p, "OBJECT")).alias("headless")))
     bundle = Bundle(conversations, rollouts.turns(rows, key), rollouts.calls(rows, key), rollouts.tools(rows, key), rollouts.samples(rows, key), rollouts.compactions(rows, key), rollouts.settings(rows, key), rollouts.items(rows, key), told)
     return bundle, _counters(bad.select((F.col("bad") + F.col("headless")).alias("malformed")), others)
+
+
+def copilot(spark: SparkSession, home: str, machine: str = "local") -> tuple[Bundle, DataFrame]:
+    """Event logs session-state/*/events.jsonl. Usage comes once, by model, in the last shutdown event; events of other agents than the root don't count."""
+    v = F.col("value")
+    every = scan.json_lines(spark, f"{home}/session-state/*/events.jsonl")
+    lines = _numbered(every)
+    kind = scan.text(v, "$.type")
+    start = F.coalesce(kind == "session.start", F.lit(False))
+    files = lines.select("path", "n_events", "hash").distinct().join(_first(lines.where(start), scan.name(v, "$.data.sessionId"), "external_id"), "path", "left")
+    kept, others = one_copy(files.where("external_id IS NOT NULL"), ["external_id"], ["n_events", "hash"])
+    agent = F.try_variant_get(v, "$.agentId", "variant")
+    ok = F.coalesce(kind.isNotNull() & scan.has(v, "$.data", "OBJECT"), F.lit(False))
+    root = ok & (agent.isNull() | F.is_variant_null(agent))
+    is_ = lambda name: root & (kind == name)
+    shutdown = is_("session.shutdown") & scan.has(v, "$.data.modelMetrics", "OBJECT")
+    tool = F.when(is_("tool.execution_start"), scan.name(v, "$.data.toolName"))
+    rows = lines.join(kept.select("path", "external_id"), "path").select(
+        "external_id", "n", scan.time_ms(v, "$.timestamp").alias("at_ms"), scan.name(v, "$.id").alias("id"), is_("user.message").alias("user"), is_("assistant.message").alias("said"), is_("assistant.turn_end").alias("done"),
+        F.when(is_("assistant.message"), scan.name(v, "$.data.model", 255)).alias("seen_model"), F.when(is_("session.start"), scan.name(v, "$.data.selectedModel", 255)).alias("chosen"), F.when(is_("session.start"), scan.name(v, "$.data.reasoningEffort", 64)).alias("told_effort"),
+        tool.alias("tool"), F.coalesce(scan.name(v, "$.data.toolCallId"), F.concat(F.lit("event-"), F.col("n"))).alias("tool_key"), (is_("session.compaction_complete") & F.coalesce(F.try_variant_get(v, "$.data.success", "boolean"), F.lit(False))).alias("compaction"),
+        F.when(shutdown, F.try_variant_get(v, "$.data.modelMetrics", "map<string,variant>")).alias("metrics"), F.when(shutdown, scan.text(v, "$.data.shutdownType")).alias("shutdown"), shutdown.alias("is_shutdown"),
+        (~ok | is_("tool.execution_start") & tool.isNull() | is_("session.shutdown") & ~shutdown).alias("wrong"),
+    )
+    log = Window.partitionBy("external_id")
+    rows = rows.withColumns({
+        "turn_no": F.count_if("user").over(log.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)), "is_last": F.col("is_shutdown") & (F.max(F.when(F.col("is_shutdown"), F.col("n"))).over(log) == F.col("n")),
+        "tool": F.when(F.row_number().over(Window.partitionBy("external_id", "tool_key", F.col("tool").isNotNull()).orderBy("n")) == 1, F.col("tool")),
+    })
+    usage = lambda e: F.least(scan.count(e["value"], "$.usage.inputTokens"), F.lit(MAX_LONG))
+
+    def tokens_of(e: Column) -> Column:
+        whole, told = usage(e), lambda name: scan.count(e["value"], f"$.usage.{name}")
+        cached = F.least(whole, told("cacheReadTokens"))
+        write = F.least(whole - cached, told("cacheWriteTokens"))
+        thought = F.least(told("outputTokens"), told("reasoningTokens"))
+        return scan.tokens(whole - cached - write, cached, write, told("outputTokens") - thought, thought)
+
+    entries = F.array_sort(F.map_entries("metrics"), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+    good = F.filter(entries, lambda e: label(e["key"], 255).isNotNull() & scan.has(e["value"], "$.usage", "OBJECT"))
+    rows = rows.withColumn("calls", F.when(F.col("is_last"), F.transform(good, lambda e: _call(tokens_of(e), label(e["key"], 255), True)))).withColumn("unusable", F.when(F.col("is_last"), F.size("metrics") - F.size(good)).otherwise(0))
+    rows = cut(rows.drop("metrics"), "copilot")
+    facts = _spread(_named(rows, "copilot", machine), F.col("calls"), F.array("tool"), starts=F.col("user"), turn_key=F.coalesce("id", F.concat(F.lit("turn-"), "turn_no")), ends=F.when(F.col("done"), "completed"), touches=F.col("said") | F.col("done"), compaction=F.col("compaction"))
+    facts = facts.withColumn("turn_no", F.when(F.col("tok").isNull(), F.col("turn_no")).otherwise(0))  # usage is the session's, of no turn
+    made = _bundle(facts, kept.select("external_id", F.col("n_events").alias("event_count")))
+    whole = rows.groupBy("external_id").agg(
+        F.array_compact(F.concat(F.collect_set("seen_model"), F.array(F.max_by("chosen", F.when(F.col("chosen").isNotNull(), F.col("n")))))).alias("more"), F.max_by("told_effort", F.when(F.col("told_effort").isNotNull(), F.col("n"))).alias("effort"),
+        F.max("turn_no").alias("last_turn"), F.coalesce(F.max(F.when(F.col("is_last"), F.col("shutdown"))) == "error", F.lit(False)).alias("broken"),
+    )
+    conversations = made.conversations.join(whole.select("external_id", "more"), "external_id").withColumn("models", F.array_sort(F.array_union("models", "more"))).drop("more")
+    open_turn = F.col("broken") & (F.col("turn_no") == F.col("last_turn")) & (F.col("status") != "completed")
+    turns = made.turns.join(whole.select("external_id", "last_turn", "broken"), "external_id").withColumn("status", F.when(open_turn, "aborted").otherwise(F.col("status"))).drop("last_turn", "broken")
+    seen = rows.where("turn_no > 0").groupBy("external_id", "turn_no").agg(F.collect_set("seen_model").alias("own"))
+    settings = made.settings.select(*KEY, "turn_no").join(seen, ["external_id", "turn_no"]).join(whole.select("external_id", "effort"), "external_id").select(*KEY, "turn_no", F.when(F.size("own") == 1, F.col("own")[0]).alias("model"), "effort")
+    bad = every.agg(F.count_if(F.col("value").isNull()).alias("bad")).crossJoin(files.agg(F.count_if(F.col("external_id").isNull()).alias("nameless"))).crossJoin(rows.agg(F.count_if("wrong").alias("wrong"), F.coalesce(F.sum("unusable"), F.lit(0)).alias("unusable")))
+    return Bundle(**(made.__dict__ | {"conversations": conversations, "turns": turns, "settings": settings})), _counters(bad.select((F.col("bad") + F.col("nameless") + F.col("wrong") + F.col("unusable")).alias("malformed")), others)

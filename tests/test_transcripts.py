@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import groups
-from tallyloom.sources import scan, sqlite, transcripts
+from tallyloom.sources import registry, scan, sqlite, transcripts
 
 
 def at(n):
@@ -181,6 +181,32 @@ def test_codex(spark, tmp_path):
     assert (minute(c.started_ms), minute(c.ended_ms), c.iterations, c.model_calls, c.tool_calls, c.compactions, c.event_count, c.models, c.total_tokens) == (0, 9, 2, 4, 2, 1, 16, ["m1"], 133)
 
 
+def test_copilot_takes_the_last_shutdown(spark, tmp_path):
+    event = lambda kind, n, agent=None, **data: {"type": kind, "timestamp": at(n), "data": data, "id": f"e{n}"} | ({} if agent is None else {"agentId": agent})
+    metric = lambda **u: {"usage": u}
+    log = [
+        event("session.start", 0, sessionId="s", selectedModel="chosen", reasoningEffort="high"), event("user.message", 1), event("assistant.message", 2, model="seen"), event("user.message", 2, "sub"), event("tool.execution_start", 3, toolName="t", toolCallId="k"),
+        event("tool.execution_start", 4, toolName="again", toolCallId="k"), event("tool.execution_start", 4, toolName="bad name"), event("assistant.turn_end", 5), event("session.shutdown", 6, modelMetrics={"old": metric(inputTokens=1)}),
+        event("session.compaction_complete", 7, success=True), event("session.compaction_complete", 7, success=False), event("user.message", 8), event("assistant.message", 9), {"type": "x"},
+        event("session.shutdown", 10, shutdownType="error", modelMetrics={"b": metric(inputTokens=10, cacheReadTokens=4, cacheWriteTokens=9, outputTokens=5, reasoningTokens=7), "a": metric(inputTokens=1), "c": 5}), event("session.shutdown", 11, modelMetrics=3),
+    ]
+    lines(tmp_path / "session-state/1/events.jsonl", log)
+    graph, counters = transcripts.copilot(spark, str(tmp_path))
+    assert counters.collect()[0].asDict() == {"malformed": 4, "duplicates": 0}
+    assert rows(graph.calls, "sequence", "turn_no", "model", "uncached_input_tokens", "cached_input_tokens", "cache_write_input_tokens", "visible_output_tokens", "reasoning_output_tokens") == [(1, None, "a", 1, 0, 0, 0, 0), (2, None, "b", 0, 4, 6, 0, 5)]
+    assert rows(graph.turns, "turn_no", "turn_key", "status", "model_calls", "tool_calls") == [(1, "e1", "completed", 0, 1), (2, "e8", "aborted", 0, 0)]
+    assert rows(graph.settings, "turn_no", "model", "effort") == [(1, "seen", "high"), (2, None, "high")] and rows(graph.compactions, "turn_no") == [(1,)]
+    (c,) = graph.conversations.collect()
+    assert (c.models, c.model_calls, c.total_tokens, c.event_count, minute(c.ended_ms)) == (["a", "b", "chosen", "seen"], 2, 16, 16, 11)
+
+
+def test_compatibility(spark, tmp_path):
+    lines(tmp_path / "a/session-state/1/events.jsonl", [{"type": "session.start", "data": {"sessionId": "s"}}])
+    lines(tmp_path / "b/session-state/1/events.jsonl", ["{"])
+    lines(tmp_path / "c/session-state/1/events.jsonl", [""])
+    assert [registry.compatibility(spark, "copilot", f"{tmp_path}/{x}") for x in "abcd"] == ["compatible", "degraded", "detected", "no-data"]
+
+
 def test_sqlite_files(spark, tmp_path):
     for i, columns in enumerate(("id INTEGER, name TEXT, more REAL", "id INTEGER", "ID INTEGER, name BLOB")):
         db = sqlite3.connect(tmp_path / f"s{i}.db")
