@@ -122,6 +122,34 @@ def agent_role(x: Column) -> Column:
     return F.when(F.coalesce(t, F.lit("")).isin("", "unknown", "unspecified"), "unspecified").otherwise(_named(t, ROLES, "other"))
 
 
+# States and roles in stores of the former schema, by what they mean.
+FORMER_STATES = {
+    "completed": ["completed", "done", "finished", "success", "succeeded"], "failed": ["failed", "error", "errored"], "aborted": ["aborted", "canceled", "cancelled", "killed", "terminated"],
+    "in-progress": ["active", "in-progress", "in_progress", "pending", "queued", "running", "starting"],
+}
+FORMER_ROLES = {"worker": ["worker", "general"], "research": ["explore", "explorer", "research", "researcher"], "review": ["review", "reviewer"], "test": ["test", "tester"], "planning": ["planner", "planning"], "other": ["other"], "unspecified": ["unspecified"]}
+
+
+def former_status(x: Column) -> Column:
+    """The state of a delegation that a store of the former schema tells; not trimmed, as it was stored."""
+    return _named(F.lower(x), FORMER_STATES, "unknown")
+
+
+def former_role(x: Column) -> Column:
+    """The role that a store of the former schema tells; unspecified where it tells none."""
+    return F.when(x.isNull() | (F.trim(x) == ""), "unspecified").otherwise(_named(F.lower(x), FORMER_ROLES, "other"))
+
+
+def day_floor(ms: Column) -> Column:
+    """The midnight of UTC at or before a time."""
+    return ms - F.pmod(ms, F.lit(DAY_MS))
+
+
+def day_ceiling(ms: Column) -> Column:
+    """The midnight of UTC at or after a time."""
+    return ms + F.pmod(-ms, F.lit(DAY_MS))
+
+
 def work_status(exit_code: Column, success: Column, error: Column, status: Column) -> Column:
     """The state of a work item: a failing exit code, success = false or any error decide before its status."""
     t = F.replace(F.lower(status), F.lit("_"), F.lit("-"))

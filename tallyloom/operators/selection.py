@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY_MS
 
+from ..functions.scalars import DAY_MS
+
 
 def parse_bound(text: str, end: bool = False) -> int:
     """A date is UTC midnight, as an end the next one; a timestamp needs a zone."""
@@ -88,6 +90,18 @@ def edges(subagents: DataFrame, selected: DataFrame) -> DataFrame:
     return subagents.join(ids, F.col("parent_id") == F.col("conversation_id"), "left_semi").union(subagents.join(ids, F.col("child_id") == F.col("conversation_id"), "left_semi")).distinct()
 
 
+def edges_in_scope(edges: DataFrame, selected: DataFrame) -> DataFrame:
+    """Edges (provider, machine, parent_id, child_id, ...) with either end selected in their own provider and machine: two semi-joins and a union."""
+    scope = selected.select("provider", "machine", F.col("conversation_id").alias("__id"))
+    ends = [edges.withColumn("__id", F.col(end)).join(scope, ["provider", "machine", "__id"], "left_semi").select(edges.columns) for end in ("parent_id", "child_id")]
+    return ends[0].union(ends[1]).distinct()
+
+
+def day_window(w: Window) -> Window:
+    """A window that tells no more than days: from the midnight before its start to the one after its end, unless it ends at one."""
+    return Window(None if w.since is None else w.since // DAY_MS * DAY_MS, None if w.until is None else -(-w.until // DAY_MS) * DAY_MS)
+
+
 def ingestion_runs(runs: DataFrame, w: Window = Window(), f: Filters = Filters()) -> DataFrame:
     """Runs in the window; only the provider filter holds for them."""
     if w.since is not None:

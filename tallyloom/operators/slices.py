@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import calendar
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +74,23 @@ def ranges(latest: DataFrame, days: int | None, since: int | None = None, until:
     return rows
 
 
+def custom_range(latest: DataFrame, first: str | None, last: str | None, since: int | None = None, until: int | None = None) -> DataFrame:
+    """As ranges(), from the day `first` to the day `last` (ISO days of UTC): a missing first day is the export window's start, a missing last one the latest day that the data tell."""
+    rows = ranges(latest, None, since, until).select("end_ms")
+    midnight = lambda day: F.lit(calendar.timegm(date.fromisoformat(day).timetuple()) * 1000)
+    start = F.lit(since).cast("bigint") if first is None else midnight(first)
+    end = F.col("end_ms") if last is None else midnight(last) + (DAY_MS - 1)
+    if since is not None:
+        start = F.greatest(start, F.lit(since))
+    if until is not None:
+        end = F.least(end, F.lit(until - 1))
+    rows = rows.select(start.cast("bigint").alias("start_ms"), end.cast("bigint").alias("end_ms")).withColumn("previous_end_ms", F.col("start_ms") - 1).withColumn("previous_start_ms", F.col("start_ms") - (F.col("end_ms") - F.col("start_ms")) - 1)
+    if since is not None:
+        inside = F.col("previous_start_ms") >= since
+        rows = rows.withColumns({c: F.when(inside, F.col(c)) for c in ("previous_start_ms", "previous_end_ms")})
+    return rows
+
+
 def last_days(days: int, now_ms: int) -> Range:
     """The last `days` days up to the next midnight of UTC after the wall clock's now."""
     end = now_ms - now_ms % DAY_MS + DAY_MS

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import branches, folds, groups, ingest, pages, replay, rollouts
+from ..functions import scalars as X
+from ..operators import branches, folds, groups, ingest, pages, replay, rollouts, selection, slices
 from ..sources.scan import tokens
 from ..sources.store import shared_dir
 from ..streaming.collect import batch_receipt
@@ -187,6 +188,49 @@ def rollout_work(g):
     return row(rollouts.compactions(rows, key), "compaction", none, none).union(row(rollouts.items(rows, key), "item", F.col("work_kind"), F.col("duration_ms"))).union(row(rollouts.tools(rows, key), "tool", F.col("tool"), none))
 
 
+_SCOPED = "SELECT parent_id, child_id, p.provider, p.machine FROM subagents JOIN (SELECT conversation_id, provider, CASE WHEN conversation_id % 7 = 0 THEN 'elsewhere' ELSE machine END AS machine FROM conversations) p ON p.conversation_id = parent_id"
+
+
+@query(sql("SELECT * FROM scoped e WHERE EXISTS (SELECT 1 FROM conversations c WHERE c.started_ms >= 946684800000 - 157680000000 AND c.provider = e.provider AND c.machine = e.machine AND (c.conversation_id = e.parent_id OR c.conversation_id = e.child_id))", scoped=_SCOPED))
+def edges_in_their_scope(g):
+    """Edges with an end among the later conversations of the edge's own provider and machine; some edges were told on a machine that has neither end."""
+    parents = g.conversations.select(F.col("conversation_id").alias("parent_id"), "provider", F.when(F.col("conversation_id") % 7 == 0, "elsewhere").otherwise(F.col("machine")).alias("machine"))
+    edges = g.subagents.select("parent_id", "child_id").join(parents, "parent_id")
+    return selection.edges_in_scope(edges, g.conversations.where(F.col("started_ms") >= 946_684_800_000 - 157_680_000_000)).select("parent_id", "child_id", "provider", "machine")
+
+
+_WORDS = "SELECT user_id, seq, CASE event_type WHEN 'view' THEN 'Finished' WHEN 'click' THEN 'KILLED' WHEN 'error' THEN 'errored' WHEN 'signup' THEN 'queued' ELSE 'In_Progress' END || CASE WHEN k % 9 = 0 THEN ' ' ELSE '' END AS state, CASE k % 7 WHEN 0 THEN 'General' WHEN 1 THEN 'explore' WHEN 2 THEN 'Planner' WHEN 3 THEN ' ' WHEN 4 THEN 'unspecified' WHEN 5 THEN 'pilot' END AS role FROM log"
+
+
+@query(log_sql("""SELECT user_id, seq, CASE WHEN lower(state) IN ('completed', 'done', 'finished', 'success', 'succeeded') THEN 'completed' WHEN lower(state) IN ('failed', 'error', 'errored') THEN 'failed' WHEN lower(state) IN ('aborted', 'canceled', 'cancelled', 'killed', 'terminated') THEN 'aborted'
+        WHEN lower(state) IN ('active', 'in-progress', 'in_progress', 'pending', 'queued', 'running', 'starting') THEN 'in-progress' ELSE 'unknown' END AS status,
+    CASE WHEN role IS NULL OR trim(role) = '' THEN 'unspecified' WHEN lower(role) IN ('worker', 'general') THEN 'worker' WHEN lower(role) IN ('explore', 'explorer', 'research', 'researcher') THEN 'research' WHEN lower(role) IN ('review', 'reviewer') THEN 'review'
+        WHEN lower(role) IN ('test', 'tester') THEN 'test' WHEN lower(role) IN ('planner', 'planning') THEN 'planning' WHEN lower(role) IN ('other', 'unspecified') THEN lower(role) ELSE 'other' END AS role FROM words""", words=_WORDS))
+def former_states_and_roles(g):
+    """States and roles as stores of the former schema told them."""
+    k = F.col("k")
+    states = {"view": "Finished", "click": "KILLED", "error": "errored", "signup": "queued"}
+    state = F.lit("In_Progress")
+    for event, word in states.items():
+        state = F.when(F.col("event_type") == event, word).otherwise(state)
+    role = F.get(F.array(*[F.lit(x) for x in ("General", "explore", "Planner", " ", "unspecified", "pilot")]), (k % 7).cast("int"))
+    return log(g).select("user_id", "seq", X.former_status(F.concat(state, F.when(k % 9 == 0, " ").otherwise(""))).alias("status"), X.former_role(role).alias("role"))
+
+
+@query(sql("SELECT provider, min(started_ms) // 86400000 * 86400000 AS since_ms, -(-max(ended_ms) // 86400000) * 86400000 AS until_ms FROM (SELECT provider, started_ms, ended_ms FROM conversations WHERE started_ms IS NOT NULL AND ended_ms IS NOT NULL) GROUP BY 1".replace("-(-max(ended_ms) // 86400000) * 86400000", "(max(ended_ms) + 86399999) // 86400000 * 86400000")))
+def day_bounds(g):
+    """The days that each provider's conversations span."""
+    times = g.conversations.where("started_ms IS NOT NULL AND ended_ms IS NOT NULL").groupBy("provider").agg(F.min("started_ms").alias("a"), F.max("ended_ms").alias("b"))
+    return times.select("provider", X.day_floor(F.col("a")).alias("since_ms"), X.day_ceiling(F.col("b")).alias("until_ms"))
+
+
+@query(sql("SELECT s AS start_ms, e AS end_ms, CASE WHEN s - (e - s) - 1 >= 820454400000 THEN s - 1 END AS previous_end_ms, CASE WHEN s - (e - s) - 1 >= 820454400000 THEN s - (e - s) - 1 END AS previous_start_ms FROM (SELECT 852076800000 AS s, least((max(ended_ms) // 86400000) * 86400000 + 86399999, 867715199999) AS e FROM conversations)"))
+def custom_range_in_window(g):
+    """From a day to the latest one that the conversations tell, within an export window, and the range of equal width before it."""
+    latest = g.conversations.agg(F.max("ended_ms").alias("at"))
+    return slices.custom_range(latest, "1997-01-01", None, since=820_454_400_000, until=867_715_200_000)
+
+
 @query(log_sql("""SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY i) AS sequence, 'm' || i AS model, k * i AS tokens FROM (SELECT user_id, k, unnest(range(1, k % 4 + 1)) AS i FROM (SELECT user_id, arg_max(k, seq) AS k FROM log WHERE event_type = 'error' AND k % 3 <> 0 GROUP BY 1))"""))
 def calls_of_last_report(g):
     """The calls that each user's last report tells, a map of models with their tokens."""
