@@ -14,7 +14,7 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _R = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2**64
 _R_INV = pow(_R, -1, 1 << 64)
 #: Bytes of text handled at a time; bounds a task's memory whatever the batch's size.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
