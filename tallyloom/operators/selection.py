@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY_MS
 
-from ..functions.scalars import DAY_MS
-
 
 def parse_bound(text: str, end: bool = False) -> int:
     """A date is UTC midnight, as an end the next one; a timestamp needs a zone."""
