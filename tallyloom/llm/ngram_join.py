@@ -45,6 +45,8 @@ from .textvec import chunks, distinct_sets, mix64, shingles
 
 #: The table of counts has 2**WIDTH_BITS entries whatever the corpus; it only orders tokens.
 WIDTH_BITS, BLOCK_BITS = 22, 16
+#: Bytes of text that are hashed at a time, unless one text has more.
+TEXT_BYTES = 1 << 18
 #: Tables of counts of so many tasks, or more, are added before those sums meet.
 FAN_IN = 64
 #: A token is frequent from this many sightings, over the table's mean noise.
@@ -63,7 +65,7 @@ _C1, _C2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 def _columns(text_col: str, batches: Iterator[pa.RecordBatch], k: int):
     for batch in batches:
-        for first, end, raw, offs in chunks(batch.column(batch.schema.get_field_index(text_col))):
+        for first, end, raw, offs in chunks(batch.column(batch.schema.get_field_index(text_col)), TEXT_BYTES):
             yield batch.slice(first, end - first), offs, *distinct_sets(*shingles(raw, offs, k))
 
 
