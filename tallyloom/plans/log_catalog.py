@@ -239,6 +239,16 @@ def calls_of_last_report(g):
     return last.select("user_id", F.row_number().over(W.partitionBy("user_id").orderBy("model")).alias("sequence"), "model", "tokens")
 
 
+@query(log_sql("""SELECT l.user_id, l.seq, l.k + coalesce(m.cached, 0) AS tokens, m.last FROM log l LEFT JOIN (SELECT user_id, k % 30 AS message, max(seq) AS last, arg_max(k % 13, CASE WHEN event_type = 'view' THEN seq END) AS cached FROM log WHERE event_type IN ('view', 'signup') GROUP BY 1, 2) m
+    ON m.user_id = l.user_id AND m.message = l.k % 30 WHERE l.event_type = 'purchase'"""))
+def ledger_of_messages(g):
+    """Ledger entries with the cache counters of their message's newest answer and with its newest record, where the log has the message."""
+    rows, message = log(g), F.col("k") % 30
+    named = rows.where("event_type IN ('view', 'signup')").groupBy("user_id", message.alias("message")).agg(F.max("seq").alias("last"), F.max_by(F.col("k") % 13, F.when(F.col("event_type") == "view", F.col("seq"))).alias("cached"))
+    entries = rows.where("event_type = 'purchase'").withColumn("message", message)
+    return entries.join(named, ["user_id", "message"], "left").select("user_id", "seq", (F.col("k") + F.coalesce("cached", F.lit(0))).alias("tokens"), "last")
+
+
 @query(sql("SELECT e.parent_id, e.child_id, c.started_ms AS created_ms, c.ended_ms AS updated_ms, c.machine AS role FROM subagents e LEFT JOIN (SELECT * FROM conversations WHERE conversation_id % 5 <> 0) c ON c.conversation_id = e.child_id"))
 def edges_with_threads(g):
     """Edges with what the store tells of their children, where it has them."""

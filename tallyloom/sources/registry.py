@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from . import connectors, transcripts
+from . import connectors, stores, transcripts
 from .assemble import Bundle
 
 #: (spark, folder, machine) -> (graph, one row of the counters malformed and duplicates).
-CONNECTORS: dict[str, Callable[..., tuple[Bundle, DataFrame]]] = connectors.CONNECTORS | {f.__name__: f for f in (transcripts.claude, transcripts.codex, transcripts.copilot, transcripts.gemini, transcripts.pi, transcripts.qwen)}
+CONNECTORS: dict[str, Callable[..., tuple[Bundle, DataFrame]]] = connectors.CONNECTORS | {f.__name__: f for f in (stores.amp, transcripts.claude, transcripts.codex, transcripts.copilot, transcripts.gemini, stores.goose, transcripts.pi, transcripts.qwen)}
 
 
 def compatibility(spark: SparkSession, provider: str, home: str) -> str:

@@ -63,11 +63,15 @@ def name(v: Column, path: str, longest: int = 512) -> Column:
     return label(text(v, path), longest)
 
 
-def time_ms(v: Column, path: str) -> Column:
-    """Epoch milliseconds of a zoned ISO text, or of a number of seconds (milliseconds if over 1e10)."""
-    s, n = text(v, path), number(v, path)
-    zoned = F.when(s.rlike(r"(?i)(Z|[+-]\d{2}:?\d{2})$"), F.unix_millis(F.try_to_timestamp(s)))
-    return F.coalesce(zoned, F.when(F.abs(n) > 1e10, n).otherwise(n * 1000).cast("bigint"))
+def zoned_ms(s: Column) -> Column:
+    """Epoch milliseconds of a zoned ISO text; null for any other."""
+    return F.when(s.rlike(r"(?i)(Z|[+-]\d{2}:?\d{2})$"), F.unix_millis(F.try_to_timestamp(s)))
+
+
+def time_ms(v: Column, path: str, in_ms: bool = False) -> Column:
+    """Epoch milliseconds of a zoned ISO text, or of a number of seconds (of milliseconds if over 1e10, or always)."""
+    n = number(v, path)
+    return F.coalesce(zoned_ms(text(v, path)), (n if in_ms else F.when(F.abs(n) > 1e10, n).otherwise(n * 1000)).cast("bigint"))
 
 
 def tokens(uncached: Column | None = None, cached: Column | None = None, cache_write: Column | None = None, visible: Column | None = None, reasoning: Column | None = None, total: Column | None = None) -> Column:

@@ -49,6 +49,7 @@ class SqliteReader(DataSourceReader):
                 too_long = " OR ".join(f'length(CAST("{n}" AS BLOB)) > {longest}' for n in checked)
                 if connection.execute(f'SELECT 1 FROM "{table}" WHERE {too_long} LIMIT 1').fetchone():
                     raise ValueError(f"a field of {table} in {os.path.basename(partition.path)} is longer than {longest} bytes")
+            loose = self.options.get("loose", "").split(",")
             # what isn't of a column's type is null, as what the store lacks
             kind = {"string": "text", "binary": "blob", "bigint": "integer", "int": "integer", "double": "real"}
 
@@ -57,6 +58,8 @@ class SqliteReader(DataSourceReader):
                     return "'" + partition.path.replace("'", "''") + "'"
                 if f.name not in names:
                     return "NULL"
+                if f.name in loose:
+                    return f'CAST("{f.name}" AS TEXT)'
                 want = kind[f.dataType.simpleString()]
                 fits = f"typeof(\"{f.name}\") IN ('integer', 'real')" if want == "real" else f"typeof(\"{f.name}\") = '{want}'"
                 return f'CASE WHEN {fits} THEN "{f.name}" END'
@@ -80,10 +83,10 @@ class SqliteSource(DataSource):
         return SqliteReader(schema, self.options)
 
 
-def read_sqlite(spark: SparkSession, path: str, table: str, schema: str, longest: int = LONGEST) -> DataFrame:
+def read_sqlite(spark: SparkSession, path: str, table: str, schema: str, longest: int = LONGEST, loose: tuple[str, ...] = ()) -> DataFrame:
     """The rows of a table of all SQLite files that the pattern names; none where a file lacks the table or there is no file.
 
-    Only the columns of the schema are read. A value of another type than its column's is null; a text or blob of over `longest` bytes fails the read before any row of that file.
+    Only the columns of the schema are read. A value of another type than its column's is null, but in the `loose` ones, which are strings, it comes as text; a text or blob of over `longest` bytes fails the read before any row of that file.
     """
     spark.dataSource.register(SqliteSource)
-    return spark.read.format("sqlite_files").schema(schema).option("path", path).option("table", table).option("longest", longest).load()
+    return spark.read.format("sqlite_files").schema(schema).option("path", path).option("table", table).option("longest", longest).option("loose", ",".join(loose)).load()

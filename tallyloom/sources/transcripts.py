@@ -133,8 +133,7 @@ def gemini(spark: SparkSession, home: str, machine: str = "local") -> tuple[Bund
         starts=kind_of == "user", turn_key=F.col("id"), ends=F.when(said, "completed").when(kind_of.isin("error", "warning"), "aborted"),
     )
     # times of the file itself count for the conversation, before its first turn
-    zoned = lambda c: F.when(F.col(c).rlike(r"(?i)(Z|[+-]\d{2}:?\d{2})$"), F.unix_millis(F.try_to_timestamp(c)))
-    own_times = _named(kept.select("external_id", F.explode(F.array(zoned("t0"), zoned("t1"))).alias("at_ms"), F.lit(0).cast("bigint").alias("n")), "gemini", machine)
+    own_times = _named(kept.select("external_id", F.explode(F.array(scan.zoned_ms(F.col("t0")), scan.zoned_ms(F.col("t1")))).alias("at_ms"), F.lit(0).cast("bigint").alias("n")), "gemini", machine)
     facts = facts.select(FACTS).unionByName(_spread(own_times, None, None).select(FACTS))
     bad = all_lines.agg(F.count_if(F.col("value").isNull()).alias("bad")).crossJoin(meta.agg(F.count_if(F.col("external_id").isNull()).alias("nameless")))
     return _bundle(facts, kept.select("external_id", F.col("n_events").alias("event_count"))), _counters(bad.select((F.col("bad") + F.col("nameless")).alias("malformed")), others)
@@ -154,7 +153,7 @@ def pi(spark: SparkSession, home: str, machine: str = "local") -> tuple[Bundle,
     changed = both(scan.name(v, "$.provider", 127), scan.name(v, "$.modelId", 127))
     level = scan.text(v, "$.thinkingLevel")
     rows = events.join(kept.select("path", "external_id"), "path").select(
-        "external_id", "n", scan.name(v, "$.id").alias("id"), scan.name(v, "$.parentId").alias("parent"), kind.alias("kind"), role.alias("role"), F.coalesce(scan.time_ms(v, "$.timestamp"), F.lit(None)).alias("at_ms"),
+        "external_id", "n", scan.name(v, "$.id").alias("id"), scan.name(v, "$.parentId").alias("parent"), kind.alias("kind"), role.alias("role"), scan.time_ms(v, "$.timestamp", True).alias("at_ms"),
         model.alias("model"), F.when(kind == "model_change", F.struct(changed.alias("v"))).when((role == "assistant") & model.isNotNull(), F.struct(model.alias("v"))).alias("m_model"),
         F.when(kind == "thinking_level_change", F.struct(F.when(level.isin(*LEVELS), level).alias("v"))).alias("m_level"), F.when(role == "user", F.struct(F.col("n").alias("v"))).alias("m_turn"),
         scan.text(v, "$.message.stopReason").alias("stop"), F.transform(F.filter(_items(v, "$.message.content"), lambda b: scan.text(b, "$.type") == "toolCall"), lambda b: scan.name(b, "$.name")).alias("tools"),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import groups
-from tallyloom.sources import registry, scan, sqlite, transcripts
+from tallyloom.sources import registry, scan, sqlite, stores, transcripts
 
 
 def at(n):
@@ -200,6 +200,59 @@ def test_copilot_takes_the_last_shutdown(spark, tmp_path):
     assert (c.models, c.model_calls, c.total_tokens, c.event_count, minute(c.ended_ms)) == (["a", "b", "chosen", "seen"], 2, 16, 16, 11)
 
 
+def goose_store(home, messages, usage, sessions):
+    db = sqlite3.connect(home / "sessions.db")
+    db.executescript("""CREATE TABLE sessions (id TEXT, working_dir TEXT, created_at TEXT, updated_at, provider_name TEXT, model_config_json TEXT);
+        CREATE TABLE messages (id INTEGER, message_id TEXT, session_id TEXT, role TEXT, content_json TEXT, created_timestamp INTEGER, metadata_json TEXT);
+        CREATE TABLE usage_ledger (id INTEGER, session_id TEXT, created_timestamp INTEGER, model TEXT, input_tokens INTEGER, output_tokens INTEGER, total_tokens INTEGER, cache_read_tokens INTEGER, cache_write_tokens INTEGER, is_compaction INTEGER)""")
+    db.executemany("INSERT INTO sessions VALUES (?, ?, ?, ?, ?, ?)", sessions)
+    db.executemany("INSERT INTO messages VALUES (?, ?, ?, ?, ?, ?, ?)", messages)
+    db.executemany("INSERT INTO usage_ledger VALUES (?, ?, ?, ?, ?, ?, ?, ?, ?, ?)", usage)
+    db.commit()
+    db.close()
+
+
+def test_goose_takes_usage_to_the_turn_at_its_time(spark, tmp_path):
+    t = T0 // 1000
+    text, call = json.dumps([{"type": "text"}]), json.dumps([{"type": "toolRequest", "toolCall": {"value": {"name": "shell"}}}, {"type": "toolRequest", "toolCall": {}}])
+    messages = [
+        (1, "u1", "s", "user", text, t + 60, None), (2, None, "s", "assistant", call, t + 120, "{}"), (3, "h", "s", "user", text, t + 130, '{"userVisible": false}'), (4, "u2", "s", "user", text, t + 180, ""),
+        (5, "a2", "s", "assistant", json.dumps([{"type": "error"}]), t + 240, "{}"), (6, "u3", "s", "user", text, t + 300, "{}"), (7, "x", "s", "tool", text, t, "{}"), (8, "y", "s", "user", "{", t, "{}"),
+    ]
+    usage = [(1, "s", t + 10, "m", 5, 1, 0, 9, 0, 0), (2, "s", t + 100, None, 10, 2, 20, 4, 3, 1), (3, "s", t + 200, "p/big", 1, 1, 2, 0, 0, 0), (4, "s", None, "m", 7, 0, 7, 0, 0, 0)]
+    goose_store(tmp_path, messages, usage, [("s", "/w", at(0), (t + 600) * 1000, "p", '{"model_name": "conf"}'), ("bad id", None, None, None, None, "[")])
+    graph, counters = stores.goose(spark, str(tmp_path))
+    assert counters.collect()[0].asDict() == {"malformed": 5, "duplicates": 0}
+    calls = rows(graph.calls, "sequence", "turn_no", "model", "uncached_input_tokens", "cached_input_tokens", "cache_write_input_tokens", "visible_output_tokens", "unattributed_tokens")
+    assert calls == [(1, 3, "p/m", 7, 0, 0, 0, 0), (2, None, "p/m", 0, 5, 0, 1, 0), (3, 1, "p/conf", 3, 4, 3, 2, 8), (4, 2, "p/big", 1, 0, 0, 1, 0)]
+    assert rows(graph.turns, "turn_no", "turn_key", "status", "model_calls", "tool_calls") == [(1, "u1", "completed", 1, 1), (2, "u2", "aborted", 1, 0), (3, "u3", "in-progress", 1, 0)]
+    assert {r.turn_no: minute(r.ended_ms) for r in graph.turns.collect()} == {1: 2, 2: 4, 3: 10}
+    (c,) = graph.conversations.collect()
+    assert (minute(c.started_ms), minute(c.ended_ms), c.event_count, c.compactions, c.models) == (0, 10, 10, 1, ["p/big", "p/conf", "p/m"])
+
+
+def test_amp_joins_its_ledger_to_messages(spark, tmp_path):
+    user = lambda i, **more: {"role": "user", "messageId": i, "content": "x", **more}
+    said = lambda i, n, **more: {"role": "assistant", "messageId": i, "timestamp": at(n), **more}
+    messages = [user(1), said(2, 2, stopReason="end_turn", usage={"cacheCreationInputTokens": 8, "cacheReadInputTokens": 3, "inputTokens": 1}, content=[{"type": "tool_use", "name": "run"}]), user(None, content=[{"type": "tool_result"}]), user("u2", timestamp=at(3)), said(4, 4, stopReason="error"), 5]
+    ledger = [{"model": "gpt-x", "timestamp": at(9), "toMessageId": 2, "tokens": {"input": 5, "output": 2}}, {"model": "c", "toMessageId": 2, "tokens": {"input": 5, "total": 90}}, {"model": "c", "toMessageId": 77, "tokens": {"input": 4}}, {"model": "c", "tokens": {"input": 0}}, {"tokens": {"input": 4}}, "x"]
+    (tmp_path / "threads").mkdir()
+    put = lambda name, doc: (tmp_path / "threads" / name).write_text(json.dumps(doc))
+    put("T-1.json", {"id": "a", "created": T0, "messages": messages, "usageLedger": {"events": ledger}, "meta": {"traces": [{"endTime": at(8)}]}})
+    put("T-2.json", {"messages": messages[:2] + [said(9, 5, model="m", usage={"outputTokens": 4, "maxInputTokens": 100})]})
+    put("T-3.json", {"id": "c"})
+    graph, counters = stores.amp(spark, str(tmp_path))
+    assert counters.collect()[0].asDict() == {"malformed": 3, "duplicates": 0}
+    columns = ["sequence", "turn_no", "model", "uncached_input_tokens", "cached_input_tokens", "cache_write_input_tokens", "visible_output_tokens", "unattributed_tokens"]
+    assert rows(graph.calls.where("external_id = 'a'"), *columns) == [(1, 1, "gpt-x", 13, 3, 0, 2, 0), (2, 1, "c", 5, 3, 8, 0, 74), (3, None, "c", 4, 0, 0, 0, 0)]
+    assert [minute(r.timestamp_ms) for r in graph.calls.where("external_id = 'a'").orderBy("sequence").collect()] == [9, None, None]
+    assert rows(graph.calls.where("external_id = 'T-2'"), *columns) == [(1, 1, "unknown", 1, 3, 8, 0, 0), (2, 1, "m", 0, 0, 0, 4, 0)]
+    assert rows(graph.samples, "external_id", "input_tokens", "window_tokens") == [("T-2", 0, 100)]
+    assert rows(graph.turns, "external_id", "turn_key", "status", "model_calls", "tool_calls") == [("T-2", "1", "completed", 2, 1), ("a", "1", "completed", 2, 1), ("a", "u2", "aborted", 0, 0)]
+    (c,) = graph.conversations.where("external_id = 'a'").collect()
+    assert (minute(c.started_ms), minute(c.ended_ms), c.event_count) == (0, 8, 12)
+
+
 def test_compatibility(spark, tmp_path):
     lines(tmp_path / "a/session-state/1/events.jsonl", [{"type": "session.start", "data": {"sessionId": "s"}}])
     lines(tmp_path / "b/session-state/1/events.jsonl", ["{"])
