@@ -11,10 +11,12 @@ on which a linear classifier over the lexicon entries is trained; the classifier
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -261,30 +263,75 @@ def _design(offs: np.ndarray, hits: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-def train(offs: np.ndarray, hits: np.ndarray, size: int, soft: np.ndarray, counts: np.ndarray, ridge: float = 3e-4, rounds: int = 50) -> np.ndarray:
-    """Logistic regression on soft labels by Newton's method; the constant isn't shrunk. Pattern i has hits[offs[i]:offs[i + 1]] and stands for counts[i] rows."""
+def _sums(offs: np.ndarray, hits: np.ndarray, size: int, soft: np.ndarray, counts: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What some patterns add to the gradient and the Hessian of the logistic loss at w. Pattern i has hits[offs[i]:offs[i + 1]] and stands for counts[i] rows."""
+    grad, hess = np.zeros(len(w)), np.zeros((len(w), len(w)))
+    step_rows = max(1, 1_000_000 // len(w))  # bounds the part of the design that is held at once
+    for first in range(0, len(soft), step_rows):
+        end = min(first + step_rows, len(soft))
+        x = _design(offs[first : end + 1] - offs[first], hits[offs[first] : offs[end]], size)
+        p, n = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), counts[first:end]
+        grad += x.T @ ((soft[first:end] - p) * n)
+        hess += (x * (p * (1 - p) * n)[:, None]).T @ x
+    return grad, hess
+
+
+def newton(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], size: int, total: float, ridge: float = 3e-4, rounds: int = 50) -> np.ndarray:
+    """Logistic regression on soft labels of `total` rows by Newton's method; the constant isn't shrunk. sums(w) is what all rows add to the gradient and the Hessian."""
     w = np.zeros(size + 3)
-    total = counts.sum()
     if not total:
         return w
     shrink = np.full(len(w), ridge * min(1, PRIOR_ROWS / total))
     shrink[-1] = 1e-6
-    step_rows = max(1, 4_000_000 // len(w))  # bounds the part of the design that is held at once
     for _ in range(rounds):
-        grad, hess = -shrink * w, np.diag(shrink + 1e-7 * min(1, PRIOR_ROWS / total))
-        for first in range(0, len(soft), step_rows):
-            end = min(first + step_rows, len(soft))
-            x = _design(offs[first : end + 1] - offs[first], hits[offs[first] : offs[end]], size)
-            p, share = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), counts[first:end] / total
-            grad += x.T @ ((soft[first:end] - p) * share)
-            hess += (x * (p * (1 - p) * share)[:, None]).T @ x
-        step = np.linalg.solve(hess, grad)
+        grad, hess = sums(w)
+        step = np.linalg.solve(np.diag(shrink + 1e-7 * min(1, PRIOR_ROWS / total)) + hess / total, grad / total - shrink * w)
         w += step
         if np.abs(step).max() < 1e-5:
             break
     return w
 
 
+def train(offs: np.ndarray, hits: np.ndarray, size: int, soft: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """newton() over patterns that are held here."""
+    return newton(lambda w: _sums(offs, hits, size, soft, counts, w), size, float(counts.sum()))
+
+
+#: Sums of so many groups of tasks reach the driver in a round of training.
+FAN_IN = 8
+
+
+def _spark_sums(patterns: DataFrame, size: int, posterior: np.ndarray) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """sums() for newton() over a table of patterns (__hits, __votes, n), by a job for each w. Only sums leave the tasks, of a size that the lexicon sets; these meet in FAN_IN groups first."""
+    schema = "part int, grad binary, hess binary"
+
+    def row(part: int, grad: np.ndarray, hess: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([grad.tobytes()], pa.binary()), pa.array([hess.tobytes()], pa.binary())], names=["part", "grad", "hess"])
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grad, hess = np.zeros(size + 3), np.zeros((size + 3, size + 3))
+        for batch in batches:
+            for g, h in zip(batch.column("grad"), batch.column("hess"), strict=True):
+                grad += np.frombuffer(g.as_py())
+                hess += np.frombuffer(h.as_py()).reshape(hess.shape)
+        yield row(key[0].as_py(), grad, hess)
+
+    def at(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            grad, hess = np.zeros(size + 3), np.zeros((size + 3, size + 3))
+            for batch in batches:
+                offs, hits = _flat(pa.chunked_array([batch.column("__hits")]))
+                g, h = _sums(offs, hits, size, posterior[np.asarray(batch.column("__votes")).astype(np.int64)], np.asarray(batch.column("n")).astype(float), w)
+                grad += g
+                hess += h
+            yield row(TaskContext.get().partitionId() % FAN_IN, grad, hess)
+
+        found = patterns.mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect()
+        return sum((np.frombuffer(r.grad) for r in found), np.zeros(size + 3)), sum((np.frombuffer(r.hess).reshape(size + 3, size + 3) for r in found), np.zeros((size + 3, size + 3)))
+
+    return at
+
+
 @dataclass(frozen=True)
 class Model:
     lexicon: Lexicon
@@ -317,13 +364,14 @@ def fit(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", text_
     lexicon = Lexicon.of(_mine(texts))
     drop_written(documents.sparkSession, texts)
     taught = with_votes(labelled, lexicon, "__text").select("__votes", "__y").toPandas()
-    voted = with_votes(docs, lexicon, "__text").groupBy("__hits", "__votes").agg(F.count("*").alias("n"))
-    patterns = voted.orderBy("__hits", "__votes").toArrow()  # grows with the distinct sets of hits, not with the documents
-    votes, counts = (patterns.column(c).to_numpy().astype(np.int64) for c in ("__votes", "n"))
-    masks, at = np.unique(votes, return_inverse=True)
-    weights = np.bincount(at, weights=counts, minlength=len(masks))
-    post = label_model(masks, weights, taught["__votes"].to_numpy(np.int64), taught["__y"].to_numpy(np.int64)) if len(masks) else np.zeros(0)
-    weights = train(*_flat(patterns.column("__hits")), lexicon.size, post[at], counts)
+    patterns = written(with_votes(docs, lexicon, "__text").groupBy("__hits", "__votes").agg(F.count("*").alias("n")), "toxicity-patterns")
+    votes = patterns.groupBy("__votes").agg(F.sum("n").alias("n")).orderBy("__votes").toPandas()  # 2 ** len(VOTERS) rows at most
+    masks, counts = votes["__votes"].to_numpy(np.int64), votes["n"].to_numpy(np.int64)
+    posterior = np.zeros(1 << len(VOTERS))
+    if len(masks):
+        posterior[masks] = label_model(masks, counts, taught["__votes"].to_numpy(np.int64), taught["__y"].to_numpy(np.int64))
+    weights = newton(_spark_sums(patterns, lexicon.size, posterior), lexicon.size, float(counts.sum()))
+    drop_written(documents.sparkSession, patterns)
     return Model(lexicon, weights)
 
 
