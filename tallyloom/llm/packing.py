@@ -24,15 +24,26 @@ CAPACITY, PER_SOURCE = 2048, 4
 #: About so many words make a shard, a piece counting as so many words more; the number of shards follows the corpus.
 SHARD_WORDS, PIECE_WORDS = 2_000_000, 16
 
+#: A cluster is hot if it has over so many pieces of a shard, and over this share (one in HOT) of them.
+SMALL, HOT = 64, 64
+
 SCHEMA = "shard bigint, bin bigint, position int, bin_start int, __key bigint, piece int, piece_start bigint, n_words int"
 
 
 class Bins:
-    """The open bins of a shard by residual, and for each residual by the bitmap of the sources that they are full of."""
+    """The open bins of a shard by residual, and for each residual by the bitmaps of the sources that they are full of and of the hot clusters that they hold.
+
+    hot: the bits of clusters with so many pieces that a search must not look at each of their bins. For these it is kept which
+    residuals have only bins that hold them, so a search passes over such residuals at once.
+    """
 
-    def __init__(self, capacity: int, per_source: int):
-        self.capacity, self.per_source = capacity, per_source
-        self.by_room: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+    def __init__(self, capacity: int, per_source: int, hot: int = 0):
+        self.capacity, self.per_source, self.hot = capacity, per_source, hot
+        self.hot_bits = [1 << i for i in range(hot.bit_length()) if hot >> i & 1]
+        self.by_room: dict[int, dict[tuple[int, int], list[int]]] = defaultdict(lambda: defaultdict(list))
+        self.open_bins: dict[int, int] = defaultdict(int)  # by residual
+        self.holding: dict[int, dict[int, int]] = {c: defaultdict(int) for c in self.hot_bits}  # of these, those that hold a hot cluster
+        self.only: dict[int, int] = dict.fromkeys(self.hot_bits, 0)  # bit r is set while all bins with residual r hold the cluster
         self.rooms = 0  # bit r is set while a bin with residual r is open
         self.held: list[dict[int, int]] = []  # per bin: pieces of each source
         self.room: list[int] = []
@@ -43,25 +54,37 @@ class Bins:
     def open(self, b: int) -> None:
         r = self.room[b]
         if r:
-            self.by_room[r][self.full[b]].append(b)
+            self.by_room[r][self.full[b], self.clusters[b] & self.hot].append(b)
             self.rooms |= 1 << r
+            self._count(r, b, 1)
+
+    def _count(self, room: int, b: int, step: int) -> None:
+        self.open_bins[room] += step
+        for c in self.hot_bits:
+            if self.clusters[b] & c:
+                self.holding[c][room] += step
+            if self.holding[c][room] == self.open_bins[room]:
+                self.only[c] |= 1 << room
+            else:
+                self.only[c] &= ~(1 << room)
 
     def _take(self, size: int, source: int, cluster: int) -> int:
         """The tightest compatible open bin, no longer open; -1 if there is none."""
-        rest, room = self.rooms >> size, size
+        rest, room = (self.rooms & ~self.only.get(cluster, 0)) >> size, size
         while rest:
             step = (rest & -rest).bit_length() - 1
             room += step
             here = self.by_room[room]
-            for full, bins in here.items():
-                if full & source:
+            for (full, hot), bins in here.items():
+                if full & source or hot & cluster:
                     continue
                 for i in range(len(bins) - 1, -1, -1):
                     if self.clusters[bins[i]] & cluster:
                         continue
                     found = bins.pop(i)
+                    self._count(room, found, -1)
                     if not bins:
-                        del here[full]
+                        del here[full, hot]
                         if not here:
                             self.rooms &= ~(1 << room)
                     return found
@@ -112,7 +135,8 @@ def pack_shard(words: np.ndarray, source: np.ndarray, cluster: np.ndarray, key:
     # a cluster with one piece here conflicts with nothing and needs no bit
     bit = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[clu]
     bit[words == 0] = -1
-    bins = Bins(capacity, quota(words, source, capacity, per_source))
+    hot = np.unique(bit[(often > max(SMALL, len(words) // HOT))[clu] & (bit >= 0)]).tolist()
+    bins = Bins(capacity, quota(words, source, capacity, per_source), sum(1 << b for b in hot))
     out = np.zeros((3, len(words)), np.int64)
     before, waiting = None, []
     for i in order.tolist():

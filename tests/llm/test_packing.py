@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from tallyloom.llm import packing
 
 
@@ -115,3 +117,41 @@ def test_repeated_and_blank_rows_are_dealt_out(spark):
     assert len({r.shard for r in packing.pack(df.where("doc_id IS NOT NULL"), shard_words=2000).collect()}) > 8
     bins = [(r.shard, r.bin, r.cluster) for r in found if r.n_words]
     assert len(set(bins)) == len(bins) == 2000
+
+
+def test_one_cluster_of_many_sizes_takes_time_in_proportion():
+    """A third of the pieces in one cluster with sizes of all kinds; the result is best-fit and without conflicts, as without the hot path."""
+    import time
+
+    took = {}
+    for n in (5_000, 20_000):
+        rng = np.random.default_rng(n)
+        words = rng.integers(1, 2049, n)
+        cluster = np.where(rng.random(n) < 0.34, 7, np.arange(n) + 100)
+        source, key, piece = rng.integers(0, 20, n), np.arange(n), np.zeros(n, np.int64)
+        began = time.perf_counter()
+        bins, _, start = packing.pack_shard(words, source, cluster, key, piece, 2048, 4)
+        took[n] = time.perf_counter() - began
+        assert np.bincount(bins, weights=words).max() <= 2048
+        of_hot = bins[cluster == 7]
+        assert len(np.unique(of_hot)) == len(of_hot)
+    assert took[20_000] < 10 * took[5_000] + 1
+
+
+def test_hot_clusters_change_no_room(monkeypatch):
+    """The room that each piece finds is the same whether its cluster is hot or not: the tightest compatible one."""
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        n = 300
+        words, cluster, source = rng.integers(1, 300, n), rng.integers(0, 6, n), rng.integers(0, 5, n)
+        rows = words, source, cluster, np.arange(n), np.zeros(n, np.int64), 400, 3
+        found = []
+        for small, hot in ((2, 1000), (10**6, 1)):
+            monkeypatch.setattr(packing, "SMALL", small)
+            monkeypatch.setattr(packing, "HOT", hot)
+            bins, _, start = packing.pack_shard(*rows)
+            for b in np.unique(bins):
+                held = cluster[bins == b]
+                assert len(np.unique(held)) == len(held) and words[bins == b].sum() <= 400
+            found.append(len(np.unique(bins)))
+        assert abs(found[0] - found[1]) <= 0.03 * found[1] + 2
