@@ -1,7 +1,7 @@
 """The usage graph that the driver tables stand for: orders are conversations, their lines are turns and calls.
 
-Each derived table is written once for a source, dealt by the time that reports select by, when a query first
-needs it; all queries then read just its columns and row groups that they need.
+Each derived table is written once for a source and its files, dealt by ranges of the time that reports select by, when a query first
+needs it; all queries then read just its columns, files and row groups that they need.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch_ms, semantics
-from ..sources.store import stored
+from ..sources.store import mark, stored
 
 TOKENS = ["input_tokens", "cached_input_tokens", "cache_write_input_tokens", "uncached_input_tokens", "output_tokens", "reasoning_output_tokens", "visible_output_tokens", "unattributed_tokens", "total_tokens"]
 
@@ -27,7 +27,7 @@ def kept(by: str | None = None):
 
     def wrap(make):
         def get(self: Graph) -> DataFrame:
-            return stored(make(self), self.dir, make.__name__, by)
+            return stored(make(self), self.source, make.__name__, by)
 
         get.__name__, get.__doc__ = make.__name__, make.__doc__
         made = cached_property(get)
@@ -44,6 +44,11 @@ class Graph:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    @cached_property
+    def source(self) -> str:
+        """The folder with the mark of its files as they are now: the tables of changed files are derived anew."""
+        return f"{self.dir}@{mark(self.spark, self.dir)}"
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -35,22 +36,36 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mark(spark: SparkSession, folder: str) -> str:
+    """A hash of the names, sizes and times of all files below a folder, from its listing: another one as soon as a file is added or changed."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
 def stored(df: DataFrame, source: str, name: str, by: str | None = None) -> DataFrame:
     """df as it was written on the first call of this application for (source, name).
 
-    With `by`, each partition is sorted by that column, so that the statistics of row groups and pages let scans with
-    a filter on it skip most of them, without another shuffle. The written table stands until forget().
+    With `by`, the table is dealt by ranges of that column and sorted by it, so that a scan with a filter on it
+    reads few files, and few row groups of these by their statistics. The written table stands until forget();
+    a source's name should hold its mark(), so that changed files are another source.
     """
     spark = df.sparkSession
     key = (spark.sparkContext.applicationId, source, name)
     if key not in _STORED:
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        (df if by is None else df.sortWithinPartitions(by)).write.parquet(path)
+        (df if by is None else df.repartitionByRange(by).sortWithinPartitions(by)).write.parquet(path)
         _STORED[key] = path
     return spark.read.schema(df.schema).parquet(_STORED[key])
 
 
 def forget(spark: SparkSession, source: str) -> None:
-    """Makes the tables of a source be written anew, as after new files have come."""
-    for key in [k for k in _STORED if k[:2] == (spark.sparkContext.applicationId, source)]:
-        del _STORED[key]
+    """Makes the tables of a source, or of all sources in a folder, be written anew, and deletes what was written of them."""
+    for key in [k for k in _STORED if k[0] == spark.sparkContext.applicationId and (k[1] == source or k[1].startswith(source + "@"))]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop(key))
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
