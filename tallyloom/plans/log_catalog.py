@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators import branches, folds, groups, ingest, pages, replay, rollouts, selection, slices
+from ..operators import branches, folds, groups, ingest, pages, privacy, replay, rollouts, selection, slices
 from ..sources.scan import tokens
 from ..sources.store import shared_dir
 from ..streaming.collect import batch_receipt
@@ -294,6 +294,47 @@ def upgraded_calls(g):
     return ingest.upgraded(rows, "cache_write_1h", "bigint")[0]
 
 
+_DAY = lambda c: f"{c} // 86400000 * 86400000"
+_CATEGORY = "CASE WHEN contains(tool, 'imagegen') THEN 'Media' WHEN starts_with(tool, 'mcp__') OR contains(tool, 'mcp_resource') THEN 'Integrations' ELSE 'Other' END"
+_OF = "JOIN k USING (conversation_id)"
+
+
+@query(sql(f"""SELECT 'conversations' AS shape, key AS conversation_key, CAST(NULL AS BIGINT) AS turn_no, CAST(NULL AS BIGINT) AS sequence, provider || ' ' || p.alias || ' ' || m.alias || ' ' || coalesce((SELECT string_agg(alias, ',' ORDER BY alias) FROM model WHERE list_contains(models, value)), '') AS told, {_DAY('started_ms')} AS day_ms, CAST(NULL AS BIGINT) AS n
+        FROM sel {_OF} JOIN project p ON p.value = project JOIN machine m ON m.value = machine
+    UNION ALL SELECT 'turns', key, turn_no, NULL, status, {_DAY('started_ms')}, coalesce(duration_ms, 0) + coalesce(ttft_ms, 0) + total_tokens FROM turns {_OF}
+    UNION ALL SELECT 'calls', key, turn_no, sequence, alias, {_DAY('timestamp_ms')}, total_tokens FROM calls {_OF} JOIN model ON value = model
+    UNION ALL SELECT 'tools', key, turn_no, sequence, {_CATEGORY}, {_DAY('timestamp_ms')}, NULL FROM tools {_OF}
+    UNION ALL SELECT 'work', key, turn_no, NULL, kind, {_DAY('started_ms')}, duration_ms FROM work {_OF}
+    UNION ALL SELECT 'samples', key, turn_no, sequence, NULL, {_DAY('timestamp_ms')}, input_tokens FROM samples {_OF}
+    UNION ALL SELECT 'settings', key, turn_no, NULL, alias || ' ' || effort || ' ' || mode, NULL, NULL FROM settings {_OF} JOIN model ON value = model
+    UNION ALL SELECT 'compactions', key, NULL, NULL, NULL, {_DAY('timestamp_ms')}, NULL FROM compactions {_OF}
+    UNION ALL SELECT 'subagents', a.key, NULL, NULL, NULL, {_DAY('created_ms')}, b.key FROM subagents LEFT JOIN k a ON a.conversation_id = parent_id LEFT JOIN k b ON b.conversation_id = child_id WHERE a.key IS NOT NULL OR b.key IS NOT NULL
+    UNION ALL SELECT 'runs', NULL, NULL, NULL, provider, {_DAY('ingested_ms')}, received FROM runs""",
+    sel="SELECT * FROM conversations WHERE started_ms >= 867715200000 AND started_ms < 870393600000", k="SELECT conversation_id, row_number() OVER (ORDER BY conversation_id) - 1 AS key FROM sel",
+    project="SELECT value, 'project-' || row_number() OVER (ORDER BY value) AS alias FROM (SELECT DISTINCT project AS value FROM sel)", machine="SELECT value, 'machine-' || row_number() OVER (ORDER BY value) AS alias FROM (SELECT DISTINCT machine AS value FROM sel)",
+    model=f"SELECT value, 'model-' || row_number() OVER (ORDER BY value) AS alias FROM (SELECT unnest(models) AS value FROM sel UNION SELECT model FROM calls {_OF} UNION SELECT model FROM settings {_OF}) WHERE value IS NOT NULL"))
+def share_safe_tables(g):
+    """All ten tables of a share-safe data set, side by side."""
+    chosen = g.conversations.where("started_ms >= 867715200000 AND started_ms < 870393600000")
+    children = {"turns": g.turns, "calls": g.calls, "tools": g.tools, "work": g.work, "samples": g.samples, "settings": g.settings, "compactions": g.compactions}
+    edges = selection.edges(g.subagents, chosen)
+    safe = privacy.share_safe_graph(chosen, children, edges, g.runs)
+    none = F.lit(None)
+    parts = {
+        "conversations": (F.concat_ws(" ", "provider", "project", "machine", F.array_join("models", ",")), "started_ms", none), "turns": (F.col("status"), "started_ms", F.coalesce("duration_ms", F.lit(0)) + F.coalesce("ttft_ms", F.lit(0)) + F.col("total_tokens")),
+        "calls": (F.col("model"), "timestamp_ms", F.col("total_tokens")), "tools": (F.col("tool"), "timestamp_ms", none), "work": (F.col("kind"), "started_ms", F.col("duration_ms")), "samples": (none, "timestamp_ms", F.col("input_tokens")),
+        "settings": (F.concat_ws(" ", "model", "effort", "mode"), None, none), "compactions": (none, "timestamp_ms", none), "subagents": (none, "created_ms", F.col("child_key")), "runs": (F.col("provider"), "ingested_ms", F.col("received")),
+    }
+    out = None
+    for shape, (told, day, n) in parts.items():
+        df = safe[shape]
+        key = "conversation_key" if "conversation_key" in df.columns else "parent_key" if "parent_key" in df.columns else None
+        own = lambda c: (F.col(c) if c in df.columns else none).cast("bigint").alias(c)  # noqa: E731, B023
+        row = df.select(F.lit(shape).alias("shape"), (none if key is None else F.col(key)).cast("bigint").alias("conversation_key"), own("turn_no"), own("sequence"), told.cast("string").alias("told"), (none if day is None else F.col(day)).cast("bigint").alias("day_ms"), n.cast("bigint").alias("n"))
+        out = row if out is None else out.union(row)
+    return out
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
