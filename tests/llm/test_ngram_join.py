@@ -102,3 +102,40 @@ def test_nulls_repeated_rows_and_clashing_names(spark):
 
 def test_empty_table(spark):
     assert ngram_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_and_candidates_follow_the_documents(spark, monkeypatch):
+    """Two families of near copies that share a passage: rows of large groups and candidates per document don't grow with the families."""
+    seen = []
+    apart, pairs = ngram_join._apart, ngram_join._near_pivots
+
+    def counted_apart(*args):
+        few, large = apart(*args)
+        seen.append(large.count())
+        return few, large
+
+    def counted_pairs(*args):
+        links, more = pairs(*args)
+        seen.append(more.count())
+        return links, more
+
+    monkeypatch.setattr(ngram_join, "_apart", counted_apart)
+    monkeypatch.setattr(ngram_join, "_near_pivots", counted_pairs)
+    per_document = []
+    for n in (300, 1200):
+        rng = random.Random(9)
+        words = [f"w{i}" for i in range(5000)]
+        passage = [rng.choice(words) for _ in range(60)]
+        bases = [[rng.choice(words) for _ in range(40)] + passage for _ in range(2)]
+        rows = []
+        for i in range(n):
+            text = list(bases[i % 2])
+            for _ in range(rng.randint(0, 3)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((i, " ".join(text)))
+        seen.clear()
+        ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), k=5, percent=80).count()
+        per_document.append([x / n for x in seen])
+    small, large = per_document
+    assert all(b <= 1.5 * a + 5 for a, b in zip(small, large)), per_document
+    assert large[0] < 80
