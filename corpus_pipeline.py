@@ -59,6 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places in bins of all documents that the stages keep.
+
+    A null text is scored as an empty one and, if it is kept, packed as a piece of no words. Rows without an id stay through all stages
+    unless the classifier rejects them; repeated rows are packed each, as far as they aren't copies of a row with a smaller id. Further columns,
+    also ones with the names that stages use, pass unchanged to the last stage. Empty tables give no rows; without labels no document is rejected.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
