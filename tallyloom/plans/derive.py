@@ -1,7 +1,7 @@
 """The usage graph that the driver tables stand for: orders are conversations, their lines are turns and calls.
 
-Each derived table is written once for a source and its files, dealt by ranges of the time that reports select by, when a query first
-needs it; all queries then read just its columns, files and row groups that they need.
+Each derived table is written once for a source and its files, in the order of the time that reports select by, when a query first
+needs it, conversations and edges also dealt by ranges of it; all queries then read just its columns, files and row groups that they need.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ def provider(priority: str = "o_orderpriority", status: str = "o_orderstatus") -
         WHEN '5-LOW' THEN 'cursor' ELSE CASE WHEN {status} = 'P' THEN 'crush' ELSE 'copilot' END END""")
 
 
-def kept(by: str | None = None):
-    """A table of the graph that is written once, in the order of a column."""
+def kept(by: str | None = None, ranged: bool = False):
+    """A table of the graph that is written once, in the order of a column; ranged where reports select by it and it is derived from stored tables, so that finding the ranges is cheap."""
 
     def wrap(make):
         def get(self: Graph) -> DataFrame:
-            return stored(make(self), self.source, make.__name__, by)
+            return stored(make(self), self.source, make.__name__, by, ranged)
 
         get.__name__, get.__doc__ = make.__name__, make.__doc__
         made = cached_property(get)
@@ -97,7 +97,7 @@ class Graph:
         base = base.join(parts, "l_partkey").drop("l_partkey")
         return base.withColumns({"input_tokens": F.expr("cached_input_tokens + cache_write_input_tokens + uncached_input_tokens"), "output_tokens": F.expr("reasoning_output_tokens + visible_output_tokens")}).withColumn("total_tokens", F.expr("input_tokens + output_tokens + unattributed_tokens"))
 
-    @kept("started_ms")
+    @kept("started_ms", ranged=True)
     def conversations(self) -> DataFrame:
         """One per order, with its provider's token semantics, machine, project and distinct models in order."""
         people = self.table("customer").join(F.broadcast(self.table("nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("machine"), F.col("c_mktsegment").alias("project"))
@@ -137,7 +137,7 @@ class Graph:
     def compactions(self) -> DataFrame:
         return self.conversations.where("conversation_id % 13 = 0").select("conversation_id", F.col("ended_ms").alias("timestamp_ms"))
 
-    @kept("created_ms")
+    @kept("created_ms", ranged=True)
     def subagents(self) -> DataFrame:
         """Edges from an order to the customer's next one."""
         following = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))

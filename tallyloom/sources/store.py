@@ -48,18 +48,20 @@ def mark(spark: SparkSession, folder: str) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
 
 
-def stored(df: DataFrame, source: str, name: str, by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, source: str, name: str, by: str | None = None, ranged: bool = False) -> DataFrame:
     """df as it was written on the first call of this application for (source, name).
 
-    With `by`, the table is dealt by ranges of that column and sorted by it, so that a scan with a filter on it
-    reads few files, and few row groups of these by their statistics. The written table stands until forget();
-    a source's name should hold its mark(), so that changed files are another source.
+    With `by`, each partition is sorted by that column, so that the statistics of row groups let scans with a filter on it skip
+    most of them; ranged also deals the rows by ranges of it, so that such scans read few files, for a shuffle and a
+    second reading of df that finds the ranges. The written table stands until forget(); a source's name should hold its mark(), so
+    that changed files are another source.
     """
     spark = df.sparkSession
     key = (spark.sparkContext.applicationId, source, name)
     if key not in _STORED:
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        (df if by is None else df.repartitionByRange(by).sortWithinPartitions(by)).write.parquet(path)
+        dealt = df.repartitionByRange(by) if ranged else df
+        (df if by is None else dealt.sortWithinPartitions(by)).write.parquet(path)
         _STORED[key] = path
     return spark.read.schema(df.schema).parquet(_STORED[key])
 
