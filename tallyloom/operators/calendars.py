@@ -44,9 +44,12 @@ def series(s: Slice, calendar: DataFrame, by: str) -> DataFrame:
 
 
 def streaks(active: DataFrame) -> DataFrame:
-    """The longest run of days with activity, and the run that ends at the last observed day (0 if that one has none). active: day, observed, turns of one calendar."""
+    """The longest run of observed days on which a turn or a conversation began, and the run that ends at the last observed day (0 if nothing began on it). active: day, observed, turns and, if it is told, conversations of one calendar."""
     last = active.where("observed").agg(F.max("day").alias("last"))
-    runs = active.where("turns > 0").withColumn("run", F.col("day") - F.row_number().over(Window.orderBy("day"))).groupBy("run").agg(F.count("*").alias("n"), F.max("day").alias("end"))
+    began = F.coalesce(F.col("turns") > 0, F.lit(False))
+    if "conversations" in active.columns:
+        began |= F.coalesce(F.col("conversations") > 0, F.lit(False))
+    runs = active.where(F.col("observed") & began).withColumn("run", F.col("day") - F.row_number().over(Window.orderBy("day"))).groupBy("run").agg(F.count("*").alias("n"), F.max("day").alias("end"))
     return runs.crossJoin(last).agg(F.coalesce(F.max("n"), F.lit(0)).alias("longest"), F.coalesce(F.max(F.when(F.col("end") == F.col("last"), F.col("n"))), F.lit(0)).alias("current"))
 
 

@@ -330,10 +330,17 @@ _BUSY = {"busy": "SELECT day, observed, CASE WHEN turns >= 10 THEN turns ELSE 0
 @query(sql("SELECT coalesce(max(n), 0) AS longest, coalesce(max(CASE WHEN e = (SELECT max(day) FROM busy WHERE observed) THEN n END), 0) AS current FROM (SELECT run, count(*) AS n, max(day) AS e FROM runs_of_days GROUP BY 1)", **slice_sql(), **_CALENDAR, **_BUSY))
 def streaks(g):
     """Streaks of days with ten turns or more, since every day has some at larger scales."""
-    busy = calendars.activity(year(g), _calendar(g)).withColumn("turns", F.when(F.col("turns") >= 10, F.col("turns")).otherwise(0))
+    busy = calendars.activity(year(g), _calendar(g)).drop("conversations").withColumn("turns", F.when(F.col("turns") >= 10, F.col("turns")).otherwise(0))
     return calendars.streaks(busy)
 
 
+@query(sql("""SELECT coalesce(max(n), 0) AS longest, coalesce(max(CASE WHEN e = (SELECT max(day) FROM act WHERE observed) THEN n END), 0) AS current
+    FROM (SELECT run, count(*) AS n, max(day) AS e FROM (SELECT day, day - row_number() OVER (ORDER BY day) AS run FROM act WHERE observed AND (turns > 0 OR conversations > 0)) GROUP BY 1)""", **slice_sql(MODEL), **_CALENDAR))
+def streaks_of_a_model(g):
+    """Streaks of days on which a turn or a conversation of one model began."""
+    return calendars.streaks(calendars.activity(slices.select(g, YEAR, model=MODEL), _calendar(g)))
+
+
 @query(sql("SELECT max(CASE WHEN tokens > 0 THEN tokens END) AS peak_tokens FROM act", **slice_sql(), **_CALENDAR))
 def daily_peak(g):
     return calendars.daily_peak(year(g), _calendar(g))
