@@ -23,8 +23,9 @@ of near copies. Of the signatures whose nodes are still in several components, g
 nodes are compared pair by pair. A larger group has a pivot, and each node's difference to it,
 which is small among near copies, settles most pairs without a comparison: those whose
 differences together are small enough are linked through one node, and the others meet in
-prefixes of the differences, where what the group has in common plays no part. So the result is
-exact, and work grows with the rows of a group and not with their square.
+prefixes of the differences, where what the group has in common plays no part. The result is
+exact. Work grows with the rows of a group as long as a family's pivot is one of its own nodes; nodes of a family that has
+only another family's pivot meet under the tokens that all of them share.
 """
 
 from __future__ import annotations
