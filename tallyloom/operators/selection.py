@@ -100,6 +100,18 @@ def day_window(w: Window) -> Window:
     return Window(None if w.since is None else w.since // DAY_MS * DAY_MS, None if w.until is None else -(-w.until // DAY_MS) * DAY_MS)
 
 
+def metadata(w: Window, day_precision: bool = False) -> dict[str, str | None]:
+    """The ends of a window as canonical times of UTC, to days where a report must tell no more; None for an open end."""
+    told = day_window(w) if day_precision else w
+    text = lambda ms: None if ms is None else dt.datetime.fromtimestamp(ms / 1000, dt.UTC).isoformat(timespec="microseconds")
+    return {"since": text(told.since), "until": text(told.until)}
+
+
+def with_window(report: DataFrame, w: Window, day_precision: bool = False) -> DataFrame:
+    """A report with its window in window_since and window_until."""
+    return report.withColumns({f"window_{end}": F.lit(at).cast("string") for end, at in metadata(w, day_precision).items()})
+
+
 def ingestion_runs(runs: DataFrame, w: Window = Window(), f: Filters = Filters()) -> DataFrame:
     """Runs in the window; only the provider filter holds for them."""
     if w.since is not None:

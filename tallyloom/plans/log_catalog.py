@@ -188,6 +188,17 @@ def rollout_work(g):
     return row(rollouts.compactions(rows, key), "compaction", none, none).union(row(rollouts.items(rows, key), "item", F.col("work_kind"), F.col("duration_ms"))).union(row(rollouts.tools(rows, key), "tool", F.col("tool"), none))
 
 
+_HOURS = selection.Window(867_715_200_000 + 5 * 3_600_000, 870_393_600_000 - 7 * 3_600_000)
+
+
+@query(sql(f"""SELECT provider, count(*) AS conversations, strftime(make_timestamp({_HOURS.since} // 86400000 * 86400000000), '%Y-%m-%dT%H:%M:%S.%f+00:00') AS window_since,
+    strftime(make_timestamp(({_HOURS.until} + 86399999) // 86400000 * 86400000000), '%Y-%m-%dT%H:%M:%S.%f+00:00') AS window_until FROM conversations
+    WHERE (started_ms IS NOT NULL OR ended_ms IS NOT NULL) AND (ended_ms >= {_HOURS.since} OR (ended_ms IS NULL AND started_ms >= {_HOURS.since})) AND (started_ms < {_HOURS.until} OR (started_ms IS NULL AND ended_ms < {_HOURS.until})) GROUP BY 1"""))
+def providers_in_window(g):
+    """Conversations by provider in a window of hours, of which the report tells the days."""
+    return selection.with_window(selection.conversations(g, _HOURS).groupBy("provider").agg(F.count("*").alias("conversations")), _HOURS, day_precision=True)
+
+
 _SCOPED = "SELECT parent_id, child_id, p.provider, p.machine FROM subagents JOIN (SELECT conversation_id, provider, CASE WHEN conversation_id % 7 = 0 THEN 'elsewhere' ELSE machine END AS machine FROM conversations) p ON p.conversation_id = parent_id"
 
 

@@ -98,3 +98,12 @@ def test_united_graphs(spark):
     frame = lambda *rows: spark.createDataFrame([(r,) for r in rows], "x long")
     both = united([Bundle(*[frame(1, 2)] * 6), Bundle(*[frame(3)] * 6)])
     assert all(sorted(r.x for r in df.collect()) == [1, 2, 3] for df in (both.conversations, both.compactions))
+
+
+def test_window_metadata():
+    from tallyloom.operators import selection
+
+    w = selection.Window(90_000_000, 172_800_000)
+    assert selection.metadata(w) == {"since": "1970-01-02T01:00:00.000000+00:00", "until": "1970-01-03T00:00:00.000000+00:00"}
+    assert selection.metadata(w, True) == {"since": "1970-01-02T00:00:00.000000+00:00", "until": "1970-01-03T00:00:00.000000+00:00"}
+    assert selection.metadata(selection.Window(None, 1), True) == {"since": None, "until": "1970-01-02T00:00:00.000000+00:00"}
