@@ -27,9 +27,9 @@ TOOL_CATEGORIES = {
 
 
 def epoch_ms(ts: str) -> Column:
-    """Milliseconds of a column of timestamps without zone, whatever the session's zone."""
+    """Milliseconds of a column of timestamps without zone, whatever the session's zone; microseconds are rounded, halves away from 1970."""
     days = f"datediff(CAST({ts} AS DATE), DATE'1970-01-01')"
-    return F.expr(f"CAST({days} AS BIGINT) * {DAY_MS} + CAST((hour({ts}) * 3600 + minute({ts}) * 60 + extract(SECOND FROM {ts})) * 1000 AS BIGINT)")
+    return F.expr(f"CAST(round(CAST({days} AS BIGINT) * {DAY_MS} + (hour({ts}) * 3600 + minute({ts}) * 60 + extract(SECOND FROM {ts})) * 1000) AS BIGINT)")
 
 
 def day(ms: Column) -> Column:

@@ -33,8 +33,7 @@ def query(text: str):
 def log(g: Graph) -> DataFrame:
     """user_id, seq (from 1), event_type, at_ms and k of all events."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    at = F.expr("CAST(datediff(CAST(ts AS DATE), DATE'1970-01-01') AS BIGINT) * 86400000 + CAST((hour(ts) * 3600 + minute(ts) * 60) * 1000 + floor(extract(SECOND FROM ts) * 1000) AS BIGINT)")
-    return g.table("events").select("user_id", F.row_number().over(w).cast("bigint").alias("seq"), "event_type", at.alias("at_ms"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    return g.table("events").select("user_id", F.row_number().over(w).cast("bigint").alias("seq"), "event_type", X.epoch_ms("ts").alias("at_ms"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
 _LOG = "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type, epoch_ms(CAST(ts AS TIMESTAMP)) AS at_ms, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"

@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -19,6 +20,14 @@ def test_windows_of_dates_and_times():
         selection.Window.parse("2026-08-03", "2026-08-01")
 
 
+def test_times_are_rounded_to_milliseconds(spark):
+    times = ["2024-01-01 00:09:58.778549", "2024-01-01 00:00:00.0004", "2024-01-01 00:00:00.0005", "2024-01-01 23:59:59.9999", "1969-12-31 23:59:59.9994", "1969-12-31 23:59:59.9985", None]
+    df = spark.createDataFrame([(t,) for t in times], "t string").select("t", X.epoch_ms("CAST(t AS TIMESTAMP_NTZ)").alias("ms"))
+    con = duckdb.connect()
+    for t, ms in df.collect():
+        assert ms == con.execute("SELECT epoch_ms(CAST(? AS TIMESTAMP))", [t]).fetchone()[0], t
+
+
 def test_server_and_client_windows_differ_on_missing_ends(spark):
     rows = [("overlap", 50, 150), ("inside", 120, 130), ("after", 200, 250), ("start only inside", 150, None), ("end only inside", None, 150), ("start only before", 50, None), ("end only after", None, 250), ("unknown", None, None), ("ends at since", 50, 100), ("ends before", 50, 99)]
     df = spark.createDataFrame(rows, "name string, started_ms long, ended_ms long")
