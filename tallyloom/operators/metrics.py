@@ -17,7 +17,10 @@ def percentile(x: Column | str, p: float) -> Column:
 
 
 def spread(x: Column | str, name: str) -> list[Column]:
-    return [percentile(x, p).alias(f"{name}_p{round(100 * p)}") for p in (0.5, 0.75, 0.95)]
+    """Three percentiles of one aggregate, so that values are kept and shuffled once."""
+    places = (0.5, 0.75, 0.95)
+    all_of = F.percentile(x, list(places))
+    return [F.round(all_of[i], 3).alias(f"{name}_p{round(100 * p)}") for i, p in enumerate(places)]
 
 
 def islands(turns: DataFrame, by: str) -> DataFrame:

@@ -111,7 +111,16 @@ class Slice:
 
 
 def whole(g) -> Slice:
-    return Slice(g.conversations, g.turns, _with_semantics(g.calls, g.conversations), g.tools, g.work, g.samples, g.settings, g.compactions, g.subagents)
+    return Slice(g.conversations, g.turns, _with_semantics(_in_turns(g, "calls"), g.conversations), g.tools, g.work, g.samples, g.settings, g.compactions, g.subagents)
+
+
+def _in_turns(g, name: str) -> DataFrame:
+    """Calls or settings with their turn: in_turn if there is one, its start and its status. A graph may keep them so, as <name>_in_turns."""
+    kept = getattr(g, f"{name}_in_turns", None)
+    if kept is not None:
+        return kept
+    turns = g.turns.groupBy("conversation_id", "turn_no").agg(F.lit(True).alias("in_turn"), F.min("started_ms").alias("turn_started_ms"), F.min("status").alias("turn_status"))
+    return getattr(g, name).join(turns, ["conversation_id", "turn_no"], "left")
 
 
 def _with_semantics(calls: DataFrame, conversations: DataFrame) -> DataFrame:
@@ -134,7 +143,7 @@ def select(g, r: Range, provider: str | None = None, machine: str | None = None,
     ids = base.select("conversation_id")
     of_base = lambda df: df.join(ids, "conversation_id", "left_semi")
     turn = ["conversation_id", "turn_no"]
-    calls = _with_semantics(g.calls, base)
+    calls = _with_semantics(_in_turns(g, "calls"), base)
     if model is not None:
         calls = calls.where(F.col("model") == model)
     whole_conversation = F.col("semantics").isin("conversation-aggregate", "context-snapshot")
@@ -144,14 +153,15 @@ def select(g, r: Range, provider: str | None = None, machine: str | None = None,
         turns = turns.join(calls.select(*turn).distinct(), turn, "left_semi")
     allowed = turns.select(*turn)
     in_turn = lambda df: df.join(allowed, turn, "left_semi")
-    single = calls.where(~whole_conversation)
-    calls = calls.where(whole_conversation).unionByName(single.where("turn_no IS NULL")).unionByName(in_turn(single.where("turn_no IS NOT NULL")))
+    # a call in the range is one of the model, so its turn is allowed if it is in the range
+    turn_in_range = F.col("in_turn") & in_range(F.col("turn_started_ms"), r)
+    calls = calls.where(whole_conversation | F.col("turn_no").isNull() | turn_in_range)
     limited = in_turn if model is not None else (lambda df: df)
     tools = limited(of_base(g.tools).where(in_range(F.col("timestamp_ms"), r)))
     samples = limited(of_base(g.samples).where(in_range(F.col("timestamp_ms"), r)))
     compactions = of_base(g.compactions).where(in_range(F.col("timestamp_ms"), r))
     work = limited(of_base(g.work).where(in_range(F.col("started_ms"), r)))
-    settings = in_turn(of_base(g.settings))
+    settings = limited(of_base(_in_turns(g, "settings")).where(turn_in_range)).drop("in_turn", "turn_started_ms", "turn_status")
     active = turns.select("conversation_id").union(calls.select("conversation_id")).union(tools.select("conversation_id")).distinct().withColumn("__active", F.lit(True))
     conversations = base.join(active, "conversation_id", "left").where(overlaps(r) | F.col("__active")).drop("__active")
     if model is not None:
@@ -162,10 +172,5 @@ def select(g, r: Range, provider: str | None = None, machine: str | None = None,
 
 def semantic_calls(s: Slice) -> DataFrame:
     """Calls whose tokens may be summed: none of unavailable providers, all of aggregate and snapshot ones, additive ones if their turn is missing or closed."""
-    done = s.turns.where(closed()).select("conversation_id", "turn_no")
-    additive = s.calls.where("semantics = 'additive'")
-    return (
-        s.calls.where("semantics IN ('conversation-aggregate', 'context-snapshot')")
-        .unionByName(additive.where("turn_no IS NULL"))
-        .unionByName(additive.where("turn_no IS NOT NULL").join(done, ["conversation_id", "turn_no"], "left_semi"))
-    )
+    done = F.col("turn_no").isNull() | F.col("in_turn") & F.col("turn_status").isin("completed", "aborted")
+    return s.calls.where(F.col("semantics").isin("conversation-aggregate", "context-snapshot") | (F.col("semantics") == "additive") & done)

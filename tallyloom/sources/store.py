@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Paths by application, source and name of the table.
 _STORED: dict[tuple[str, str, str], str] = {}
 
+#: Names in the catalog of those of them that are dealt to buckets.
+_BUCKETED: dict[tuple[str, str, str], str] = {}
+
 
 #: Temporary folders of applications that run in one process without the setting.
 _LOCAL: dict[str, str] = {}
@@ -48,26 +51,41 @@ def mark(spark: SparkSession, folder: str) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
 
 
-def stored(df: DataFrame, source: str, name: str, by: str | None = None, ranged: bool = False) -> DataFrame:
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of all files below a folder, from the file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def stored(df: DataFrame, source: str, name: str, by: str | None = None, ranged: bool = False, key: str | None = None, buckets: int = 0) -> DataFrame:
     """df as it was written on the first call of this application for (source, name).
 
     With `by`, each partition is sorted by that column, so that the statistics of row groups let scans with a filter on it skip
     most of them; ranged also deals the rows by ranges of it, so that such scans read few files, for a shuffle and a
-    second reading of df that finds the ranges. The written table stands until forget(); a source's name should hold its mark(), so
-    that changed files are another source.
+    second reading of df that finds the ranges. With `key`, the rows are dealt to buckets by it instead, so that tables with the same
+    key and number of buckets are joined and grouped by it without a shuffle. The written table stands until forget(); a source's name
+    should hold its mark(), so that changed files are another source.
     """
     spark = df.sparkSession
-    key = (spark.sparkContext.applicationId, source, name)
-    if key not in _STORED:
-        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        dealt = df.repartitionByRange(by) if ranged else df
-        (df if by is None else dealt.sortWithinPartitions(by)).write.parquet(path)
-        _STORED[key] = path
-    return spark.read.schema(df.schema).parquet(_STORED[key])
+    at = (spark.sparkContext.applicationId, source, name)
+    if at not in _STORED:
+        table = f"{name}_{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/{table}"
+        if key is not None:
+            writer = df.repartition(buckets, key).write.bucketBy(buckets, key)
+            (writer if by is None else writer.sortBy(by)).option("path", path).saveAsTable(table)
+            _BUCKETED[at] = table
+        else:
+            dealt = df.repartitionByRange(by) if ranged else df
+            (df if by is None else dealt.sortWithinPartitions(by)).write.parquet(path)
+        _STORED[at] = path
+    return spark.table(_BUCKETED[at]) if at in _BUCKETED else spark.read.schema(df.schema).parquet(_STORED[at])
 
 
 def forget(spark: SparkSession, source: str) -> None:
     """Makes the tables of a source, or of all sources in a folder, be written anew, and deletes what was written of them."""
     for key in [k for k in _STORED if k[0] == spark.sparkContext.applicationId and (k[1] == source or k[1].startswith(source + "@"))]:
+        if key in _BUCKETED:
+            spark.sql(f"DROP TABLE IF EXISTS {_BUCKETED.pop(key)}")
         p = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop(key))
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -1,5 +1,8 @@
 import os
+import types
 
+from tallyloom.operators import slices
+from tallyloom.plans import catalog, derive
 from tallyloom.plans.derive import Graph
 from tallyloom.sources import store
 
@@ -25,3 +28,31 @@ def test_forget_deletes(spark, tmp_path):
     assert found.count() == 10
     store.forget(spark, str(tmp_path))
     assert set(store._STORED) == before and not os.path.exists(path)
+
+
+def test_slices_shuffle_no_facts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(derive, "BUCKET_BYTES", 10_000)
+    monkeypatch.setattr(Graph, "source", f"{tmp_path}@x")  # its own tables, with as many buckets
+    g = Graph(spark, SF)
+    assert g.buckets == 1 + os.path.getsize(f"{SF}/lineitem.parquet") // 10_000 > spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        s = catalog.year(g)
+        calls = slices.semantic_calls(s).join(s.conversations.select("conversation_id", "project"), "conversation_id")
+        for df, inputs in ((calls, "conversation_id"), (s.turns, "conversation_id"), (s.settings, "conversation_id")):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan, plan
+            assert df.rdd.getNumPartitions() == g.buckets and df.select(inputs).distinct().count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        store.forget(spark, str(tmp_path))
+
+
+def test_calls_without_kept_turns_are_sliced_alike(spark):
+    g = Graph(spark, SF)
+    plain = types.SimpleNamespace(**{n: getattr(g, n) for n in ("conversations", "turns", "calls", "tools", "work", "samples", "settings", "compactions", "subagents")})
+    for model in (None, catalog.MODEL):
+        ours, theirs = (slices.select(x, catalog.YEAR, model=model) for x in (g, plain))
+        for a, b in ((slices.semantic_calls(ours), slices.semantic_calls(theirs)), (ours.settings, theirs.settings)):
+            assert a.columns == b.columns or set(a.columns) == set(b.columns)
+            assert a.count() == b.count() > 0 and a.exceptAll(b.select(a.columns)).isEmpty()
