@@ -23,13 +23,13 @@ def _cuts(log: DataFrame) -> DataFrame:
     clears = log.where("kind = 'clear'").select("key", "at", F.lit(-1).cast("bigint").alias("q"))
     rewinds = log.where("kind = 'rewind'").select("key", "at", F.col("id").alias("target"))
     writes = log.where("kind = 'write'").select("key", F.col("at").alias("w"), F.col("id").alias("target"))
-    tried = cut(rewinds.join(writes, ["key", "target"], "left").withColumn("w", F.when(F.col("w") < F.col("at"), F.col("w"))).distinct(), "rewinds")
+    tried = cut(rewinds.join(writes.hint("merge"), ["key", "target"], "left").withColumn("w", F.when(F.col("w") < F.col("at"), F.col("w"))).distinct(), "rewinds")
     cuts = cut(clears.unionByName(rewinds.select("key", "at", F.lit(None).cast("bigint").alias("q"))), "cuts")
     while True:
-        between = tried.alias("t").join(cuts.where("q IS NOT NULL").alias("c"), F.expr("t.key = c.key AND t.w < c.at AND c.at < t.at AND c.q <= t.w"), "left_anti")
+        between = tried.alias("t").join(cuts.where("q IS NOT NULL").alias("c").hint("merge"), F.expr("t.key = c.key AND t.w < c.at AND c.at < t.at AND c.q <= t.w"), "left_anti")
         found = between.groupBy("key", "at").agg(F.coalesce(F.min("w"), F.lit(-1)).alias("q"))
         # a rewind all of whose writes were taken back empties the list
-        placed = rewinds.select("key", "at").join(found, ["key", "at"], "left").withColumn("q", F.coalesce("q", F.lit(-1).cast("bigint")))
+        placed = rewinds.select("key", "at").join(found.hint("merge"), ["key", "at"], "left").withColumn("q", F.coalesce("q", F.lit(-1).cast("bigint")))
         new = cut(clears.unionByName(placed), "cuts")
         if new.exceptAll(cuts).isEmpty():
             return new

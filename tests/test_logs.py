@@ -200,3 +200,23 @@ def test_pages_dont_shift(spark, tmp_path):
     with pytest.raises(LookupError):
         kept.next(spark, cursor, **how)
     assert pages.fingerprint({"b": 1, "a": "é"}, "s", True, 5) == pages.fingerprint({"a": "é", "b": 1}, "s", True, 5) != pages.fingerprint({"a": "é", "b": 1}, "s", False, 5)
+
+
+def test_rounds_broadcast_nothing(spark):
+    nodes = spark.createDataFrame([(1, i, i - 1 if i else None) for i in range(9)], "f int, n long, up long").withColumn("m", F.when(F.col("n") == 0, F.struct(F.lit("a").alias("v"))))
+    log = spark.createDataFrame([(1, 1, "write", "a"), (1, 2, "rewind", "a"), (1, 3, "write", "b")], "f int, at long, kind string, id string")
+    seen, cut = [], branches.cut
+
+    def watched(df, what):
+        seen.append(df)
+        return cut(df, what)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(branches, "cut", watched)
+        patch.setattr(replay, "cut", watched)
+        found = branches.inherited(nodes, ["f"], "n", "up", {"m": "above"})
+        branches.path_to_root(nodes, nodes.where("n = 8"), ["f"], "n", "up")
+        ends = replay.replayed(log, ["f"], "at", "kind", "id")
+        assert found.where("above.v = 'a'").count() == 8 and [tuple(r) for r in ends.collect()] == [(1, "b", 3, 3)]
+    for df in [found, *seen]:
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
