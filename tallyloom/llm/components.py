@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import drop_written, written
@@ -26,8 +26,11 @@ def _small_star(edges: DataFrame, parts: int) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct().coalesce(parts)
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Written edges, with their number and the sum of their hashes, which the job that writes them tells."""
+    seen = Observation()
+    now = written(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
+    return now, (seen.get["n"], seen.get["sum"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,12 +40,12 @@ def components(edges: DataFrame) -> DataFrame:
     A hub is never gathered: its rows meet in aggregates and in joins that Spark may split.
     """
     spark = edges.sparkSession
-    now = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = _state(now)
-    while True:
+    now, state = _settled(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while state[0]:
         parts = max(LEAST_PARTITIONS, state[0] // EDGES_PER_PARTITION)
-        new = written(_small_star(_large_star(now, parts), parts), "edges")
+        new, after = _settled(_small_star(_large_star(now, parts), parts))
         drop_written(spark, now)
-        now, before, state = new, state, _state(new)
+        now, before, state = new, state, after
         if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            break
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -139,3 +139,18 @@ def test_rows_and_candidates_follow_the_documents(spark, monkeypatch):
     small, large = per_document
     assert all(b <= 1.5 * a + 5 for a, b in zip(small, large)), per_document
     assert large[0] < 80
+
+
+def test_joined_components_of_a_star_have_no_candidates(spark):
+    """Nodes that are near the pivot make one component of all that they belong to, so its far nodes are compared with none of these; others are."""
+    pivot = list(range(100))
+    near = [[*pivot[2:], 200 + i % 7, 300 + i % 5] for i in range(40)]  # each a component of its own before
+    far = [[*pivot[30:], *range(200, 207), *range(400, 420), 500 + i] for i in range(40)]  # linked with one of those
+    other = [[*pivot[20:], *range(300, 305), *range(600, 640), 700 + i] for i in range(2)]
+    for sets, roots, expect in ((near + far, [*range(40), *range(40)], False), (near + far + other, [*range(40), *range(40), 80, 81], True)):
+        stars = spark.createDataFrame([(0, 0, i, i, len(t), r) for i, (t, r) in enumerate(zip([pivot, *sets], [99, *roots], strict=True))], "p long, dp long, node long, d long, n long, root long")
+        tokens = spark.createDataFrame([(i, i, t) for i, t in enumerate([pivot, *sets])], "node long, d long, tokens array<bigint>")
+        links, pairs = ngram_join._near_pivots(ngram_join._differences(stars, tokens, 80), 80)
+        tried = {(r.a, r.b) for r in pairs.collect()}
+        assert links.count() == 40 and bool(tried) == expect
+        assert all({a, b} & {81, 82} for a, b in tried)
