@@ -15,6 +15,9 @@ _STORED: dict[tuple[str, str, str], str] = {}
 _BUCKETED: dict[tuple[str, str, str], str] = {}
 
 
+#: Lets Spark read a bucketed table by files of a size where no operator needs its buckets.
+_BY_SIZE = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+
 #: Temporary folders of applications that run in one process without the setting.
 _LOCAL: dict[str, str] = {}
 
@@ -73,7 +76,13 @@ def stored(df: DataFrame, source: str, name: str, by: str | None = None, ranged:
         path = f"{shared_dir(spark)}/{table}"
         if key is not None:
             writer = df.repartition(buckets, key).write.bucketBy(buckets, key)
-            (writer if by is None else writer.sortBy(by)).option("path", path).saveAsTable(table)
+            # rows of a source with the same buckets aren't shuffled; read by bucket, not by size, each bucket is one task and one file
+            before = spark.conf.get(_BY_SIZE)
+            spark.conf.set(_BY_SIZE, "false")
+            try:
+                (writer if by is None else writer.sortBy(by)).option("path", path).saveAsTable(table)
+            finally:
+                spark.conf.set(_BY_SIZE, before)
             _BUCKETED[at] = table
         else:
             dealt = df.repartitionByRange(by) if ranged else df

@@ -56,3 +56,14 @@ def test_calls_without_kept_turns_are_sliced_alike(spark):
         for a, b in ((slices.semantic_calls(ours), slices.semantic_calls(theirs)), (ours.settings, theirs.settings)):
             assert a.columns == b.columns or set(a.columns) == set(b.columns)
             assert a.count() == b.count() > 0 and a.exceptAll(b.select(a.columns)).isEmpty()
+
+
+def test_a_bucket_is_written_by_one_task(spark, tmp_path):
+    """A table that is derived from one with the same buckets isn't read by files of a size, whose tasks hold several buckets."""
+    numbers = store.stored(spark.range(1000), f"{tmp_path}@x", "numbers", key="id", buckets=40)
+    derived = store.stored(numbers.selectExpr("id", "spark_partition_id() AS part"), f"{tmp_path}@x", "derived", "part", key="id", buckets=40)
+    try:
+        assert derived.select("part").distinct().count() == 40 and derived.count() == 1000
+        assert spark.conf.get(store._BY_SIZE) == "true"
+    finally:
+        store.forget(spark, str(tmp_path))
