@@ -1,7 +1,8 @@
 """Media columns: texts' bytes as lossless WebP images, read back to pixel arrays with features.
 
 A payload is laid out as rows of 64 RGB pixels. One of over 16,384 rows, the format's limit, is
-several files in a row, each of which tells its own size.
+several files in a row, each of which tells its own size. Files of an image of few colours have a palette; all others have
+predictors and cross-colour elements by blocks, and green subtracted where that pays.
 """
 
 from __future__ import annotations
@@ -13,16 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import webp
+from . import webp, webp_many
 from .common import written
 
 WIDTH = 64
 UNIT = 3 * WIDTH
 #: Size of the colour cache, as a power of two.
 CACHE_BITS = 6
+#: Rows and bytes that are coded together at most, unless one row has more.
+WRITTEN_TOGETHER, READ_TOGETHER = (1000, 5 << 19), (3000, 1 << 22)
 
 
 def payload(text: str | None) -> bytes:
@@ -31,20 +35,42 @@ def payload(text: str | None) -> bytes:
     return data + b" " * (UNIT - len(data) if not data else -len(data) % UNIT)
 
 
+def store_many(payloads: list[bytes]) -> list[bytes]:
+    """Each payload as one or more lossless WebP files, which depend on nothing but the payload."""
+    images, owner = [], []
+    for i, data in enumerate(payloads):
+        samples = np.frombuffer(data, np.uint8).reshape(-1, WIDTH, 3)
+        parts = [samples[a : a + webp.MAX_SIDE] for a in range(0, len(samples), webp.MAX_SIDE)]
+        images += parts
+        owner += [i] * len(parts)
+    out: list[list[bytes]] = [[] for _ in payloads]
+    for i, file in zip(owner, webp_many.encode_many(images, CACHE_BITS), strict=True):
+        out[i].append(file)
+    return [b"".join(x) for x in out]
+
+
+def load_many(media: list[bytes]) -> list[np.ndarray]:
+    """The pixel arrays (height x 64 x 3) of the files that store_many() made."""
+    files, owner = [], []
+    for i, data in enumerate(media):
+        at = 0
+        while at < len(data):
+            end = at + 8 + struct.unpack("<I", data[at + 4 : at + 8])[0]
+            files.append(data[at:end])
+            owner.append(i)
+            at = end
+    out: list[list[np.ndarray]] = [[] for _ in media]
+    for i, samples in zip(owner, webp_many.decode_many(files), strict=True):
+        out[i].append(samples)
+    return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
+
+
 def store(data: bytes) -> bytes:
-    """A payload as one or more lossless WebP files."""
-    samples = np.frombuffer(data, np.uint8).reshape(-1, WIDTH, 3)
-    return b"".join(webp.encode(rows, palette=True, cache_bits=CACHE_BITS) for rows in (samples[i : i + webp.MAX_SIDE] for i in range(0, len(samples), webp.MAX_SIDE)))
+    return store_many([data])[0]
 
 
 def load(media: bytes) -> np.ndarray:
-    """The pixel array (height x 64 x 3) of the files that store() made."""
-    parts, at = [], 0
-    while at < len(media):
-        end = at + 8 + struct.unpack("<I", media[at + 4 : at + 8])[0]
-        parts.append(webp.decode(media[at:end])[:, :, :3])
-        at = end
-    return np.concatenate(parts)
+    return load_many([media])[0]
 
 
 def feature(samples: np.ndarray) -> str:
@@ -56,15 +82,26 @@ def feature(samples: np.ndarray) -> str:
     return ":".join(map(str, [*sums, *kinds, int(np.abs(np.diff(line)).sum(dtype=np.int64))]))
 
 
+def _pieces(batch: pa.RecordBatch, column: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most so many rows, and so many bytes in the column."""
+    first = total = 0
+    for i, n in enumerate(pc.binary_length(batch.column(column)).fill_null(0).to_pylist()):
+        if i > first and (i - first == rows or total + n > size):
+            yield batch.slice(first, i - first)
+            first, total = i, 0
+        total += n
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
 def write(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, n_bytes, media) of all documents, written to the shared folder. Repeated rows are stored each; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 32):
-                part = batch.slice(first, 32)
+            for part in _pieces(batch, 1, *WRITTEN_TOGETHER):
                 texts = part.column(1).to_pylist()
-                media = [store(payload(t)) for t in texts]
+                media = store_many([payload(t) for t in texts])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=[id_col, "n_bytes", "media"])
 
     docs = documents.select(F.col(id_col), F.col(text_col))
@@ -76,11 +113,10 @@ def read(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 32):
-                part = batch.slice(first, 32)
+            for part in _pieces(batch, 2, *READ_TOGETHER):
                 rows: list[tuple] = []
-                for media in part.column(2).to_pylist():
-                    samples = load(media)
+                files = part.column(2).to_pylist()
+                for media, samples in zip(files, load_many(files), strict=True):
                     data = samples.tobytes()
                     rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
                 made = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]

@@ -387,27 +387,92 @@ def _predict(mode: int, left: list, top: list, top_left: list, top_right: list)
     raise ValueError("unknown predictor")
 
 
+def predictions(mode: int, left: np.ndarray, top: np.ndarray, corner: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """_predict() of many pixels: 16-bit samples, the channels last. Black's alpha is left to the caller."""
+    if mode == 0:
+        return np.zeros_like(left)
+    if mode < 5:
+        return (left, top, right, corner)[mode - 1]
+    if mode == 5:
+        return ((left + right >> 1) + top) >> 1
+    if mode == 10:
+        return ((left + corner >> 1) + (top + right >> 1)) >> 1
+    if mode < 10:
+        a, b = ((left, corner), (left, top), (corner, top), (top, right))[mode - 6]
+        return a + b >> 1
+    if mode == 11:
+        to_left, to_top = np.abs(top - corner).sum(axis=-1), np.abs(left - corner).sum(axis=-1)
+        return np.where((to_left < to_top)[..., None], left, top)
+    if mode == 12:
+        return np.clip(left + top - corner, 0, 255)
+    if mode == 13:
+        middle = left + top >> 1
+        over = middle - corner
+        return np.clip(middle + (over + (over < 0) >> 1), 0, 255)
+    raise ValueError("unknown predictor")
+
+
+def unpredicted(image: np.ndarray, modes: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The pixels of residuals; modes: each pixel's; y: each row's place in its image, so several images may follow each other.
+
+    First rows and columns are running sums, and pixels of mode 0 need no others. Rows with other modes follow the
+    rows above them, those of the same place in step; only modes that look to the left go from pixel to pixel.
+    """
+    out = _bytes(image).copy()
+    width = image.shape[1]
+    modes = modes.astype(np.int64)
+    modes[:, 0] = modes[y == 0] = 0
+    first = np.flatnonzero(y == 0)
+    out[1 - (y == 0).astype(int) > 0, 1:, 3] += np.uint8(255)
+    out[first, 0, 3] += np.uint8(255)
+    out[first] = np.cumsum(out[first], axis=1, dtype=np.uint8)
+    column = np.cumsum(out[:, 0], axis=0, dtype=np.uint8)
+    start = first[np.cumsum(y == 0) - 1]
+    out[:, 0] = column - column[start] + out[start, 0]
+    if modes.max(initial=0) > 13:
+        raise ValueError("unknown predictor")
+    wanted = np.flatnonzero(modes.any(axis=1))
+    wanted = wanted[np.argsort(y[wanted], kind="stable")]
+    if len(wanted):
+        out[..., 3] -= (modes > 0).astype(np.uint8) * np.uint8(255)
+    for rows in np.split(wanted, np.flatnonzero(np.diff(y[wanted])) + 1) if len(wanted) else ():
+        top, mode = out[rows - 1].astype(np.int16), modes[rows]
+        corner = np.concatenate([top[:, :1], top[:, :-1]], axis=1)
+        right = np.concatenate([top[:, 1:], out[rows, :1].astype(np.int16)], axis=1)
+        for m in (2, 3, 4, 8, 9):
+            r, x = np.nonzero(mode == m)
+            if len(r):
+                out[rows[r], x] += predictions(m, top[r, x], top[r, x], corner[r, x], right[r, x]).astype(np.uint8)
+        to_left = np.isin(mode, (1, 5, 6, 7, 10, 11, 12, 13))
+        for x in np.flatnonzero(to_left.any(axis=0)).tolist():
+            here = np.flatnonzero(to_left[:, x])
+            of = mode[here, x]
+            for m in np.unique(of).tolist():
+                r = here[of == m]
+                out[rows[r], x] += predictions(m, out[rows[r], x - 1].astype(np.int16), top[r, x], corner[r, x], right[r, x]).astype(np.uint8)
+    return out.view("<u4").reshape(-1, width).astype(np.uint32)
+
+
 def _with_predictor(image: np.ndarray, modes: np.ndarray, bits: int, undo: bool) -> np.ndarray:
     """Adds (undo) or subtracts each pixel's prediction; modes has one pixel per block, the mode in its green."""
     height, width = image.shape
-    source = _bytes(image).astype(int).tolist()
-    known = [[None] * width for _ in range(height)] if undo else source
-    out = [[None] * width for _ in range(height)]
-    sign = 1 if undo else -1
-    for y in range(height):
-        for x in range(width):
-            if y == 0:
-                p = known[0][x - 1] if x else [0, 0, 0, 255]
-            elif x == 0:
-                p = known[y - 1][0]
-            else:
-                right = known[y - 1][x + 1] if x + 1 < width else known[y][0]
-                p = _predict(int(modes[y >> bits, x >> bits]) >> 8 & 255, known[y][x - 1], known[y - 1][x], known[y - 1][x - 1], right)
-            v = [s + sign * q & 255 for s, q in zip(source[y][x], p, strict=True)]
-            out[y][x] = v
-            if undo:
-                known[y][x] = v
-    return np.array(out, np.uint8).view("<u4").reshape(height, width).astype(np.uint32)
+    mode = np.repeat(np.repeat(modes >> 8 & 255, 1 << bits, 0), 1 << bits, 1)[:height, :width].astype(np.int64)
+    if undo:
+        return unpredicted(image, mode, np.arange(height))
+    big = _bytes(image).astype(np.int16)
+    top = np.concatenate([big[:1], big[:-1]])
+    left = np.concatenate([big[:, :1], big[:, :-1]], axis=1)
+    corner = np.concatenate([top[:, :1], top[:, :-1]], axis=1)
+    right = np.concatenate([top[:, 1:], big[:, :1]], axis=1)
+    mode[0], mode[:, 0] = 1, 2
+    guess = np.zeros_like(big)
+    guess[..., 3] = 255
+    for m in np.unique(mode).tolist():
+        if m:
+            at = np.nonzero(mode == m)
+            guess[at] = predictions(m, left[at], top[at], corner[at], right[at])
+    guess[0, 0] = 0, 0, 0, 255
+    return (big - guess).astype(np.uint8).view("<u4").reshape(height, width).astype(np.uint32)
 
 
 def _with_cross_colour(image: np.ndarray, elements: np.ndarray, bits: int, undo: bool) -> np.ndarray:

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyloom.llm import media, webp
+from tallyloom.llm import media, webp, webp_many
 
 RNG = np.random.default_rng(1)
 
@@ -78,3 +78,67 @@ def test_query_columns(spark):
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]))
     assert by[1, 5][1:] == by[5, 5][1:]
     assert media.read(media.write(df.limit(0))).count() == 0
+
+
+def texts_of_all_kinds():
+    words = ["the", "of", "index", "Wörter", "0123", "(x,", "日本", "\n\n", "zebra", "quartz;", "-->", "f(a)", "\U0001f600"]
+    out = []
+    for i in range(150):
+        text = " ".join("".join(RNG.choice(list("etaoinshrdlucmfwyp")) for _ in range(RNG.integers(1, 9))) + RNG.choice(words) for _ in range(RNG.integers(0, 400)))
+        out.append(text + ["", "abcdefgh " * 40, "".join(chr(32 + j * 7 % 90) for j in range(192)) * (i % 9), " " * 900][i % 4])
+    ramp = bytes((3 * i + j) % 251 for i in range(3000) for j in range(3)).decode("latin-1")
+    return [*out, *map(str, range(40)), ramp, "x", "", "ab c" * 60_000]
+
+
+def test_files_of_the_query_use_all_transforms():
+    """Until round 4 the query's files had neither predictors nor cross-colour elements."""
+    payloads = [media.payload(t) for t in texts_of_all_kinds()]
+    files = media.store_many(payloads)
+    kinds = [f[25] & 7 for f in files]  # of the first transform; cross-colour elements follow predictors
+    assert kinds.count(1 | webp.PREDICTOR << 1) > 90 and kinds.count(1 | webp.PALETTE << 1) > 20
+    grey = np.repeat(RNG.integers(0, 256, (40, 64, 1)), 3, axis=2).astype(np.uint8)
+    assert webp_many.encode_many([grey])[0][25] & 7 == 1 | webp.PALETTE << 1
+    grey = (grey + RNG.integers(0, 2, (40, 64, 3))).astype(np.uint8)
+    assert webp_many.encode_many([grey])[0][25] & 7 == 1 | webp.SUBTRACT_GREEN << 1
+    assert (webp.decode(webp_many.encode_many([grey])[0])[:, :, :3] == grey).all()
+    for i, (data, file, samples) in enumerate(zip(payloads, files, media.load_many(files), strict=True)):
+        assert samples.tobytes() == data
+        if i % 7 == 0:
+            assert webp.decode(file)[:, :, :3].tobytes() == data
+            assert media.store(data) == file  # no file depends on those that it was made with
+
+
+def test_smooth_images_in_step():
+    y, x = np.mgrid[:50, :64]
+    images = [np.stack([x * a + y, 2 * x + y * a, x + y + RNG.integers(0, 3, x.shape)], axis=2).astype(np.uint8)[: 10 + a % 40] for a in range(90)]
+    images += [RNG.integers(0, 256, (1 + a, 64, 3)).astype(np.uint8) for a in range(20)]
+    files = webp_many.encode_many(images, 6)
+    assert sum(map(len, files[:90])) < sum(x.size for x in images[:90]) // 2
+    for image, one, many in zip(images, map(webp.decode, files), webp_many.decode_many(files), strict=True):
+        assert (one[:, :, :3] == image).all() and (many == image).all()
+
+
+def test_predictions_of_many_pixels():
+    some = RNG.integers(0, 256, (4, 500, 4)).astype(np.int16)
+    some[:, :, 3] = 255
+    for mode in range(1, 14):
+        expected = [webp._predict(mode, *x) for x in some.transpose(1, 0, 2).tolist()]
+        assert webp.predictions(mode, *some).tolist() == expected
+
+
+def test_code_lengths_of_many_rows():
+    counts = (RNG.integers(0, 2, (60, 300)) * RNG.integers(1, 9, (60, 1)) ** RNG.integers(0, 8, (60, 300))).astype(np.int64)
+    counts[0], counts[1, 1:], counts[2] = 0, 0, 2 ** np.minimum(np.arange(300), 40)
+    for limit in (11, 15):
+        lengths = webp_many.code_lengths_many(counts, limit)
+        assert ((lengths > 0) == (counts > 0)).all() and lengths.max() <= limit
+        assert ((2.0 ** -lengths * (lengths > 0)).sum(axis=1)[(counts > 0).sum(axis=1) > 1] == 1).all()
+    for row, found in zip(counts[3:], webp_many.code_lengths_many(counts, 15)[3:], strict=True):
+        assert (row * found).sum() <= (row * webp.code_lengths(row)).sum()
+
+
+def test_broken_streams_are_refused_in_step():
+    files = media.store_many([media.payload(t) for t in texts_of_all_kinds()[:100]])
+    cut = [f[:4] + (len(f) // 2 // 2 * 2 - 8).to_bytes(4, "little") + f[8:16] + (len(f) // 2 // 2 * 2 - 20).to_bytes(4, "little") + f[20 : len(f) // 2 // 2 * 2] if f[25] & 7 == 1 else f for f in files]
+    with pytest.raises(ValueError):
+        webp_many.decode_many(cut)
