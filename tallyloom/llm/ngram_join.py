@@ -381,28 +381,39 @@ def _near_pivots(differences: DataFrame, percent: int) -> tuple[DataFrame, DataF
     differences; how many, the two s tell. So the differences have prefixes in which similar pairs meet: first come tokens that
     no node out of that component shares with one of another component, which are most of a family's tokens, then the rarest of a star.
     """
+    links, rows = _prefixes(differences, percent)
+    x, y = rows.where("to_out").alias("x"), rows.where("out").alias("y")
+    meet = F.expr("x.p = y.p AND x.token = y.token AND x.root != y.root AND IF(x.out, y.to_out AND x.node < y.node, y.to_in)")
+    fits = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {2 * (100 + percent)} * (least(x.m - x.i, y.m - y.i) + 1) >= -(x.s + y.s)")
+    pick = [F.col(f"{t}.{c}").alias(n) for t, names in (("x", ("a", "da", "na")), ("y", ("b", "db", "nb"))) for c, n in zip(("node", "d", "n"), names, strict=True)]
+    return links, x.join(y, meet & fits).select(*pick)
+
+
+def _prefixes(differences: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links within the stars, and the rows of the prefixes of differences, each with its place `i`.
+
+    A pair of sets shares no fewer tokens of its differences than its s leave to be shared, and no fewer than either difference has over the tokens
+    in which the pair may differ. The latter keeps prefixes of nodes far from their pivot as short as what they may differ in from a set of fitting
+    size; their many tokens that only they have go first, so few or none of the shared ones need rows.
+    """
     whole = 2 * (100 + percent)
     best = differences.groupBy("p").agg(F.max(F.struct("s", "node", "root")).alias("best"))
     marked = differences.join(best, "p").withColumn("far", F.col("s") + F.col("best.s") < 0)
     links = marked.where("NOT far AND node != best.node").select(F.col("node").alias("u"), F.col("best.node").alias("v"))
     joined = marked.where("NOT far").select("p", "root").distinct().withColumn("joined", F.lit(True))
     marked = marked.join(joined, ["p", "root"], "left").withColumn("root", F.when(F.col("joined"), F.col("best.root")).otherwise(F.col("root"))).withColumn("out", F.col("root") != F.col("best.root"))
-    most = marked.groupBy("p").agg(F.max(F.when(F.col("out"), F.col("s"))).alias("s_out")).where("s_out IS NOT NULL")
-    open_ = marked.join(most, "p").select("p", "node", "d", "n", "root", "m", "s", "out", F.col("best.s").alias("s_best"), "s_out", "diff")
+    most = marked.groupBy("p").agg(F.max(F.when(F.col("out"), F.col("s"))).alias("s_out"), F.max("n").alias("n_most")).where("s_out IS NOT NULL")
+    open_ = marked.join(most, "p").select("p", "node", "d", "n", "root", "m", "s", "out", F.col("best.s").alias("s_best"), "s_out", "n_most", "diff")
     tokens = open_.select("p", "node", "root", "out", F.explode("diff").alias("token"))
     shared = tokens.groupBy("p", "token").agg(F.count("*").alias("seen"), F.max("out").alias("of_out"), F.min("root").alias("low"), F.max("root").alias("high")).where("of_out AND low < high").select("p", "token", "seen")
     ranked = tokens.select("p", "node", "token").join(shared, ["p", "token"])
     # the other tokens come first, and need no rows: their number is the place of the first shared one
     places = ranked.withColumn("i", F.row_number().over(Window.partitionBy("p", "node").orderBy("seen", "token"))).withColumn("own", F.count("*").over(Window.partitionBy("p", "node")))
     rows = open_.drop("diff").join(places, ["p", "node"]).withColumn("i", F.col("m") - F.col("own") + F.col("i"))
-    least = lambda other: F.greatest(F.lit(1), F.ceil(-(F.col("s") + F.col(other)) / whole))
+    apart = F.floor((100 - percent) * (F.col("n") + F.least("n_most", F.floor(100 * F.col("n") / percent))) / (100 + percent))  # what a similar pair of this node may differ in
+    least = lambda other: F.greatest(F.lit(1), F.ceil(-(F.col("s") + F.col(other)) / whole), F.col("m") - apart)
     rows = rows.withColumn("to_out", F.col("i") <= F.col("m") - least("s_out") + 1).withColumn("to_in", F.col("out") & (F.col("i") <= F.col("m") - least("s_best") + 1)).where("to_out OR to_in")
-    rows = rows.select("p", "token", "node", "d", "n", "root", "m", "s", "i", "out", "to_out", "to_in")
-    x, y = rows.where("to_out").alias("x"), rows.where("out").alias("y")
-    meet = F.expr("x.p = y.p AND x.token = y.token AND x.root != y.root AND IF(x.out, y.to_out AND x.node < y.node, y.to_in)")
-    fits = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {whole} * (least(x.m - x.i, y.m - y.i) + 1) >= -(x.s + y.s)")
-    pick = [F.col(f"{t}.{c}").alias(n) for t, names in (("x", ("a", "da", "na")), ("y", ("b", "db", "nb"))) for c, n in zip(("node", "d", "n"), names, strict=True)]
-    return links, x.join(y, meet & fits).select(*pick)
+    return links, rows.select("p", "token", "node", "d", "n", "root", "m", "s", "i", "out", "to_out", "to_in")
 
 
 def _nodes_of(pairs: DataFrame) -> DataFrame:

@@ -154,3 +154,25 @@ def test_joined_components_of_a_star_have_no_candidates(spark):
         tried = {(r.a, r.b) for r in pairs.collect()}
         assert links.count() == 40 and bool(tried) == expect
         assert all({a, b} & {81, 82} for a, b in tried)
+
+
+@pytest.mark.parametrize("percent", [60, 80])
+def test_prefixes_of_far_nodes_are_short(spark, percent):
+    """Nodes that share a passage with their pivot and little else: what only one of them has fills the prefixes, so few shared tokens need rows; similar ones still meet."""
+    rng = random.Random(percent)
+    passage, others = list(range(20)), list(range(1000, 1120))
+    sets = [[*passage, *range(2000, 2100)]]  # the pivot
+    sets += [[*passage, *rng.sample(others, 30), *range(10_000 + 100 * i, 10_060 + 100 * i)] for i in range(30)]
+    sets += [[*sets[1][: len(sets[1]) - i], *range(90_000, 90_000 + i)] for i in (9, 14, 19)]
+    n = len(sets)
+    stars = spark.createDataFrame([(0, 0, i, i, len(t), i) for i, t in enumerate(sets)], "p long, dp long, node long, d long, n long, root long")
+    tokens = spark.createDataFrame([(i, i, t) for i, t in enumerate(sets)], "node long, d long, tokens array<bigint>")
+    differences = ngram_join._differences(stars, tokens, percent)
+    links, pairs = ngram_join._near_pivots(differences, percent)
+    similar = {(i, j) for i in range(n) for j in range(i + 1, n) if 100 * len({*sets[i]} & {*sets[j]}) >= percent * len({*sets[i]} | {*sets[j]})}
+    assert similar <= {(min(r.a, r.b), max(r.a, r.b)) for r in pairs.collect()} | {(min(r), max(r)) for r in links.collect()}
+    assert similar
+    rows = ngram_join._prefixes(differences, percent)[1].groupBy("node").count().collect()
+    apart = (100 - percent) * 2 * 110 / (100 + percent)
+    own = {i: 60 for i in range(2, 31)}  # tokens that no other node has
+    assert all(r["count"] <= max(0, apart + 1 - own[r.node]) for r in rows if r.node in own), rows
